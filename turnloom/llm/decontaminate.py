@@ -68,10 +68,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
         # between, so that only h is a join key and words are compared at hits alone; no lambda, so that the exploded
         # rows stay in generated code, which copies no words
         same = ascii_lower(F.array_join(F.slice("w", F.col("at") + 1, size), " ")).between(F.col("gram"), F.col("gram"))
+        hashed = own.select("doc", "w", _grams(F.col("w"), size).alias("g"))
         if few:
-            met = own.select("doc", "w", F.posexplode(_grams(F.col("w"), size)).alias("at", "h")).join(F.broadcast(mine), "h")
+            met = hashed.select("doc", "w", F.posexplode("g").alias("at", "h")).join(F.broadcast(mine), "h")
         else:  # the texts stay behind, and join again where a hash was met
-            met = own.select("doc", F.posexplode(_grams(F.col("w"), size)).alias("at", "h")).join(mine, "h").join(own, "doc")
+            met = hashed.select("doc", F.posexplode("g").alias("at", "h")).join(mine, "h").join(own, "doc")
         part = met.where(same).select("doc", "at", "size", "items")
         hits = part if hits is None else hits.unionByName(part)
     whole = docs.select(F.col(id_col).alias("id"), key_of(id_col).alias("doc"), F.size(words_of(F.col(text_col).cast("string"))).cast("long").alias("n_words"))
