@@ -30,10 +30,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go. A text that loses none stays as it is; one that loses all goes."""
-    out = substring_dedup(docs, carry=("text", "lang", "source", "n_chars"))
+    out = substring_dedup(docs, carry=("lang", "source", "n_chars"), as_is=True)
     lost = F.col("n_removed") > 0
     out = out.where(~lost | (F.col("n_removed") < F.col("n_words")))
-    return out.select("doc_id", F.when(lost, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(lost, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(lost, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

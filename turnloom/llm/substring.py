@@ -114,7 +114,7 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield long_batch(doc=doc[k : k + 200_000], start=at[k : k + 200_000])
 
 
-def _removal(window: int):
+def _removal(window: int, as_is: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(0))
@@ -134,7 +134,9 @@ def _removal(window: int):
                 gone = np.cumsum(edge)[: len(words.begin)] > 0
                 lost = np.add.reduceat(np.append(gone, False).astype(np.int64), words.first) * (words.counts > 0)
                 for j, (n, m, first) in enumerate(zip(words.counts.tolist(), lost.tolist(), words.first.tolist(), strict=True)):
-                    if m == 0:
+                    if m == 0 and as_is:
+                        kept.append(texts[k + j])
+                    elif m == 0:
                         kept.append(words.text[words.begin[first] : words.end[first + n - 1]] if n else b"")
                     else:
                         alive = np.flatnonzero(~gone[first : first + n]) + first
@@ -147,26 +149,27 @@ def _removal(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
     """Removes each word covered by `window` words whose sequence also starts earlier.
 
     Words are runs of other characters than space and \\x09-\\x0D, compared as they are. Earlier: in a document with a
     smaller id, or in the same document at a smaller start. Windows are judged on the input.
 
-    Returns id_col, the columns named in carry, kept (the words left, joined by one space), n_words, n_removed.
+    Returns id_col, the columns named in carry, kept (the words left, joined by one space; with as_is, a text
+    that loses nothing is kept as it is), n_words, n_removed.
     A null or empty text has no words. A null id sorts first; rows that share an id count as one document, at the same
     places. A document of fewer words than the window loses nothing. Other columns are ignored, whatever their names.
     """
     own = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"))
     hs = shared_anchors(arrow_map(own, _anchors(window), "h long, doc long"))
-    # both uses of the texts have the same columns, so that Spark shuffles them once
+    # both uses of the texts have the same columns, extra too, so that Spark shuffles them once
     extra = F.struct(F.col(id_col).alias("i"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
     full = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"), extra.alias("extra"))
     joined = full.join(hs, "doc", "left")
-    windows = arrow_map(joined.where("hs is not null").select("doc", "body", "hs"), _windows(window), "w long, rest long, doc long")
+    windows = arrow_map(joined.where("hs is not null").select("doc", "body", "hs", "extra"), _windows(window), "w long, rest long, doc long")
     firsts = arrow_map(windows.repartition(shuffle_width(docs), "w"), _firsts, "doc long, start long")
     starts = firsts.groupBy("doc").agg(F.collect_list("start").alias("firsts"))
     last = joined.join(starts, "doc", "left").select("body", "hs", "firsts", "extra")
     kinds = last.schema["extra"].dataType.simpleString()
-    out = arrow_map(last, _removal(window), f"extra {kinds}, kept string, n_words long, n_removed long")
+    out = arrow_map(last, _removal(window, as_is), f"extra {kinds}, kept string, n_words long, n_removed long")
     return out.select(F.col("extra.i").alias(id_col), *[F.col(f"extra.c{k}").alias(c) for k, c in enumerate(carry)], "kept", "n_words", "n_removed")

@@ -332,7 +332,8 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     hs = shared_anchors(arrow_map(own, _anchors(window), "h long, doc long"))
     full = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"), F.col(id_col).alias("id"))
     joined = full.join(hs, "doc", "left")
-    pieces = arrow_map(joined.where("hs is not null").select("doc", "body", "hs"), _pieces(window, hot_anchors(own, window, hot)), "route long, piece binary, doc long, start long")
+    # both uses of the texts have the same columns, so that Spark shuffles them once
+    pieces = arrow_map(joined.where("hs is not null").select("doc", "body", "hs", "id"), _pieces(window, hot_anchors(own, window, hot)), "route long, piece binary, doc long, start long")
     dealt = pieces.repartition(shuffle_width(docs), "route").sortWithinPartitions("route")
     originals = arrow_map(dealt, _originals(window), "doc long, run long")
     runs = originals.groupBy("doc").agg(F.collect_list("run").alias("runs"))
