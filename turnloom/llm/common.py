@@ -217,8 +217,8 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), sizes.astype(np.int64)
 
 
-#: Rows of a few ids or numbers that may be broadcast: some 16 MB.
-FEW_ROWS = 1_000_000
+#: Rows of a few ids or numbers that may be broadcast: some 64 MB.
+FEW_ROWS = 3_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -231,3 +231,13 @@ def broadcast_if_few(df: DataFrame) -> DataFrame:
 def ascii_lower(column: str | Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(F.col(column) if isinstance(column, str) else column, UPPER, LOWER)
+
+
+def copies_of(own: DataFrame) -> DataFrame:
+    """own: (doc, body). Returns, checkpointed, (doc, print, copy): texts that a document with a smaller id has, too.
+
+    print is a fingerprint of the text, by which rows with one id and other texts are told apart.
+    """
+    sums = own.select("doc", F.unhex(F.sha2("body", 256)).alias("sum"), F.xxhash64("body").alias("print")).where("sum is not null")
+    first = sums.groupBy("sum").agg(F.min("doc").alias("first"))
+    return checkpoint(sums.join(first, "sum").where("doc > first").select("doc", "print").distinct().withColumn("copy", F.lit(True)))

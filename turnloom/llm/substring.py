@@ -3,7 +3,8 @@
 Words are numbered within their document. A hash of m words is taken only at the positions in a difference cover modulo
 a period v. For any two places i and j there is a shift k < v with i + k and j + k both in the cover, so two equal
 windows of m + v - 1 words share an aligned anchor. Only windows with an anchor that occurs elsewhere are looked at
-further: each is extended to its full length, hashed to 96 bits, and all but the first place of each are removed.
+further: each is extended to its full length, hashed to 96 bits, and all but the first place of each are removed. Exact
+copies of whole texts are settled before.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, Words, arrow_map, chunks, flat_lists, gather_anchors, key_of, long_batch, shared_anchors, shuffle_width, texts_of
+from .common import BLOCK, Words, arrow_map, broadcast_if_few, chunks, copies_of, flat_lists, gather_anchors, key_of, long_batch, shared_anchors, shuffle_width, texts_of
 
 #: Difference covers: period -> positions. All differences modulo the period occur between two of the positions.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
@@ -120,6 +121,7 @@ def _removal(window: int, as_is: bool):
             texts = texts_of(batch.column(0))
             (hs, sizes), (firsts, first_sizes) = flat_lists(batch.column(1)), flat_lists(batch.column(2))
             ends, first_ends = np.cumsum(sizes), np.cumsum(first_sizes)
+            copy = np.array(batch.column(3).to_pylist(), bool)
             kept, n_words, n_removed = [], [], []
             for k, end in chunks(map(len, texts)):
                 words = Words(texts[k:end])
@@ -127,6 +129,7 @@ def _removal(window: int, as_is: bool):
                 mine = firsts[first_ends[k] - first_sizes[k] : first_ends[end - 1]]
                 inside = mine < np.repeat(words.counts, first_sizes[k:end])  # rows may share an id
                 repeated[(np.repeat(words.first, first_sizes[k:end]) + mine)[inside]] = False
+                repeated |= np.repeat(copy[k:end], words.counts) & (words.left >= window)
                 edge = np.zeros(len(words.begin) + window + 1, np.int64)
                 at = np.flatnonzero(repeated)
                 edge[at] += 1
@@ -143,8 +146,8 @@ def _removal(window: int, as_is: bool):
                         kept.append(b" ".join([words.text[s:e] for s, e in zip(words.begin[alive].tolist(), words.end[alive].tolist(), strict=True)]))
                     n_words.append(n)
                     n_removed.append(m)
-            rest = [batch.column(i) for i in range(3, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*batch.schema.names[3:], "kept", "n_words", "n_removed"])
+            rest = [batch.column(i) for i in range(4, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*batch.schema.names[4:], "kept", "n_words", "n_removed"])
 
     return run
 
@@ -161,15 +164,17 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     places. A document of fewer words than the window loses nothing. Other columns are ignored, whatever their names.
     """
     own = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"))
-    hs = shared_anchors(arrow_map(own, _anchors(window), "h long, doc long"))
+    copies = broadcast_if_few(copies_of(own))
+    firsts_only = own.withColumn("print", F.xxhash64("body")).join(copies, ["doc", "print"], "left_anti").select("doc", "body")
+    hs = shared_anchors(arrow_map(firsts_only, _anchors(window), "h long, doc long"))
     # both uses of the texts have the same columns, extra too, so that Spark shuffles them once
     extra = F.struct(F.col(id_col).alias("i"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
-    full = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"), extra.alias("extra"))
-    joined = full.join(hs, "doc", "left")
-    windows = arrow_map(joined.where("hs is not null").select("doc", "body", "hs", "extra"), _windows(window), "w long, rest long, doc long")
+    full = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"), extra.alias("extra"), F.xxhash64(F.col(text_col).cast("string")).alias("print"))
+    joined = full.join(copies, ["doc", "print"], "left").join(hs, "doc", "left").select("doc", "body", "hs", "extra", F.col("copy").isNotNull().alias("copy"))
+    windows = arrow_map(joined.where("hs is not null and not copy"), _windows(window), "w long, rest long, doc long")
     firsts = arrow_map(windows.repartition(shuffle_width(docs), "w"), _firsts, "doc long, start long")
     starts = firsts.groupBy("doc").agg(F.collect_list("start").alias("firsts"))
-    last = joined.join(starts, "doc", "left").select("body", "hs", "firsts", "extra")
+    last = joined.join(starts, "doc", "left").select("body", "hs", "firsts", "copy", "extra")
     kinds = last.schema["extra"].dataType.simpleString()
     out = arrow_map(last, _removal(window, as_is), f"extra {kinds}, kept string, n_words long, n_removed long")
     return out.select(F.col("extra.i").alias(id_col), *[F.col(f"extra.c{k}").alias(c) for k, c in enumerate(carry)], "kept", "n_words", "n_removed")

@@ -2,15 +2,16 @@
 
 Sorting every suffix of a corpus at once would move each byte many times over. So windows are first dealt out by an
 anchor: of the grams in a window, the one with the least hash. Equal windows have equal anchors, at the same offset. Runs
-of neighbouring windows with one anchor go together as one piece of text, and only pieces go whose anchor occurs in
-several documents. Each group of pieces is then suffix-sorted to the depth of a window: suffixes start in buckets of
+of neighbouring windows with one anchor form one piece of text, and only pieces count whose anchor occurs in several
+documents. Where all pieces around an anchor are the same by their fingerprints, as within a long passage, the least
+document has the original; where they differ, as at its ends, one piece of each kind is fetched, and each group of
+pieces is suffix-sorted to the depth of a window: suffixes start in buckets of
 equal 8-grams, and a bucket is refined by sorting on the bucket pointers that stand 8, 16, 32, ... bytes further on; each
 round reuses the pointers that the last one left.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, arrow_map, checkpoint, chunks, flat_lists, gather_anchors, key_of, long_batch, mix, shared_anchors, shuffle_width, texts_of
+from .common import BLOCK, SliceHashes, arrow_map, broadcast_if_few, chunks, copies_of, flat_lists, gather_anchors, key_of, long_batch, mix, shared_anchors, shuffle_width, texts_of
 
 #: Bytes of pieces that are suffix-sorted together; a larger group of one anchor is sorted alone.
 SORTED = 3 << 20
@@ -75,7 +76,7 @@ def _pointers(order: np.ndarray, keys: tuple[np.ndarray, ...], base: np.ndarray,
 
 
 def gram_size(window: int) -> int:
-    return max(1, min(20, window * 2 // 5))
+    return max(1, min(16, window // 3))
 
 
 class Minimizers:
@@ -154,20 +155,14 @@ def _shared_windows(found: Minimizers, hs: np.ndarray, sizes: np.ndarray) -> np.
 
 
 def _pieces(window: int, hot: np.ndarray):
-    def emit(best: dict) -> pa.RecordBatch:
-        route, text, doc, at = [], [], [], []
-        for (h, piece), (d, starts) in best.items():
-            for s in starts:
-                route.append(h)
-                text.append(piece)
-                doc.append(d)
-                at.append(s)
-        return pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(text, pa.binary()), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], names=["route", "piece", "doc", "start"])
+    """Pieces as (h, print, doc, run): anchor, fingerprint, and run = first window << 16 | number of windows."""
+
+    def combined(parts: list[tuple]) -> pa.RecordBatch:
+        """Of equal pieces of this block, those of the least document: the others' windows surely occur before."""
+        return long_batch(**dict(zip(("h", "print", "doc", "run"), _least(*(np.concatenate(x) for x in zip(*parts, strict=True))), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of equal pieces in this block, those of the least document: the others' windows surely occur before
-        best: dict[tuple[int, bytes], tuple[int, list[int]]] = {}
-        held = 0
+        parts, n = [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), texts_of(batch.column(1))
             hs, sizes = flat_lists(batch.column(2))
@@ -175,36 +170,70 @@ def _pieces(window: int, hot: np.ndarray):
             for k, end in chunks(map(len, texts)):
                 found = Minimizers(texts[k:end], window)
                 first, last = found.runs(_shared_windows(found, hs[ends[k] - sizes[k] : ends[end - 1]], sizes[k:end]))
+                if not len(first):
+                    continue
+                prints = SliceHashes(np.frombuffer(found.text, np.uint8))
                 h = found.hashes[found.anchor[first]] & ~np.uint64(1)
-                if len(hot):  # an anchor in very many documents: each of its windows goes by itself
-                    each = np.isin(h, hot)
+                each = np.isin(h, hot)
+                if each.any():  # an anchor in very many documents: each of its windows goes by itself
                     width = np.where(each, last - first + 1, 1)
                     inner = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-                    each, h = np.repeat(each, width), np.repeat(h, width)
-                    last = np.where(each, np.repeat(first, width) + inner, np.repeat(last, width))
+                    each, h, last = np.repeat(each, width), np.repeat(h, width), np.repeat(last, width)
                     first = np.repeat(first, width) + inner
-                else:
-                    each = np.zeros(len(first), bool)
+                    last = np.where(each, first, last)
+                    h = np.where(each, prints(first, first + window), h)
                 doc = found.doc[first]
-                where = (first - found.first[doc]).tolist()
-                for s, e, d, r, w, one in zip(first.tolist(), last.tolist(), ids[k:end][doc].tolist(), h.view(np.int64).tolist(), where, each.tolist(), strict=True):
-                    piece = found.text[s : e + window]
-                    if one:
-                        r = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                    old = best.get((r, piece))
-                    if old is None:
-                        best[r, piece] = (d, [w])
-                        held += len(piece) + 250
-                    elif d < old[0]:
-                        best[r, piece] = (d, [w])
-                    elif d == old[0]:
-                        old[1].append(w)
-                        held += 40
-                if held > 100 << 20:
-                    yield emit(best)
-                    best, held = {}, 0
-        if best:
-            yield emit(best)
+                run = ((first - found.first[doc]) << 16) | (last - first + 1)
+                parts.append((h, prints(first, last + window), ids[k:end][doc], run))
+                n += len(first)
+                if n >= BLOCK:
+                    yield combined(parts)
+                    parts, n = [], 0
+        if parts:
+            yield combined(parts)
+
+    return run
+
+
+def _least(h: np.ndarray, prints: np.ndarray, doc: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of rows with one anchor and fingerprint, those of the least document, in order of these."""
+    order = np.lexsort((doc, prints, h))
+    h, prints, doc, run = h[order], prints[order], doc[order], run[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (prints[1:] != prints[:-1])))
+    keep = doc == doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+    return h[keep], prints[keep], doc[keep], run[keep]
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one partition of pieces: (doc, run, ask). ask is null where the run is original, else the anchor whose pieces differ."""
+    parts = [tuple(c.to_numpy() for c in b.columns) for b in batches]
+    if not parts:
+        return
+    h, prints, doc, run = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    h, prints, doc, run = _least(h, prints, doc, run)
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    group = np.cumsum(new) - 1
+    kinds = np.bincount(group, weights=np.concatenate(([True], new[1:] | (prints[1:] != prints[:-1]))))
+    uniform = kinds[group] < 2
+    for k in range(0, len(h), 200_000):
+        part = slice(k, k + 200_000)
+        ask = pa.array(h[part].view(np.int64), mask=uniform[part])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(run[part]), ask], names=["doc", "run", "ask"])
+
+
+def _fetched(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+            route, pieces, doc, at = [], [], [], []
+            for i, text, asks in zip(ids, texts, batch.column(2).to_pylist(), strict=True):
+                for a in asks:
+                    start, n = a["run"] >> 16, a["run"] & 0xFFFF
+                    piece = text[start : start + n + window - 1]
+                    if len(piece) == n + window - 1:  # rows may share an id
+                        route.append(a["ask"]), pieces.append(piece), doc.append(i), at.append(start)
+            yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(pieces, pa.binary()), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], names=["route", "piece", "doc", "start"])
 
     return run
 
@@ -271,10 +300,11 @@ def _removal(window: int):
         for batch in batches:
             texts = texts_of(batch.column(0))
             (hs, sizes), (runs, run_sizes) = flat_lists(batch.column(1)), flat_lists(batch.column(2))
+            copy = np.array(batch.column(3).to_pylist(), bool)
             ends, run_ends = np.cumsum(sizes), np.cumsum(run_sizes)
             kept, spans = [], []
             for k, end in chunks(map(len, texts)):
-                if not sizes[k:end].any():
+                if not sizes[k:end].any() and not copy[k:end].any():
                     kept += texts[k:end]
                     spans += [[]] * (end - k)
                     continue
@@ -288,6 +318,7 @@ def _removal(window: int):
                 np.add.at(edge, begin, 1)
                 np.subtract.at(edge, begin + (mine & 0xFFFF)[inside], 1)
                 repeated &= np.cumsum(edge[:-1]) == 0
+                repeated |= copy[k:end][found.doc[: len(repeated)]] & found.fits
                 at = np.flatnonzero(repeated)
                 edge = np.zeros(len(found.text) + 1, np.int64)
                 edge[at] += 1
@@ -304,8 +335,8 @@ def _removal(window: int):
                     kept.append(data[first : first + n][~mask].tobytes())
                     spans.append([{"begin": b, "end": e} for b, e in turn.reshape(-1, 2).tolist()])
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            rest = [batch.column(i) for i in range(3, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(list(map(len, texts)), pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=[*batch.schema.names[3:], "n_bytes", "kept", "spans"])
+            rest = [batch.column(i) for i in range(4, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(list(map(len, texts)), pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=[*batch.schema.names[4:], "n_bytes", "kept", "spans"])
 
     return run
 
@@ -329,15 +360,21 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     id sorts first; rows that share an id count as one document. Other columns are ignored, whatever their names.
     """
     own = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"))
-    hs = shared_anchors(arrow_map(own, _anchors(window), "h long, doc long"))
-    full = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"), F.col(id_col).alias("id"))
-    joined = full.join(hs, "doc", "left")
-    # both uses of the texts have the same columns, so that Spark shuffles them once
-    pieces = arrow_map(joined.where("hs is not null").select("doc", "body", "hs", "id"), _pieces(window, hot_anchors(own, window, hot)), "route long, piece binary, doc long, start long")
-    dealt = pieces.repartition(shuffle_width(docs), "route").sortWithinPartitions("route")
-    originals = arrow_map(dealt, _originals(window), "doc long, run long")
-    runs = originals.groupBy("doc").agg(F.collect_list("run").alias("runs"))
-    last = joined.join(runs, "doc", "left").select("body", "hs", "runs", "id")
+    copies = broadcast_if_few(copies_of(own))
+    firsts_only = own.withColumn("print", F.xxhash64("body")).join(copies, ["doc", "print"], "left_anti").select("doc", "body")
+    hs = shared_anchors(arrow_map(firsts_only, _anchors(window), "h long, doc long"))
+    # all uses of the texts have the same columns, so that Spark shuffles them once
+    full = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("print"))
+    joined = full.join(copies, ["doc", "print"], "left").join(hs, "doc", "left").select("doc", "body", "hs", "id", F.col("copy").isNotNull().alias("copy"))
+    pieces = arrow_map(joined.where("hs is not null and not copy"), _pieces(window, hot_anchors(own, window, hot)), "h long, print long, doc long, run long")
+    settled = arrow_map(pieces.repartition(shuffle_width(docs), "h"), _settled, "doc long, run long, ask long")
+    runs = settled.groupBy("doc").agg(F.collect_list(F.when(F.col("ask").isNull(), F.col("run"))).alias("runs"), F.collect_list(F.when(F.col("ask").isNotNull(), F.struct("ask", "run"))).alias("asks"))
+    told = joined.join(runs, "doc", "left")
+    fetched = arrow_map(told.where("size(asks) > 0 and not copy").select("doc", "body", "asks", "hs", "id", "runs"), _fetched(window), "route long, piece binary, doc long, start long")
+    dealt = fetched.repartition(shuffle_width(docs), "route").sortWithinPartitions("route")
+    more = arrow_map(dealt, _originals(window), "doc long, run long").groupBy("doc").agg(F.collect_list("run").alias("more"))
+    last = told.join(more, "doc", "left").withColumn("runs", F.concat(F.coalesce("runs", F.array()), F.coalesce("more", F.array()))).select("body", "hs", "runs", "copy", "id", "asks")
     kind = last.schema["id"].dataType.simpleString()
-    out = arrow_map(last, _removal(window), f"id {kind}, n_bytes long, kept binary, spans array<struct<begin: long, end: long>>")
+    asks = last.schema["asks"].dataType.simpleString()
+    out = arrow_map(last, _removal(window), f"id {kind}, asks {asks}, n_bytes long, kept binary, spans array<struct<begin: long, end: long>>")
     return out.select(F.col("id").alias(id_col), "n_bytes", "kept", "spans")
