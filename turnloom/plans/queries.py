@@ -24,7 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
+    """Registers f; dates come out as text, so that engines' date types need not be compared."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+
+    QUERIES[f.__name__] = run
     return f
 
 
@@ -326,7 +332,7 @@ def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @_query
 def retrieve_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_articles(*_ranked(spark, d))
+    return R.top_articles(*_ranked(spark, d)).fillna(0, ["score", "rank"])
 
 
 @_query
