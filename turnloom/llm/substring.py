@@ -167,11 +167,11 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     copies = broadcast_if_few(copies_of(own))
     firsts_only = own.withColumn("print", F.xxhash64("body")).join(copies, ["doc", "print"], "left_anti").select("doc", "body")
     hs = shared_anchors(arrow_map(firsts_only, _anchors(window), "h long, doc long"))
-    # both uses of the texts have the same columns, extra too, so that Spark shuffles them once
+    # both uses of the texts have the same columns and filters, so that Spark shuffles them once; copies have no hs
     extra = F.struct(F.col(id_col).alias("i"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
     full = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"), extra.alias("extra"), F.xxhash64(F.col(text_col).cast("string")).alias("print"))
     joined = full.join(copies, ["doc", "print"], "left").join(hs, "doc", "left").select("doc", "body", "hs", "extra", F.col("copy").isNotNull().alias("copy"))
-    windows = arrow_map(joined.where("hs is not null and not copy"), _windows(window), "w long, rest long, doc long")
+    windows = arrow_map(joined.where("hs is not null"), _windows(window), "w long, rest long, doc long")
     firsts = arrow_map(windows.repartition(shuffle_width(docs), "w"), _firsts, "doc long, start long")
     starts = firsts.groupBy("doc").agg(F.collect_list("start").alias("firsts"))
     last = joined.join(starts, "doc", "left").select("body", "hs", "firsts", "copy", "extra")

@@ -227,8 +227,8 @@ def _fetched(window: int):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
             route, pieces, doc, at = [], [], [], []
-            for i, text, asks in zip(ids, texts, batch.column(2).to_pylist(), strict=True):
-                for a in asks:
+            for i, text, asks, copy in zip(ids, texts, batch.column(2).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                for a in [] if copy else asks:
                     start, n = a["run"] >> 16, a["run"] & 0xFFFF
                     piece = text[start : start + n + window - 1]
                     if len(piece) == n + window - 1:  # rows may share an id
@@ -363,14 +363,14 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     copies = broadcast_if_few(copies_of(own))
     firsts_only = own.withColumn("print", F.xxhash64("body")).join(copies, ["doc", "print"], "left_anti").select("doc", "body")
     hs = shared_anchors(arrow_map(firsts_only, _anchors(window), "h long, doc long"))
-    # all uses of the texts have the same columns, so that Spark shuffles them once
+    # all uses of the texts have the same columns and filters, so that Spark shuffles them once; copies have no hs
     full = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("print"))
     joined = full.join(copies, ["doc", "print"], "left").join(hs, "doc", "left").select("doc", "body", "hs", "id", F.col("copy").isNotNull().alias("copy"))
-    pieces = arrow_map(joined.where("hs is not null and not copy"), _pieces(window, hot_anchors(own, window, hot)), "h long, print long, doc long, run long")
+    pieces = arrow_map(joined.where("hs is not null"), _pieces(window, hot_anchors(own, window, hot)), "h long, print long, doc long, run long")
     settled = arrow_map(pieces.repartition(shuffle_width(docs), "h"), _settled, "doc long, run long, ask long")
     runs = settled.groupBy("doc").agg(F.collect_list(F.when(F.col("ask").isNull(), F.col("run"))).alias("runs"), F.collect_list(F.when(F.col("ask").isNotNull(), F.struct("ask", "run"))).alias("asks"))
     told = joined.join(runs, "doc", "left")
-    fetched = arrow_map(told.where("size(asks) > 0 and not copy").select("doc", "body", "asks", "hs", "id", "runs"), _fetched(window), "route long, piece binary, doc long, start long")
+    fetched = arrow_map(told.where("size(asks) > 0").select("doc", "body", "asks", "hs", "id", "runs", "copy"), _fetched(window), "route long, piece binary, doc long, start long")
     dealt = fetched.repartition(shuffle_width(docs), "route").sortWithinPartitions("route")
     more = arrow_map(dealt, _originals(window), "doc long, run long").groupBy("doc").agg(F.collect_list("run").alias("more"))
     last = told.join(more, "doc", "left").withColumn("runs", F.concat(F.coalesce("runs", F.array()), F.coalesce("more", F.array()))).select("body", "hs", "runs", "copy", "id", "asks")
