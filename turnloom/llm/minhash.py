@@ -15,7 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, checkpoint, chunks, key_of, texts_of
+from ..ship import ship
+from .common import FEW_ROWS, Words, arrow_map, checkpoint, chunks, key_of, texts_of
 
 #: 1 - (1 - 0.8 ** 7) ** 48: a pair of similarity 0.8 shares a bucket but for one case in 10**5, of 0.85 in 10**8.
 ROWS, BANDS = 7, 48
@@ -23,8 +24,8 @@ ROWS, BANDS = 7, 48
 #: Members of a bucket that are compared with each other in one task.
 MEMBERS = 256
 
-#: Ids that may be broadcast: 16 MB.
-FEW_IDS = 1_000_000
+#: Standard errors by which an estimate may fall short of the similarity asked for: one pair in 10**6 falls shorter.
+ERRORS = 4.75
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,47 +101,58 @@ def _likely(least: float):
     return run
 
 
+def _shingles(text: bytes, n: int) -> set[bytes]:
+    w = text.lower().split()
+    return {b" ".join(w[k : k + n]) for k in range(max(len(w) - n + 1, 1))}
+
+
+def _linked(x: set[bytes], y: set[bytes], percent: int) -> bool:
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _alike(percent: int, n: int):
     """Pairs whose full shingle sets are alike."""
 
-    def shingles(text: bytes) -> set[bytes]:
-        w = text.lower().split()
-        return {b" ".join(w[k : k + n]) for k in range(max(len(w) - n + 1, 1))}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last, own = [], None, set()
             for x, y in zip(texts_of(batch.column("ta")), texts_of(batch.column("tb")), strict=True):
-                if x is not last and x != last:
-                    last, own = x, shingles(x)
-                other = shingles(y)
-                both = len(own & other)
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
+                if x != last:
+                    last, own = x, _shingles(x, n)
+                keep.append(_linked(own, _shingles(y, n), percent))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
 
 
-def _block_pairs(least: float):
+def _block_links(least: float, percent: int, n: int):
+    """Links between the members of two blocks, or of one, that are of different components."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         side = table["side"].to_numpy()
         first, second = (table.filter(pa.array(side == s)) for s in (0, 1))
+        if first.num_rows == 0:  # the other block has no members
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         inner = second.num_rows == 0
         second = first if inner else second
         x, y = (np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (first, second))
-        (dx, cx), (dy, cy) = ((t["doc"].to_numpy(), t["comp"].to_numpy()) for t in (first, second))
+        (dx, cx, sx), (dy, cy, sy) = ((t["doc"].to_numpy(), t["comp"].to_numpy(), t["size"].to_numpy()) for t in (first, second))
+        texts = {d: t for part in (first, second) for d, t in zip(part["doc"].to_pylist(), part["body"].to_pylist(), strict=True)}
+        sets: dict[int, set[bytes]] = {}
         a, b = [], []
         for k in range(len(dx)):
-            far = cy != cx[k]
+            far = (cy != cx[k]) & (100 * np.minimum(sy, sx[k]) >= percent * np.maximum(sy, sx[k]))
             if inner:
                 far[: k + 1] = False
-            far = np.flatnonzero(far)
-            if len(far):
-                far = far[(y[far] == x[k]).mean(1) >= least]
-                a.append(np.minimum(dx[k], dy[far])), b.append(np.maximum(dx[k], dy[far]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+            at = np.flatnonzero(far)
+            at = at[(y[at] == x[k]).mean(1) >= least] if len(at) else at
+            for d in dy[at].tolist():
+                one, two = (sets.get(i) or sets.setdefault(i, _shingles((texts[i] or "").encode(), n)) for i in (int(dx[k]), d))
+                if _linked(one, two, percent):
+                    a.append(min(int(dx[k]), d)), b.append(max(int(dx[k]), d))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -168,21 +180,24 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("hi").alias("doc"), F.col("lo").alias("comp")).unionByName(edges.select(F.col("lo").alias("doc"), F.col("lo").alias("comp")).distinct())
 
 
+def _active(own: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """Texts of some documents: a row for each id."""
+    return own.join(F.broadcast(ids) if count <= FEW_ROWS else ids, "doc", "left_semi").groupBy("doc").agg(F.min("body").alias("body"))
+
+
 def _confirmed(pairs: DataFrame, own: DataFrame, percent: int, n: int) -> DataFrame:
     """pairs: (a, b), checkpointed. Joins them with whole texts and keeps those that are alike."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    if 2 * pairs.count() <= FEW_IDS:
-        ids = F.broadcast(ids)
-    active = own.join(ids, "doc", "left_semi").groupBy("doc").agg(F.min("body").alias("body"))
+    active = _active(own, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), 2 * pairs.count())
     with_a = pairs.join(active.select(F.col("doc").alias("a"), F.col("body").alias("ta")), "a")
     return checkpoint(arrow_map(with_a.join(active.select(F.col("doc").alias("b"), F.col("body").alias("tb")), "b"), _alike(percent, n), "a long, b long"))
 
 
-def _rest(members: DataFrame, comps: DataFrame, marks: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of one bucket and different components that the first round has not met.
+def _rest(members: DataFrame, comps: DataFrame, marks: DataFrame, own: DataFrame, least: float, percent: int, n: int) -> DataFrame:
+    """Links within a bucket and between different components that the first round has not met.
 
     A component with many members in a bucket has blocks of its own, which need no comparison with each other; the
-    others share blocks. Each member goes to one group for each block that its own is to be compared with.
+    others share blocks. Each member goes, with its text, to one group for each block that its own is to be compared
+    with; pairs are tested there, so that only links come out.
     """
     once = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
     once = once.where("n > 2").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
@@ -196,7 +211,10 @@ def _rest(members: DataFrame, comps: DataFrame, marks: DataFrame, least: float)
     dealt = held.join(parts, ["bucket", "comp"]).join(blocks, "bucket").select("bucket", "doc", "comp", mine.alias("mine"), F.explode("all").alias("other"))
     dealt = dealt.where("mine.own is null or not mine.own <=> other.own")
     dealt = dealt.select("bucket", "doc", "comp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
-    return dealt.join(marks, "doc").groupBy("bucket", "lo", "hi").applyInArrow(_block_pairs(least), "a long, b long").distinct()
+    ids = held.join(mixed.select("bucket"), "bucket", "left_semi").select("doc").distinct()
+    texts = marks.join(_active(own, ids, ids.count()), "doc")
+    ship(own.sparkSession)
+    return dealt.join(texts, "doc").groupBy("bucket", "lo", "hi").applyInArrow(_block_links(least, percent, n), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -212,18 +230,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str
     own = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"))
     signed = checkpoint(arrow_map(own, _signatures(n, rows, bands), "doc long, n_shingles long, left long, right long, buckets array<long>, marks binary"))
     classes = signed.where("n_shingles > 0").groupBy("left", "right").agg(F.min("doc").alias("rep"))
-    lead = checkpoint(signed.join(classes, ["left", "right"]).where("doc = rep").select("doc", "buckets", "marks").dropDuplicates(["doc"]))
-    marks = lead.select("doc", "marks")
+    lead = checkpoint(signed.join(classes, ["left", "right"]).where("doc = rep").select("doc", "buckets", "marks", F.col("n_shingles").alias("size")).dropDuplicates(["doc"]))
+    marks = lead.select("doc", "marks", "size")
     entries = lead.select("doc", F.explode("buckets").alias("bucket"))
     hubs = entries.groupBy("bucket").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
     members = checkpoint(entries.join(hubs, "bucket"))
-    least = percent / 100 - 0.15
+    share = percent / 100
+    least = share - ERRORS * (share * (1 - share) / (rows * bands)) ** 0.5
     star = members.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    signed_pairs = lambda pairs: pairs.join(marks.select(F.col("doc").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("doc").alias("b"), F.col("marks").alias("mb")), "b")
-    links = _confirmed(checkpoint(arrow_map(signed_pairs(star), _likely(least), "a long, b long")), own, percent, n)
+    side = lambda x: marks.select(F.col("doc").alias(x), F.col("marks").alias(f"m{x}"), F.col("size").alias(f"s{x}"))
+    sized = star.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
+    links = _confirmed(checkpoint(arrow_map(sized, _likely(least), "a long, b long")), own, percent, n)
     comps = checkpoint(connected_components(links))
-    rest = _rest(members.select("bucket", "doc"), comps, marks, least).join(star, ["a", "b"], "left_anti")
-    more = _confirmed(checkpoint(rest), own, percent, n)
+    more = checkpoint(_rest(members.select("bucket", "doc"), comps, marks, own, least, percent, n))
     if not more.isEmpty():
         comps = checkpoint(connected_components(links.unionByName(more)))
     named = signed.join(classes, ["left", "right"], "left").select("doc", "n_shingles", F.coalesce("rep", "doc").alias("rep"))
