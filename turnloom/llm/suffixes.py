@@ -4,8 +4,8 @@ Sorting every suffix of a corpus at once would move each byte many times over. S
 anchor: of the grams in a window, the one with the least hash. Equal windows have equal anchors, at the same offset. Runs
 of neighbouring windows with one anchor form one piece of text, and only pieces count whose anchor occurs in several
 documents. Where all pieces around an anchor are the same by their fingerprints, as within a long passage, the least
-document has the original; where they differ, as at its ends, one piece of each kind is fetched, and each group of
-pieces is suffix-sorted to the depth of a window: suffixes start in buckets of
+document has the original; where they differ but agree on a side of the anchor, as at a passage's ends, one piece of each
+kind is fetched, and each group of pieces is suffix-sorted to the depth of a window: suffixes start in buckets of
 equal 8-grams, and a bucket is refined by sorting on the bucket pointers that stand 8, 16, 32, ... bytes further on; each
 round reuses the pointers that the last one left.
 """
@@ -155,7 +155,13 @@ def _shared_windows(found: Minimizers, hs: np.ndarray, sizes: np.ndarray) -> np.
 
 
 def _pieces(window: int, hot: np.ndarray):
-    """Pieces as (h, print, doc, run): anchor, fingerprint, and run = first window << 16 | number of windows."""
+    """Pieces as (h, print, doc, run): anchor, fingerprint, and run.
+
+    run = first window << 32 | left << 22 | right << 12 | number of windows. left and right are 10-bit fingerprints of what
+    stands on each side of the anchor, half of a window's other bytes long. Two pieces that share a window agree in one of them.
+    """
+    q = gram_size(window)
+    half = (window - q + 1) // 2
 
     def combined(parts: list[tuple]) -> pa.RecordBatch:
         """Of equal pieces of this block, those of the least document: the others' windows surely occur before."""
@@ -183,7 +189,11 @@ def _pieces(window: int, hot: np.ndarray):
                     last = np.where(each, first, last)
                     h = np.where(each, prints(first, first + window), h)
                 doc = found.doc[first]
-                run = ((first - found.first[doc]) << 16) | (last - first + 1)
+                begin, end_ = found.first[doc], found.first[doc] + found.sizes[doc]
+                anchor = found.anchor[first]
+                left = (prints(np.maximum(anchor - half, begin), anchor) >> np.uint64(54)).astype(np.int64)
+                right = (prints(anchor + q, np.minimum(anchor + q + half, end_)) >> np.uint64(54)).astype(np.int64)
+                run = ((first - begin) << 32) | (left << 22) | (right << 12) | (last - first + 1)
                 parts.append((h, prints(first, last + window), ids[k:end][doc], run))
                 n += len(first)
                 if n >= BLOCK:
@@ -205,21 +215,29 @@ def _least(h: np.ndarray, prints: np.ndarray, doc: np.ndarray, run: np.ndarray)
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition of pieces: (doc, run, ask). ask is null where the run is original, else the anchor whose pieces differ."""
+    """Of one partition of pieces: (doc, run, ask), run = first window << 16 | number of windows.
+
+    ask is null where the run is original: no other piece around its anchor agrees with it on a side. Else it is the anchor.
+    """
     parts = [tuple(c.to_numpy() for c in b.columns) for b in batches]
     if not parts:
         return
     h, prints, doc, run = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     h, prints, doc, run = _least(h, prints, doc, run)
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    group = np.cumsum(new) - 1
-    kinds = np.bincount(group, weights=np.concatenate(([True], new[1:] | (prints[1:] != prints[:-1]))))
-    uniform = kinds[group] < 2
+    ask = np.zeros(len(h), bool)
+    for shift in (22, 12):
+        side = (run >> shift) & 1023
+        order = np.lexsort((prints, side, h))
+        a, b, c = h[order], side[order], prints[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        kinds = np.bincount(np.cumsum(new) - 1, weights=np.concatenate(([True], new[1:] | (c[1:] != c[:-1]))))
+        ask[order] |= kinds[np.cumsum(new) - 1] > 1
+    run = (run >> 32 << 16) | (run & 4095)
     for k in range(0, len(h), 200_000):
         part = slice(k, k + 200_000)
-        ask = pa.array(h[part].view(np.int64), mask=uniform[part])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(run[part]), ask], names=["doc", "run", "ask"])
+        asked = pa.array(h[part].view(np.int64), mask=~ask[part])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(run[part]), asked], names=["doc", "run", "ask"])
 
 
 def _fetched(window: int):
@@ -359,6 +377,8 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     maximal removed runs in bytes). A null text is empty and loses nothing, as does one shorter than the window. A null
     id sorts first; rows that share an id count as one document. Other columns are ignored, whatever their names.
     """
+    if not 1 <= window < 4096:
+        raise ValueError("window must be from 1 to 4095 bytes")
     own = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"))
     copies = broadcast_if_few(copies_of(own))
     firsts_only = own.withColumn("print", F.xxhash64("body")).join(copies, ["doc", "print"], "left_anti").select("doc", "body")
