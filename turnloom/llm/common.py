@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpoint as checkpoint
+from ..shared import ensure_checkpoints as ensure_checkpoints
 from ..ship import ship
 
 #: Stands for a null doc_id: it sorts before every other id.
@@ -27,18 +28,6 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make a local one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
 def key_of(column: str | Column) -> Column:
     """The id as a non-null long."""
     c = F.col(column) if isinstance(column, str) else column
