@@ -21,7 +21,7 @@ NULL_ID = -(2**63)
 CHUNK = 1 << 18
 
 #: Hashes that a map task gathers before it combines and emits them.
-BLOCK = 1_500_000
+BLOCK = 1_000_000
 
 
 def shuffle_width(df: DataFrame) -> int:

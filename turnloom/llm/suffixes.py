@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import BLOCK, SliceHashes, arrow_map, broadcast_if_few, chunks, copies_of, flat_lists, gather_anchors, key_of, long_batch, mix, shared_anchors, shuffle_width, texts_of
 
 #: Bytes of pieces that are suffix-sorted together; a larger group of one anchor is sorted alone.
-SORTED = 3 << 20
+SORTED = 1 << 20
 
 #: One document in so many is looked at for anchors that are in very many documents.
 HOT_SAMPLE = 64
