@@ -28,7 +28,8 @@ def test_frozen_probabilities_sum_to_one():
         g = language._grams([t])[0].astype(np.int64)
         code, n = np.unique(g[0] << 24 | g[1] << 16 | g[2] << 8 | g[3], return_counts=True)
         rows += [(name, int(c), int(k)) for c, k in zip(code, n, strict=True)]
-    trees = grow_trees(rows, contexts=50)
+    names, gram, n = zip(*rows, strict=True)
+    trees = grow_trees(list(names), np.array(gram), np.array(n), contexts=50)
     p = np.exp2(-trees.bits.reshape(-1, trees.letters, 2).astype(float))
     share = np.ones(trees.letters)
     share[0] = 256 - (trees.letters - 1)
@@ -40,7 +41,8 @@ def test_code_lengths_by_hand():
     """One document "ab": contexts seen once have escape one half."""
     g = language._grams([b"ab"])[0].astype(np.int64)
     rows = [("l", int(x), 1) for x in (g[0] << 24 | g[1] << 16 | g[2] << 8 | g[3])]
-    trees = grow_trees(rows)
+    names, gram, n = zip(*rows, strict=True)
+    trees = grow_trees(list(names), np.array(gram), np.array(n))
     # "a" after three zeros was seen: n = 1, kinds = 1, so 1 / 2; so was "b" after "a"
     assert np.allclose(code_lengths(trees, [b"ab"])[0], [2.0], atol=1e-4)
     # an unseen byte: escapes from all orders down to the uniform one

@@ -20,6 +20,9 @@ NULL_ID = -(2**63)
 #: Bytes of text that numpy handles at a time; a longer text is handled alone.
 CHUNK = 1 << 18
 
+#: Rows that a Python function gets at a time.
+ROWS = 1000
+
 #: Hashes that a map task gathers before it combines and emits them.
 BLOCK = 1_000_000
 
@@ -35,8 +38,13 @@ def key_of(column: str | Column) -> Column:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of ROWS rows at most, so that a task holds few long texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        return fn(b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
+
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

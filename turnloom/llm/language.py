@@ -22,7 +22,7 @@ from .common import arrow_map, chunks, texts_of
 TRAIN_DOCS = 1500
 
 #: Contexts of three bytes that are kept, the most frequent ones; others end at two bytes.
-CONTEXTS = 40_000
+CONTEXTS = 20_000
 
 #: Languages with fewer labelled documents than the 1000 most frequent are not learned.
 LANGUAGES = 1000
@@ -54,7 +54,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, texts = np.array(b.column(0).to_pylist(), object), texts_of(b.column(1))
         for one in sorted(set(lang)):
             mine = [t for t, x in zip(texts, lang == one, strict=True) if x]
-            for k, end in chunks(map(len, mine), 8 << 20):
+            for k, end in chunks(map(len, mine), 1 << 20):
                 g = _grams(mine[k:end])[0].astype(np.uint32)
                 code, n = np.unique(g[0] << 24 | g[1] << 16 | g[2] << 8 | g[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
@@ -74,13 +74,12 @@ def _finer(counts: np.ndarray, shorter: np.ndarray, rare: int) -> np.ndarray:
     return np.where(n == 0, shorter, np.where(seen, counts / np.maximum(n + kinds, 1), below))
 
 
-def grow_trees(rows: list[tuple[str, int, int]], contexts: int = CONTEXTS) -> Trees | None:
-    """rows: (language, four bytes as a number, count)."""
-    if not rows:
+def grow_trees(names: list[str], gram: np.ndarray, n: np.ndarray, contexts: int = CONTEXTS) -> Trees | None:
+    """Of each row the language, four bytes as a number, and their count."""
+    if not len(names):
         return None
-    languages = sorted({r[0] for r in rows})
-    lang = np.array([languages.index(r[0]) for r in rows])
-    gram, n = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64)
+    found, lang = np.unique(np.asarray(names, object).astype(str), return_inverse=True)
+    languages, n = found.tolist(), n.astype(np.float64)
     parts = [gram >> 24 & 255, gram >> 16 & 255, gram >> 8 & 255, gram & 255]
     used = np.unique(np.concatenate(parts))
     letter = np.zeros(256, np.int64)
@@ -125,7 +124,8 @@ def train_trees(train: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share = train.sparkSession.createDataFrame([(r["lang"], min(1.0, docs / r["n"])) for r in sizes], "lang string, share double")
     picked = named.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(2**32)) < F.col("share") * float(2**32))
     counts = arrow_map(picked.select("lang", "body"), _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return grow_trees([tuple(r) for r in counts.collect()])
+    table = counts.toArrow()  # bounded by the sample
+    return grow_trees(table["lang"].to_pylist(), table["gram"].to_numpy(), table["n"].to_numpy())
 
 
 def code_lengths(trees: Trees, texts: list[bytes]) -> np.ndarray:
