@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ CHUNK = 1 << 18
 ROWS = 1000
 
 #: Hashes that a map task gathers before it combines and emits them.
-BLOCK = 1_000_000
+BLOCK = 500_000
 
 
 def shuffle_width(df: DataFrame) -> int:
@@ -37,11 +38,23 @@ def key_of(column: str | Column) -> Column:
     return F.coalesce(c.cast("long"), F.lit(NULL_ID))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps its Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches of ROWS rows at most, so that a task holds few long texts at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        return fn(b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
+        finally:
+            give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
