@@ -72,6 +72,20 @@ def test_pairs(spark):
     assert A.shared_source_pairs(a, most=2).count() == 0
 
 
+def test_pairs_of_logs_with_many_articles(spark):
+    few = [("a", ["x", "y", "x"]), ("b", ["y", "x", None]), ("c", ["x"]), ("d", ["z"]), ("e", []), ("f", None), ("g", ["y"])]
+    a = spark.createDataFrame(few, "key string, sources array<string>")
+    want = [("a", "b", 2), ("a", "c", 1), ("a", "g", 1), ("b", "c", 1), ("b", "g", 1)]
+    for block in (1, 2, 1000):
+        assert sorted(map(tuple, A.shared_source_pairs(a, block=block).collect())) == want
+    many = spark.range(1100).select(F.format_string("k%04d", "id").alias("key"), F.when(F.col("id") < 2, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x"))).alias("sources"))
+    got = A.shared_source_pairs(many)
+    assert (got.count(), got.where("a < b").distinct().count()) == (1100 * 1099 // 2,) * 2
+    assert [tuple(r) for r in got.where("shared = 2").collect()] == [("k0000", "k0001", 2)]
+    classes = A.source_classes(many)
+    assert sorted(r["shared"] for r in A.class_pairs(classes).collect()) == [1, 1, 2]
+
+
 def test_retrieval(spark):
     a = articles(spark, concepts_a="alpha beta gamma delta", concepts_b="alpha zeta", concepts_c="other words here", concepts_d="more words", concepts_e="yet more")
     q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "nothing known")], "question_id int, question string")

@@ -10,6 +10,9 @@ from ..functions.text import index_row, mentions, slugify, wikilinks
 #: Kinds in their fixed order.
 KINDS = ("concepts", "connections", "qa")
 
+#: Articles or classes of a log that are compared with as many others in one place.
+BLOCK = 1000
+
 EMPTY_INDEX = "# Knowledge Base Index\n\n| Article | Summary | Compiled From | Updated |\n|---------|---------|---------------|---------|"
 
 
@@ -64,16 +67,50 @@ def file_back(answers: DataFrame, updated: str = "2024-01-31") -> DataFrame:
     return answers.select("question_id", F.lit("qa").alias("kind"), F.concat(key, F.lit(".md")).alias("path"), key.alias("key"), text.alias("content"), F.col("consulted").alias("sources"), F.lit(updated).cast("date").alias("updated"))
 
 
-def shared_source_pairs(articles: DataFrame, most: int = 1000) -> DataFrame:
+def source_classes(articles: DataFrame) -> DataFrame:
+    """(key, class, logs): articles that cite the same source logs are of one class, which the JSON text of its logs names."""
+    each = articles.select("key", F.explode("sources").alias("source")).where("source is not null")
+    logs = each.groupBy("key").agg(F.array_sort(F.collect_set("source")).alias("logs"))
+    return logs.select("key", F.to_json("logs").alias("class"), "logs")
+
+
+def class_pairs(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(left, right, shared): classes with a common log, left before right, and each class with itself.
+
+    A log's classes are dealt out in blocks of about `block`, and blocks meet two at a time, so that no log is one task.
+    """
+    own = classes.groupBy("class").agg(F.first("logs").alias("logs"))
+    each = own.select("class", F.explode("logs").alias("source"))
+    blocks = each.groupBy("source").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = each.join(blocks, "source").withColumn("at", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    span = lambda a, b: F.explode(F.sequence(a, b))
+    first = dealt.select("source", F.col("class").alias("x"), F.col("at").alias("p"), span(F.col("at"), F.col("blocks") - 1).alias("q"))
+    second = dealt.select("source", F.col("class").alias("y"), F.col("at").alias("q"), span(F.lit(0), F.col("at")).alias("p"))
+    met = first.join(second, ["source", "p", "q"]).where("p < q or x < y")
+    several = met.groupBy(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).agg(F.count("*").alias("shared"))
+    return several.unionByName(own.select(F.col("class").alias("left"), F.col("class").alias("right"), F.size("logs").cast("long").alias("shared")))
+
+
+def shared_source_pairs(articles: DataFrame, most: int | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs of articles (a < b) with a common source log, and how many logs they share.
 
-    A log that more than `most` articles cite does not tell two of them to be related; such logs are left out.
+    Logs are compared once for each two classes; then the classes' members meet in blocks of about `block`. All pairs are
+    as many as the square of a log's articles: class_pairs with source_classes says the same in fewer rows. With `most`,
+    logs that more than so many articles cite are left out.
     """
-    each = articles.select("key", F.explode(F.array_distinct("sources")).alias("source"))
-    few = each.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("source")
-    each = each.join(few, "source")
-    a, b = each.select("source", F.col("key").alias("a")), each.select("source", F.col("key").alias("b"))
-    return a.join(b, "source").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    if most is not None:
+        each = articles.select("key", F.explode(F.array_distinct("sources")).alias("source"))
+        few = each.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("source")
+        articles = each.join(few, "source").groupBy("key").agg(F.collect_set("source").alias("sources"))
+    classes = source_classes(articles)
+    sizes = classes.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = classes.join(sizes, "class").withColumn("at", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    members = dealt.groupBy("class", "at").agg(F.collect_list("key").alias("keys"))
+    first = members.select(F.col("class").alias("left"), F.col("at").alias("p"), F.col("keys").alias("xs"))
+    second = members.select(F.col("class").alias("right"), F.col("at").alias("q"), F.col("keys").alias("ys"))
+    met = class_pairs(classes, block).join(first, "left").join(second, "right").where("left < right or p <= q").repartition("left", "right", "p", "q")
+    pairs = met.withColumn("x", F.explode("xs")).withColumn("y", F.explode("ys")).where("left < right or p < q or x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
 
 
 def kb_size(articles: DataFrame) -> DataFrame:
