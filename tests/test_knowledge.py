@@ -95,6 +95,13 @@ def test_retrieval(spark):
     assert R.pack(top, a, budget=5).count() == 0
 
 
+def test_retrieval_by_common_terms(spark):
+    a = articles(spark, concepts_a="alpha beta gamma delta", concepts_b="alpha beta gamma", concepts_c="alpha other")
+    q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta gamma delta")], "question_id int, question string")
+    top = {(r["question_id"], r["rank"]): (r["key"], r["score"]) for r in R.top_articles(q, a).collect()}
+    assert top == {(1, 1): ("concepts/a", 666), (1, 2): ("concepts/b", 666), (2, 1): ("concepts/a", 1332), (2, 2): ("concepts/b", 666)}
+
+
 def test_recent_log_and_injection(spark):
     dates = spark.sql("select explode(sequence(date'2024-01-02', date'2024-01-04')) d")
     logs = spark.sql("select '2024-01-02.md' file, date'2024-01-02' log_date, 'l1\\nl2\\n' content")

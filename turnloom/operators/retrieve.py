@@ -7,27 +7,36 @@ from pyspark.sql import functions as F
 
 from ..functions.text import last_lines, long_date, ordered_concat, truncate_head
 
-#: Terms in more than this share of the articles tell nothing and are left out.
+#: The registered queries' SQL leaves terms in more than this share of the articles out; the operator does so only if told.
 COMMON = 0.2
 
+#: Rows of question terms up to which they are broadcast.
+FEW_ROWS = 3_000_000
+
 
 def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 2))
 
 
-def top_articles(questions: DataFrame, articles: DataFrame, k: int = 10, min_score: int = 3, common: float = COMMON) -> DataFrame:
+def top_articles(questions: DataFrame, articles: DataFrame, k: int = 10, min_score: int = 3, common: float | None = None) -> DataFrame:
     """questions (question_id, question), articles (key, content): the k best articles of each question.
 
     The score is the sum over shared terms of 1000 * (N - df) div N, a whole number, so that ties are exact and go by
-    key; min_score terms must be shared. Questions without such an article have one row with nulls.
+    key; min_score terms must be shared. All terms count; with `common`, those in more than that share of the articles
+    do not. Questions without such an article have one row with nulls.
     """
     docs = articles.select("key", F.explode(terms(F.col("content"))).alias("term"))
     asked = questions.select("question_id", F.explode(terms(F.col("question"))).alias("term"))
-    wanted = docs.join(asked.select("term").distinct(), "term", "left_semi")
+    few = asked.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    beside = F.broadcast if few else lambda df: df
+    wanted = docs.join(beside(asked.select("term").distinct()), "term", "left_semi")
     total = articles.agg(F.count("*").alias("total"))
-    df = wanted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).where(F.col("df") <= F.col("total") * common)
+    df = wanted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
+    if common is not None:
+        df = df.where(F.col("df") <= F.col("total") * common)
     weight = F.expr("(1000 * (total - df)) div total").alias("weight")
-    hits = wanted.join(df.select("term", weight), "term").join(asked, "term")
+    # an article's terms lie together in the scan, so they are summed before anything is shuffled
+    hits = docs.join(beside(asked.join(df.select("term", weight), "term")), "term")
     scores = hits.groupBy("question_id", "key").agg(F.sum("weight").alias("score"), F.count("*").alias("n")).where(F.col("n") >= min_score)
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "key")
     top = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -332,19 +332,19 @@ def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @_query
 def retrieve_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_articles(*_ranked(spark, d)).fillna(0, ["score", "rank"])
+    return R.top_articles(*_ranked(spark, d), common=R.COMMON).fillna(0, ["score", "rank"])
 
 
 @_query
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
     q, a = _ranked(spark, d)
-    return R.pack(R.top_articles(q, a), a).select("question_id", "n_articles", "n_chars", F.md5("pack").alias("pack_md5"))
+    return R.pack(R.top_articles(q, a, common=R.COMMON), a).select("question_id", "n_articles", "n_chars", F.md5("pack").alias("pack_md5"))
 
 
 @_query
 def qa_file_back(spark: SparkSession, d: str) -> DataFrame:
     q, a = _ranked(spark, d)
-    top = R.top_articles(q, a).where("key is not null").groupBy("question_id").agg(F.array_sort(F.collect_list("key")).alias("consulted"))
+    top = R.top_articles(q, a, common=R.COMMON).where("key is not null").groupBy("question_id").agg(F.array_sort(F.collect_list("key")).alias("consulted"))
     answers = q.join(top, "question_id").withColumn("answer", F.concat(F.lit("Found "), F.size("consulted").cast("string")))
     return A.file_back(answers).select("question_id", "key", F.array_join("sources", ",").alias("consulted"), F.md5("content").alias("content_md5"), "updated")
 
