@@ -18,8 +18,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no text, or no letter in it) go."""
-    return identify(docs.select(COLUMNS), docs).where(F.col("lang_pred") != UNKNOWN).select(COLUMNS)
+    """Documents without a letter go. One whose lang is null gets the predicted one, if any language could be learned."""
+    out = identify(docs.select(COLUMNS), docs).where(F.col("text").rlike(r"\p{L}"))
+    named = F.when(F.col("lang_pred") != UNKNOWN, F.col("lang_pred"))
+    return out.withColumn("lang", F.coalesce("lang", named)).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

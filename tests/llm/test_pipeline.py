@@ -33,6 +33,18 @@ def test_language_stage(outs):
     assert sorted(outs["language_id"]) == sorted(r for r in outs["documents"] if letters(r[1]))
 
 
+def test_language_stage_with_null_languages(spark, sf_dir):
+    rows = [(k, t, lang, "s", len(t)) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 5)]
+    rows += [(10, "der hund und die katze", None, "s", 22), (11, "123 !?", None, "s", 6), (12, None, "en", "s", 0), (13, "the cat and the dog", "de", "s", 19)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, kind)
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, docs, sf_dir).collect()}
+    assert got == {r[0]: r[2] for r in rows[:10]} | {10: "de", 13: "de"}
+    none = spark.createDataFrame([r[:2] + (None,) + r[3:] for r in rows], kind)
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, none, sf_dir).collect()}
+    assert got == dict.fromkeys([*range(11), 13])
+
+
 def test_near_dedup_stage(outs):
     keep = {i for i, x in components(pairs(outs["language_id"]), 80).items() if x[2]}
     assert sorted(outs["near_dedup"]) == sorted(r for r in outs["language_id"] if r[0] in keep)
