@@ -45,6 +45,14 @@ def test_dedup_is_the_greedy_fold(spark, rows):
     assert kept(FL.dedup(df, mode="single_slot")) == fold(rows, single=True)
 
 
+def test_dedup_of_a_busy_session(spark):
+    rows = [("a", t) for t in range(3000, 15000, 7)] + [("b", t) for t in range(3590, 3660)] + [("b", 7199), ("b", 7250), ("b", 7259)] + [(None, 0), (None, 59), (None, 60)]
+    df = events(spark, *rows)
+    assert kept(FL.dedup(df)) == fold(rows)
+    assert kept(FL.dedup(df.where("session_id = 'a'"), mode="single_slot")) == fold([r for r in rows if r[0] == "a"])
+    assert "collect_list" not in FL.dedup(df)._jdf.queryExecution().toString()
+
+
 def test_route(spark):
     df = spark.createDataFrame([(1, "a FLUSH_ERROR FLUSH_OK"), (2, "FLUSH_ERROR: x"), (3, ""), (4, "text"), (5, None)], "id int, response string")
     assert {r["id"]: r["section"] for r in FL.route(df).collect()} == {2: "Memory Flush", 3: "Session", 4: "Session", 5: "Session"}

@@ -2,49 +2,126 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ordered_concat, py_strip
+from ..ship import ship
 
 SECONDS = 60
 
+#: Microseconds of a run that are folded in one place.
+SPAN = 3_600_000_000
+
 LOG_HEADER = "# Daily Log: %s\n\n## Sessions\n\n## Memory Maintenance\n\n"
 
 #: Section headers of a response. Fixed values.
 SECTIONS = ("Context", "Key Exchanges", "Decisions Made", "Lessons Learned", "Action Items")
 
 
-def _greedy(runs: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """Folds each run in order: an event within `seconds` of the last one kept goes; a skip does not refresh."""
-    us = F.unix_micros("ts")
-    rows = F.array_sort(F.collect_list(F.struct(us.alias("us"), "event_id", "ts", "source")))
-    grouped = runs.groupBy(*keys).agg(rows.alias("rows"))
-    kind = "struct<kept: array<struct<us: bigint, event_id: bigint, ts: timestamp, source: string>>, last: bigint>"
-    start = F.struct(F.array().alias("kept"), F.lit(None).alias("last")).cast(kind)
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where each begins; rows are sorted by group and numbered from 1 in it (column n)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        begins = np.flatnonzero(b.column("n").to_numpy(zero_copy_only=False) == 1)
+        if not len(begins):
+            held.append(b)
+            continue
+        held.append(b.slice(0, begins[-1]))
+        yield from _whole(held)
+        held = [b.slice(begins[-1])]
+    yield from _whole(held)
+
+
+def _whole(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    if sum(b.num_rows for b in held):
+        table = pa.Table.from_batches(held)
+        yield table, np.append(np.flatnonzero(table["n"].to_numpy() == 1), table.num_rows)
 
-    def step(acc, r):  # noqa: ANN001, ANN202
-        skip = acc["last"].isNotNull() & (r["us"] - acc["last"] < seconds * 1_000_000)
-        return F.when(skip, acc).otherwise(F.struct(F.concat(acc["kept"], F.array(r)).alias("kept"), r["us"].alias("last")).cast(kind))
 
-    kept = F.aggregate("rows", start, step)["kept"]
-    return grouped.select("session_id", F.explode(kept).alias("r")).select("session_id", "r.ts", "r.event_id", "r.source")
+def _exits(us: np.ndarray, entries: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last event kept for each event that may be kept first: upto[k] is the last of those with exit[k]."""
+    at = np.arange(entries)
+    follow = np.searchsorted(us, us[at] + step)
+    while (follow < len(us)).any():
+        at = np.where(follow < len(us), np.minimum(follow, len(us) - 1), at)
+        follow = np.searchsorted(us, us[at] + step)
+    ends = np.flatnonzero(np.append(at[1:] != at[:-1], True))
+    return us[ends], us[at[ends]]
+
+
+def _greedy(runs: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """Folds each run in order: an event within `seconds` of the last one kept goes; a skip does not refresh.
+
+    A run is cut by the hour. An hour is folded from each event that may be the first kept one in it, which are those of
+    its first `seconds` and the next; then a run's hours are chained, a row each; then each hour is folded once more.
+    """
+    ship(runs.sparkSession)
+    step = seconds * 1_000_000
+    us = F.unix_micros("ts")
+    names = [f"k{k}" for k in range(len(keys))]
+    rows = runs.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], (us - F.pmod(us, F.lit(SPAN))).alias("span"), us.alias("us"), "session_id", "ts", "event_id", "source")
+    inside = F.row_number().over(Window.partitionBy(*names, "span").orderBy("ts", "event_id")).alias("n")
+
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in _groups(batches):
+            times, span = table["us"].to_numpy(), table["span"].to_numpy()
+            out = []
+            for a, z in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                t = times[a:z]
+                out.append((t, t) if z == a + 1 else _exits(t, min(int(np.searchsorted(t, span[a] + step)) + 1, z - a), step))
+            first = table.take(pa.array(begins[:-1])).select([*names, "span"])
+            longs = pa.list_(pa.int64())
+            yield from first.append_column("upto", pa.array([x for x, _ in out], longs)).append_column("exit", pa.array([y for _, y in out], longs)).combine_chunks().to_batches()
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            before = []
+            for n, upto, end in zip(b.column("n").to_pylist(), b.column("upto").to_pylist(), b.column("exit").to_pylist(), strict=True):
+                last = None if n == 1 else last
+                before.append(last)
+                k = 0 if last is None else int(np.searchsorted(upto, last + step))
+                last = end[k] if k < len(end) else last
+            yield b.select([*names, "span"]).append_column("before", pa.array(before, pa.int64()))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in _groups(batches):
+            times, before = table["us"].to_numpy(), table["before"].to_pylist() if table["before"].null_count else table["before"].to_numpy()
+            kept = []
+            for a, z in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                at = a if before[a] is None else a + int(np.searchsorted(times[a:z], before[a] + step))
+                while at < z:
+                    kept.append(at)
+                    at += int(np.searchsorted(times[at:z], times[at] + step))
+            yield from table.take(pa.array(kept, pa.int64())).select(["session_id", "ts", "event_id", "source"]).combine_chunks().to_batches()
+
+    kind = lambda df: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    timed = rows.where("ts is not null")
+    by = timed.select(*names, "span")
+    hours = timed.select(*names, "span", "us", inside).mapInArrow(exits, kind(by) + ", upto array<long>, exit array<long>")
+    hours = hours.withColumn("n", F.row_number().over(Window.partitionBy(*names).orderBy("span")))
+    carried = hours.mapInArrow(chain, kind(by) + ", before long")
+    carried = carried.select(*[F.col(n).alias(f"_{n}") for n in (*names, "span")], "before")
+    same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in (*names, "span")]
+    out = timed.join(carried, same).select(*names, "span", "us", "before", "session_id", "ts", "event_id", "source").select("us", "before", "session_id", "ts", "event_id", "source", inside)
+    kept = ["session_id", "ts", "event_id", "source"]
+    return out.mapInArrow(fold, kind(timed.select(kept))).unionByName(rows.where("ts is null").select(kept))
 
 
 def dedup(events: DataFrame, seconds: int = SECONDS, mode: str = "per_session", bucket: str = "hour") -> DataFrame:
     """flush events (session_id, ts, source, event_id as tie-break): drops an event within `seconds` of the last kept one.
 
     per_session: each session by itself. single_slot: only the very last kept event counts, of whatever session.
-    An event that follows the one before it after `seconds` or more is always kept, so the fold, which gathers rows,
-    runs over islands of close events, never over a session. single_slot orders all events: within an hour (bucket) by
-    a window, and across hours by one row an hour.
+    A session's events are dealt out by the hour, and one row an hour is carried on, so a busy session is not one task.
+    single_slot orders all events: within an hour (bucket) by a window, and across hours by one row an hour.
     """
     if mode == "per_session":
-        order = Window.partitionBy("session_id").orderBy("ts", "event_id")
-        gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order)
-        start = F.when(gap < seconds * 1_000_000, 0).otherwise(1)
-        runs = events.withColumn("__start", start).withColumn("__run", F.sum("__start").over(order))
-        return _greedy(runs, ["session_id", "__run"], seconds)
+        return _greedy(events, ["session_id"], seconds)
     hours = events.withColumn("__b", F.date_trunc(bucket, "ts"))
     last = hours.groupBy("__b").agg(F.max_by(F.struct("session_id", "ts"), F.struct("ts", "event_id")).alias("last"))
     over_hours = Window.orderBy("__b")  # one row an hour
