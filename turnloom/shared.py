@@ -20,6 +20,23 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and where that is.
+
+    Unlike a checkpoint, a table has its true size: sizes that Spark only estimates are multiplied with each join, which
+    in a loop makes them numbers of millions of digits.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     ensure_checkpoints(df.sparkSession)
     return df.checkpoint()
