@@ -141,7 +141,8 @@ def components(rows, percent):
 
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates(spark, percent, monkeypatch):
-    monkeypatch.setattr(minhash, "MEMBERS", 4)  # so that buckets have several blocks
+    # so that buckets, regions and stars have several blocks
+    monkeypatch.setattr(minhash, "MEMBERS", 4), monkeypatch.setattr(minhash, "TEXTS", 5), monkeypatch.setattr(minhash, "LEAVES", 3)
     rng = random.Random(percent)
     rows = []
     for base in range(6):
@@ -161,6 +162,35 @@ def test_near_duplicates(spark, percent, monkeypatch):
     assert got == components(rows, percent)
 
 
+def test_near_duplicates_of_shared_and_null_ids(spark):
+    """Rows that share an id, or have none, are one document, and no row's links are lost."""
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"{x}{rng.randint(0, 500)}" for _ in range(60)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "other words here"), (4, None), (None, c), (None, d), (7, c + " x"), (8, d + " y"), (9, d.upper()), (1, a), (5, None), (6, ""), (4, "")]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(frame(spark, rows)).collect())
+    least = common.NULL_ID
+    comp = {"1": 1, "2": 1, "3": 1, "4": 4, "None": least, "7": least, "8": least, "9": least, "5": 5, "6": 6}
+    size = lambda t: max(len(t.split()) - 4, 1) if (t or "").split() else 0
+    assert got == sorted((str(i), size(t), comp[str(i)], str(i) in ("1", "4", "None", "5", "6")) for i, t in rows)
+
+
+def test_dealt_groups_meet_once(spark, monkeypatch):
+    """Any two members of a key that are of different components meet in just one group."""
+    rng = random.Random(9)
+    rows = [(key, node, comp, 1) for key, n in ((1, 3), (2, 40), (3, 60)) for node, comp in ((k + 100 * key, rng.choice([0, 0, 0, 1, 1, *range(10, 30)])) for k in range(n))]
+    df = spark.createDataFrame(rows, "key long, node long, comp long, weight int")
+    met = Counter()
+    groups = {}
+    for r in minhash._dealt(df, 5).collect():
+        groups.setdefault((r["key"], r["lo"], r["hi"]), []).append((r["side"], r["node"], r["comp"]))
+    for (_, lo, hi), members in groups.items():
+        for x in members:
+            for y in members:
+                if x[1] < y[1] and x[2] != y[2] and (lo == hi or x[0] != y[0]):
+                    met[x[1], y[1]] += 1
+    assert met == Counter({(x[1], y[1]): 1 for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2]})
+
+
 def test_connected_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 105), (103, 105), (7, 7)]
     got = {r["doc"]: r["comp"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -1,8 +1,9 @@
 """MinHash near-dedup: many universal hash minima, banding, verification, components by large-star and small-star.
 
-Documents with the same shingle set are one class, of which only the least document goes on. Band buckets link each
-member to the bucket's least document; a second round compares what a bucket still holds of different components, in
-blocks of members. Candidates are verified on their signatures, then on their full shingle sets.
+Rows with the same text are one class, of which one row goes on as a node. Band buckets link each node to the bucket's
+least one; pairs that their signatures hold likely are confirmed on full shingle sets. What a bucket then still holds of
+different components is compared on signatures, in blocks, which yields regions: nodes that likely pairs connect. Texts
+of a region meet in blocks, once, however many buckets the nodes share.
 """
 
 from __future__ import annotations
@@ -12,17 +13,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..ship import ship
-from .common import FEW_ROWS, Words, arrow_map, checkpoint, chunks, key_of, texts_of
+from ..shared import forget, written
+from .common import Words, arrow_map, broadcast_if_few, checkpoint, chunks, key_of, shuffle_width, texts_of
 
 #: 1 - (1 - 0.8 ** 7) ** 48: a pair of similarity 0.8 shares a bucket but for one case in 10**5, of 0.85 in 10**8.
 ROWS, BANDS = 7, 48
 
-#: Members of a bucket that are compared with each other in one task.
-MEMBERS = 256
+#: Signatures of a bucket that are compared with each other in one group.
+MEMBERS = 2048
+
+#: Texts of a region that are compared with each other in one group, and the bytes by which a long one counts as several.
+TEXTS, TEXT_BYTES = 512, 2048
+
+#: Leaves that are compared with their hub in one group.
+LEAVES = 1000
+
+#: Links of a task, so that small graphs do not spread over as many tasks as large ones.
+LINKS = 50_000
 
 #: Standard errors by which an estimate may fall short of the similarity asked for: one pair in 10**6 falls shorter.
 ERRORS = 4.75
@@ -65,22 +75,20 @@ def _signatures(n: int, rows: int, bands: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.lower() for t in texts_of(batch.column(1))]
-            sizes, left, right, buckets, marks = [], [], [], [], []
+            texts = [t.lower() for t in texts_of(batch.column(2))]
+            sizes, buckets, marks = [], [], []
             for k, end in chunks(map(len, texts)):
                 for x in shingle_hashes(texts[k:end], n):
                     sizes.append(len(x))
                     if not len(x):
-                        left.append(0), right.append(0), buckets.append(None), marks.append(None)
+                        buckets.append(None), marks.append(None)
                         continue
-                    digest = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), "<i8")
-                    left.append(int(digest[0])), right.append(int(digest[1]))
                     least = minima((x >> np.uint64(32)).astype(np.uint32), a, b)
                     buckets.append([xxhash.xxh3_64_intdigest(least[i * rows : i * rows + rows].tobytes(), i) - 2**63 for i in range(bands)])
                     marks.append((least >> np.uint32(8)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                names=["doc", "n_shingles", "left", "right", "buckets", "marks"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                names=["id", "same", "n_shingles", "buckets", "marks"],
             )
 
     return run
@@ -111,142 +119,275 @@ def _linked(x: set[bytes], y: set[bytes], percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _alike(percent: int, n: int):
-    """Pairs whose full shingle sets are alike."""
+def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _star_links(percent: int, n: int):
+    """Rows (a, part, leaf, node, body), sorted: a hub's text, then its leaves'. Links between those whose sets are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: set[bytes] = set()
         for batch in batches:
-            keep, last, own = [], None, set()
-            for x, y in zip(texts_of(batch.column("ta")), texts_of(batch.column("tb")), strict=True):
-                if x != last:
-                    last, own = x, _shingles(x, n)
-                keep.append(_linked(own, _shingles(y, n), percent))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            hubs, leaves = [], []
+            for a, leaf, node, text in zip(batch.column("a").to_pylist(), batch.column("leaf").to_pylist(), batch.column("node").to_pylist(), texts_of(batch.column("body")), strict=True):
+                if not leaf:
+                    own = _shingles(text, n)
+                elif _linked(own, _shingles(text, n), percent):
+                    hubs.append(a), leaves.append(node)
+            yield _pairs(hubs, leaves)
 
     return run
 
 
-def _block_links(least: float, percent: int, n: int):
-    """Links between the members of two blocks, or of one, that are of different components."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        side = table["side"].to_numpy()
-        first, second = (table.filter(pa.array(side == s)) for s in (0, 1))
-        if first.num_rows == 0:  # the other block has no members
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        inner = second.num_rows == 0
-        second = first if inner else second
-        x, y = (np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (first, second))
-        (dx, cx, sx), (dy, cy, sy) = ((t["doc"].to_numpy(), t["comp"].to_numpy(), t["size"].to_numpy()) for t in (first, second))
-        texts = {d: t for part in (first, second) for d, t in zip(part["doc"].to_pylist(), part["body"].to_pylist(), strict=True)}
-        sets: dict[int, set[bytes]] = {}
-        a, b = [], []
-        for k in range(len(dx)):
-            far = (cy != cx[k]) & (100 * np.minimum(sy, sx[k]) >= percent * np.maximum(sy, sx[k]))
-            if inner:
-                far[: k + 1] = False
-            at = np.flatnonzero(far)
-            at = at[(y[at] == x[k]).mean(1) >= least] if len(at) else at
-            for d in dy[at].tolist():
-                one, two = (sets.get(i) or sets.setdefault(i, _shingles((texts[i] or "").encode(), n)) for i in (int(dx[k]), d))
-                if _linked(one, two, percent):
-                    a.append(min(int(dx[k]), d)), b.append(max(int(dx[k]), d))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+class _Held:
+    """Rows of one group that the rows that follow are compared with."""
+
+    def __init__(self, width: int):
+        self.n, self.width, self.texts, self.sets = 0, width, [], {}
+        self.marks, self.columns = np.empty((64, width), np.uint8), np.empty((4, 64), np.int64)
+
+    def add(self, marks: np.ndarray, node: int, comp: int, size: int, label: int, text: bytes | None) -> None:
+        if self.n == len(self.marks):
+            self.marks = np.concatenate((self.marks, np.empty_like(self.marks)))
+            self.columns = np.concatenate((self.columns, np.empty_like(self.columns)), axis=1)
+        self.marks[self.n], self.columns[:, self.n] = marks, (node, comp, size, label)
+        self.texts.append(text)
+        self.n += 1
+
+    def near(self, marks: np.ndarray, comp: int, size: int, label: int, least: float, percent: int) -> np.ndarray:
+        """Rows of other components and labels that may be alike by size and signature."""
+        _, comps, sizes, labels = self.columns[:, : self.n]
+        at = np.flatnonzero((comps != comp) & (labels != label) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)))
+        return at[(self.marks[at] == marks).mean(1) >= least] if len(at) else at
+
+    def shingles(self, k: int, n: int) -> set[bytes]:
+        if k not in self.sets:
+            self.sets[k] = _shingles(self.texts[k], n)
+        return self.sets[k]
+
+
+def _block_links(least: float, percent: int, n: int, confirm: bool):
+    """Rows (key, lo, hi, side, node, comp, size, marks[, body]), sorted: those of side 0, then those of side 1.
+
+    Compares both sides, or where there is but side 0, its rows with each other. Yields a spanning set of links:
+    confirm: between components, of pairs whose sets are alike; else between nodes of different components, of likely
+    pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, merged = None, _Held(0), {}
+
+        def name(x: int) -> int:
+            while x in merged:
+                x = merged[x]
+            return x
+
+        for batch in batches:
+            found: tuple[list[int], list[int]] = ([], [])
+            groups = zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi")), strict=True)
+            rows = zip(groups, *(batch.column(c).to_pylist() for c in ("side", "node", "comp", "size", "marks")), texts_of(batch.column("body")) if confirm else [None] * batch.num_rows, strict=True)
+            for group, side, node, comp, size, raw, text in rows:
+                if group != key:
+                    key, held, merged = group, _Held(len(raw)), {}
+                marks = np.frombuffer(raw, np.uint8)
+                label, own = name(comp if confirm else node), None
+                if side or group[1] == group[2]:
+                    for k in held.near(marks, comp, size, label, least, percent).tolist():
+                        other = int(held.columns[3, k])
+                        if other == label:
+                            continue
+                        if confirm:
+                            own = own or _shingles(text, n)
+                            if not _linked(own, held.shingles(k, n), percent):
+                                continue
+                        found[0].append(int(held.columns[0, k])), found[1].append(node)
+                        labels = held.columns[3, : held.n]
+                        labels[labels == other] = label
+                        merged[other] = label
+                if not side:
+                    held.add(marks, node, comp, size, label, text)
+                    if own:
+                        held.sets[held.n - 1] = own
+            yield _pairs(*found)
 
     return run
 
 
+def _tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more tasks than its rows need."""
+    return df.coalesce(max(1, min(shuffle_width(df), -(-rows // LINKS))))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """links: (a, b). Returns (doc, comp) for each linked doc, comp the least id that it reaches.
 
     Alternates large-star (neighbours above a node go to its least neighbour) and small-star (those below it do, and
-    itself) until nothing changes. Minima are combined before they are shuffled.
+    itself) until no node has neighbours on both sides, nor two below. The nodes for which a step changes anything are
+    written first, so that the join with the links is of two plain tables, of which Spark splits a hot hub.
     """
-    state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi"))).first()
-    edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    before = state(edges)
+    spark, paths = links.sparkSession, []
+
+    def kept(df: DataFrame, rows: int) -> DataFrame:
+        table, path = written(_tasks(df.distinct(), rows), "edges")
+        paths.append(path)
+        return table
+
+    edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), links.count())
     while True:
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        below = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        star = large.join(below, "hi").select(F.explode(F.array(F.struct("hi", "m"), F.struct(F.col("lo").alias("hi"), "m"))).alias("e"))
-        edges = checkpoint(star.where("e.hi <> e.m").select(F.col("e.hi").alias("hi"), F.col("e.m").alias("lo")).distinct())
-        after = state(edges)
-        if after == before:
+        n = edges.count()
+        ends = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))).alias("e")).select("e.u", "e.v")
+        middle = checkpoint(_tasks(ends.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")).where("m < u and x > u").select(F.col("u").alias("lo"), "m"), n))
+        above = not middle.isEmpty()
+        if above:
+            edges = kept(edges.join(broadcast_if_few(middle), "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")), n)
+        several = checkpoint(_tasks(edges.groupBy("hi").agg(F.min("lo").alias("m"), F.max("lo").alias("x")).where("m < x").select("hi", "m"), n))
+        below = not several.isEmpty()
+        if below:
+            both = edges.join(broadcast_if_few(several), "hi", "left").withColumn("m", F.coalesce("m", "lo"))
+            star = both.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo")
+            edges = kept(star.where("hi <> lo"), n)
+        for path in paths[:-1]:
+            forget(spark, path)
+        del paths[:-1]
+        if not above and not below:
             break
-        before = after
     return edges.select(F.col("hi").alias("doc"), F.col("lo").alias("comp")).unionByName(edges.select(F.col("lo").alias("doc"), F.col("lo").alias("comp")).distinct())
 
 
-def _active(own: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    """Texts of some documents: a row for each id."""
-    return own.join(F.broadcast(ids) if count <= FEW_ROWS else ids, "doc", "left_semi").groupBy("doc").agg(F.min("body").alias("body"))
-
+def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes: (node, doc, same), checkpointed. Returns (node, body): a text for each, found by id and digest."""
+    met = own.join(broadcast_if_few(nodes), "doc").where(F.unhex(F.sha2("body", 256)) == F.col("same"))
+    return met.groupBy("node").agg(F.first("body").alias("body"))
 
-def _confirmed(pairs: DataFrame, own: DataFrame, percent: int, n: int) -> DataFrame:
-    """pairs: (a, b), checkpointed. Joins them with whole texts and keeps those that are alike."""
-    active = _active(own, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), 2 * pairs.count())
-    with_a = pairs.join(active.select(F.col("doc").alias("a"), F.col("body").alias("ta")), "a")
-    return checkpoint(arrow_map(with_a.join(active.select(F.col("doc").alias("b"), F.col("body").alias("tb")), "b"), _alike(percent, n), "a long, b long"))
 
+def _confirmed(pairs: DataFrame, lead: DataFrame, own: DataFrame, percent: int, n: int) -> DataFrame:
+    """pairs: (a, b), checkpointed, of hubs and leaves. Those whose full shingle sets are alike.
 
-def _rest(members: DataFrame, comps: DataFrame, marks: DataFrame, own: DataFrame, least: float, percent: int, n: int) -> DataFrame:
-    """Links within a bucket and between different components that the first round has not met.
-
-    A component with many members in a bucket has blocks of its own, which need no comparison with each other; the
-    others share blocks. Each member goes, with its text, to one group for each block that its own is to be compared
-    with; pairs are tested there, so that only links come out.
+    A hub's leaves are dealt out in parts, and its text goes once to each part.
+    """
+    count = pairs.count()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = checkpoint(lead.select("node", "doc", "same").join(broadcast_if_few(checkpoint(_tasks(ids, count))), "node", "left_semi"))
+    texts = _texts(own, nodes)
+    parts = checkpoint(_tasks(pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("parts")), count))
+    small = broadcast_if_few(parts)
+    leaves = pairs.join(small, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("leaf"), F.col("b").alias("node"))
+    hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("leaf"), F.col("a").alias("node"))
+    met = leaves.unionByName(hubs).join(texts, "node").select("a", "part", "leaf", "node", "body")
+    dealt = met.repartition(shuffle_width(pairs), "a", "part").sortWithinPartitions("a", "part", "leaf")
+    return checkpoint(_tasks(arrow_map(dealt, _star_links(percent, n), "a long, b long"), 100 * count))
+
+
+def _dealt(members: DataFrame, most: int) -> DataFrame:
+    """members: (key, node, comp, weight, ...), checkpointed. Deals the members of a key out in groups (lo, hi) in which
+    any two of different components meet: adds lo, hi and side.
+
+    A key of up to `most` weight is one group. Of a larger one, a component of more than that has blocks of its own,
+    which need no comparison with each other; the others share blocks. Each member goes to a group for each block that
+    its own is to be compared with.
+    """
+    none = F.lit(0).cast("long")
+    total = members.groupBy("key").agg(F.sum("weight").alias("weight")).where(F.col("weight") > most).select("key")
+    large = checkpoint(total)
+    if large.isEmpty():
+        return members.withColumns({"lo": none, "hi": none, "side": F.lit(0)})
+    wide = broadcast_if_few(large)
+    small = members.join(wide, "key", "left_anti").withColumns({"lo": none, "hi": none, "side": F.lit(0)})
+    sizes = members.join(wide, "key").groupBy("key", "comp").agg(F.sum("weight").alias("weight"))
+    parts = sizes.groupBy("key", F.when(F.col("weight") > most, F.col("comp")).alias("own")).agg(F.ceil(F.sum("weight") / most).cast("long").alias("blocks"))
+    of_key = Window.partitionBy("key")
+    start = F.sum("blocks").over(of_key.orderBy(F.col("own").asc_nulls_first())) - F.col("blocks")
+    parts = checkpoint(parts.select("key", "own", "blocks", start.alias("start"), F.sum("blocks").over(of_key).alias("all")))
+    alone = parts.where("own is not null").select("key", F.col("own").alias("comp"), F.col("blocks").alias("b"), F.col("start").alias("s"), F.lit(True).alias("alone"))
+    common = parts.groupBy("key").agg(F.max("all").alias("all"), F.max(F.when(F.col("own").isNull(), F.col("blocks"))).alias("pool"))
+    placed = members.join(wide, "key").join(broadcast_if_few(checkpoint(alone)), ["key", "comp"], "left").join(broadcast_if_few(checkpoint(common)), "key")
+    at = F.coalesce("s", none) + F.pmod(F.xxhash64("node"), F.coalesce("b", "pool"))
+    span = lambda a, b: F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<bigint>"))
+    last = F.col("all") - 1
+    others = F.when(F.col("alone"), F.concat(span(none, F.col("s") - 1), span(F.col("s") + F.col("b"), last))).otherwise(span(none, last))
+    out = placed.withColumn("at", at).withColumn("other", F.explode(others))
+    out = out.withColumns({"lo": F.least("at", "other"), "hi": F.greatest("at", "other"), "side": F.when(F.col("at") <= F.col("other"), 0).otherwise(1)})
+    return small.unionByName(out.select(small.columns))
+
+
+def _by_group(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select("key", "lo", "hi", "side", *columns).repartition(shuffle_width(rows), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side")
+
+
+def _rest(members: DataFrame, comps: DataFrame, lead: DataFrame, own: DataFrame, least: float, percent: int, n: int) -> DataFrame | None:
+    """Links within a bucket and between different components that the first round has not met; None if there are none.
+
+    Buckets with the very same members are looked at once.
     """
-    once = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
-    once = once.where("n > 2").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    held = checkpoint(members.join(once, "bucket").join(comps, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp")))
-    sizes = held.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum(F.when(F.col("n") < MEMBERS, F.col("n")).otherwise(0)).alias("pool")).where("comps > 1")
-    big = F.col("n") >= MEMBERS
-    parts = sizes.join(mixed, "bucket").select("bucket", "comp", F.when(big, F.col("comp")).alias("own"), F.ceil(F.when(big, F.col("n")).otherwise(F.col("pool")) / MEMBERS).alias("blocks"))
-    blocks = parts.select("bucket", "own", "blocks").distinct().select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"), "own").groupBy("bucket").agg(F.collect_list(F.struct("own", "k")).alias("all"))
-    mine = F.struct("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("k"))
-    dealt = held.join(parts, ["bucket", "comp"]).join(blocks, "bucket").select("bucket", "doc", "comp", mine.alias("mine"), F.explode("all").alias("other"))
-    dealt = dealt.where("mine.own is null or not mine.own <=> other.own")
-    dealt = dealt.select("bucket", "doc", "comp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
-    ids = held.join(mixed.select("bucket"), "bucket", "left_semi").select("doc").distinct()
-    texts = marks.join(_active(own, ids, ids.count()), "doc")
-    ship(own.sparkSession)
-    return dealt.join(texts, "doc").groupBy("bucket", "lo", "hi").applyInArrow(_block_links(least, percent, n), "a long, b long").distinct()
+    few = broadcast_if_few(comps)
+    held = members.join(few, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = held.groupBy("bucket").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    mixed = checkpoint(mixed.where("first <> last and n > 2").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    if mixed.isEmpty():
+        return None
+    signed = checkpoint(held.join(broadcast_if_few(mixed), "bucket").select(F.col("bucket").alias("key"), "node", "comp", F.lit(1).alias("weight")))
+    marks = lead.select("node", "marks", F.col("n_shingles").alias("size"))
+    groups = _by_group(_dealt(signed, MEMBERS).join(marks, "node"), ["node", "comp", "size", "marks"])
+    likely = checkpoint(_tasks(arrow_map(groups, _block_links(least, percent, n, False), "a long, b long").distinct(), signed.count()))
+    if likely.isEmpty():
+        return None
+    regions = checkpoint(connected_components(likely).withColumnsRenamed({"doc": "node", "comp": "key"}))
+    mine = lead.join(broadcast_if_few(regions), "node").join(few, "node", "left").select("key", "node", "doc", "same", F.coalesce("comp", "node").alias("comp"), "marks", F.col("n_shingles").alias("size"))
+    mine = checkpoint(mine)
+    told = checkpoint(mine.join(_texts(own, mine.select("node", "doc", "same")), "node").select("key", "node", "comp", "size", "marks", "body", (F.octet_length("body") / TEXT_BYTES + 1).cast("int").alias("weight")))
+    groups = _by_group(_dealt(told, TEXTS), ["node", "comp", "size", "marks", "body"])
+    return checkpoint(_tasks(arrow_map(groups, _block_links(least, percent, n, True), "a long, b long"), regions.count()))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """Links documents whose sets of n-word shingles have 100 * intersection >= percent * union; groups linked ones.
 
     A-Z are lower-cased; words are runs of other characters than space and \\x09-\\x0D. A text of fewer words is one
-    shingle; one without words, or null, has none and is linked with nothing.
+    shingle; one without words, or null, has none and is linked with nothing. Texts of any length are taken whole.
 
-    Returns id_col, n_shingles, component_id (the least id reachable, itself included), kept (id = component_id).
-    A null id stands for the least long and its component_id is that. Rows that share an id count as one document:
-    they have one component_id, the least of theirs. Other columns are ignored, whatever their names.
+    Returns a row for each row of docs: id_col, n_shingles (of this row's text), component_id (the least id reachable,
+    itself included), kept (id = component_id). Ids are whole numbers. A null id stands for the least long and its
+    component_id is that. Rows that share an id, or have none, are one document: what links to any of their texts links
+    to all. An empty table has an empty result. Ties do not matter, as all links count. Other columns are ignored,
+    whatever their names.
     """
-    own = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"))
-    signed = checkpoint(arrow_map(own, _signatures(n, rows, bands), "doc long, n_shingles long, left long, right long, buckets array<long>, marks binary"))
-    classes = signed.where("n_shingles > 0").groupBy("left", "right").agg(F.min("doc").alias("rep"))
-    lead = checkpoint(signed.join(classes, ["left", "right"]).where("doc = rep").select("doc", "buckets", "marks", F.col("n_shingles").alias("size")).dropDuplicates(["doc"]))
-    marks = lead.select("doc", "marks", "size")
-    entries = lead.select("doc", F.explode("buckets").alias("bucket"))
-    hubs = entries.groupBy("bucket").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    members = checkpoint(entries.join(hubs, "bucket"))
+    body = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(body, 256)).alias("same"), body.alias("body"))
+    kind = own.schema["id"].dataType.simpleString()
+    signed = arrow_map(own, _signatures(n, rows, bands), f"id {kind}, same binary, n_shingles long, buckets array<long>, marks binary")
+    signed = checkpoint(signed.withColumn("row", F.monotonically_increasing_id()).withColumn("doc", key_of("id")))
+    own = own.select(key_of("id").alias("doc"), "body")
+
+    first = F.min(F.struct("doc", "row"))
+    classes = signed.where("n_shingles > 0").groupBy("same").agg(F.count("*").alias("n"), first.alias("f")).where("n > 1")
+    classes = broadcast_if_few(checkpoint(classes.select("same", F.col("f.row").alias("first_row"), F.col("f.doc").alias("first_doc"))))
+    placed = signed.join(classes, "same", "left").withColumn("node", F.coalesce("first_row", "row"))
+    lead = placed.where("n_shingles > 0 and node = row").select("node", "doc", "same", "n_shingles", "buckets", "marks")
+
+    entries = lead.select("node", F.explode("buckets").alias("bucket"))
+    hubs = checkpoint(entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"))
+    members = entries.join(broadcast_if_few(hubs), "bucket")
     share = percent / 100
     least = share - ERRORS * (share * (1 - share) / (rows * bands)) ** 0.5
-    star = members.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    side = lambda x: marks.select(F.col("doc").alias(x), F.col("marks").alias(f"m{x}"), F.col("size").alias(f"s{x}"))
+    star = checkpoint(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    side = lambda x: lead.select(F.col("node").alias(x), F.col("marks").alias(f"m{x}"), F.col("n_shingles").alias(f"s{x}"))
     sized = star.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
-    links = _confirmed(checkpoint(arrow_map(sized, _likely(least), "a long, b long")), own, percent, n)
-    comps = checkpoint(connected_components(links))
-    more = checkpoint(_rest(members.select("bucket", "doc"), comps, marks, own, least, percent, n))
-    if not more.isEmpty():
-        comps = checkpoint(connected_components(links.unionByName(more)))
-    named = signed.join(classes, ["left", "right"], "left").select("doc", "n_shingles", F.coalesce("rep", "doc").alias("rep"))
-    named = named.join(comps.select(F.col("doc").alias("rep"), "comp"), "rep", "left").select("doc", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-    twice = docs.select(key_of(id_col).alias("doc"), F.col(id_col).alias("id"))
-    named = named.groupBy("doc").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    return twice.join(named, "doc").select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
+    links = _confirmed(checkpoint(arrow_map(sized, _likely(least), "a long, b long")), lead, own, percent, n)
+    links = links.unionByName(_shared_ids(placed))
+    comps = checkpoint(connected_components(links).withColumnRenamed("doc", "node"))
+    more = _rest(members.select("bucket", "node"), comps, lead, own, least, percent, n)
+    if more is not None and not more.isEmpty():
+        comps = checkpoint(connected_components(links.unionByName(more)).withColumnRenamed("doc", "node"))
+
+    few = broadcast_if_few(comps)
+    named = placed.select("node", "doc").join(few, "node").groupBy("comp").agg(F.min("doc").alias("component_id"))
+    ids = checkpoint(comps.join(checkpoint(named), "comp").select("node", "component_id"))
+    out = placed.join(broadcast_if_few(ids), "node", "left").withColumn("component_id", F.coalesce("component_id", "first_doc", "doc"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
+
+
+def _shared_ids(placed: DataFrame) -> DataFrame:
+    """placed: (doc, node). Links between the nodes of rows that share an id: (a, b), checkpointed."""
+    shared = checkpoint(placed.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc", "a"))
+    return checkpoint(placed.select("doc", "node").join(broadcast_if_few(shared), "doc").where("a < node").select("a", F.col("node").alias("b")).distinct())
