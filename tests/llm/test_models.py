@@ -3,6 +3,8 @@
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
+from math import log2
 
 import numpy as np
 import pytest
@@ -20,29 +22,57 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, lang, "e", 0.5) for i, t, lang in rows], DOCS)
 
 
-def test_frozen_probabilities_sum_to_one():
-    rng = random.Random(1)
-    texts = {"a": b"abracadabra " * 20, "b": bytes(rng.choices(b"xyz ", k=300))}
-    rows = []
-    for name, t in texts.items():
-        g = language._grams([t])[0].astype(np.int64)
-        code, n = np.unique(g[0] << 24 | g[1] << 16 | g[2] << 8 | g[3], return_counts=True)
-        rows += [(name, int(c), int(k)) for c, k in zip(code, n, strict=True)]
-    names, gram, n = zip(*rows, strict=True)
-    trees = grow_trees(list(names), np.array(gram), np.array(n), contexts=50)
-    p = np.exp2(-trees.bits.reshape(-1, trees.letters, 2).astype(float))
-    share = np.ones(trees.letters)
-    share[0] = 256 - (trees.letters - 1)
-    sums = (p * share[None, :, None]).sum(1)
-    assert np.allclose(sums, 1, atol=1e-3)
+def grown(train, depth=3):
+    rows = Counter()
+    for name, texts in train.items():
+        for t in texts:
+            for g in language.grams_of(t, 0, len(t), depth).tolist():
+                rows[name, g] += 1
+    return grow_trees([k[0] for k in rows], np.array([k[1] for k in rows]), np.array(list(rows.values())), depth)
+
+
+def plain_probabilities(texts, before, depth=3):
+    """Method C with exclusion, by dictionaries: probabilities of all bytes after the bytes before."""
+    counts = defaultdict(Counter)
+    for t in texts:
+        padded = bytes(depth) + t
+        for i in range(depth, len(padded)):
+            for k in range(depth + 1):
+                counts[padded[i - k : i]][padded[i]] += 1
+    before = (bytes(depth) + before)[-depth:]
+    out = [1 / 256] * 256
+    for k in range(depth + 1):
+        seen = counts.get(before[depth - k :])
+        if seen:
+            n, kinds, left = sum(seen.values()), len(seen), sum(p for b, p in enumerate(out) if b not in seen)
+            out = [seen[b] / (n + kinds) if b in seen else kinds / (n + kinds) * p / left for b, p in enumerate(out)]
+    return out
+
+
+TRAIN = {"a": [b"the cat sat on the mat " * 3, b"a hat"], "b": ["der Hund mag Brötchen".encode(), b"zyxyzzy xyz"]}
+
+
+@pytest.mark.parametrize("depth", [1, 3, 5])
+def test_code_lengths_are_those_of_a_plain_model(depth, monkeypatch):
+    monkeypatch.setattr(language, "CHUNK", 300)  # the long text goes in segments
+    texts = [b"the hat", b"Hund xyz", "größe".encode(), b"", b"\x00\xff q", b"the mat and the cat " * 80]
+    got = code_lengths(grown(TRAIN, depth), texts)
+    for text, bits in zip(texts, got, strict=True):
+        for k, name in enumerate(TRAIN):
+            want = -sum(log2(plain_probabilities(TRAIN[name], text[max(0, i - depth) : i], depth)[text[i]]) for i in range(len(text)))
+            assert abs(bits[k] - want) <= 1e-6 * max(want, 1)
+
+
+def test_probabilities_sum_to_one():
+    trees = grown(TRAIN)
+    for before in (b"", b"the", b" xy", b"qqq", b"\xff"):
+        bits = np.stack([code_lengths(trees, [before + bytes([b])])[0] - code_lengths(trees, [before])[0] for b in range(256)])
+        assert np.allclose(np.exp2(-bits).sum(0), 1, atol=1e-4)
 
 
 def test_code_lengths_by_hand():
     """One document "ab": contexts seen once have escape one half."""
-    g = language._grams([b"ab"])[0].astype(np.int64)
-    rows = [("l", int(x), 1) for x in (g[0] << 24 | g[1] << 16 | g[2] << 8 | g[3])]
-    names, gram, n = zip(*rows, strict=True)
-    trees = grow_trees(list(names), np.array(gram), np.array(n))
+    trees = grown({"l": [b"ab"]})
     # "a" after three zeros was seen: n = 1, kinds = 1, so 1 / 2; so was "b" after "a"
     assert np.allclose(code_lengths(trees, [b"ab"])[0], [2.0], atol=1e-4)
     # an unseen byte: escapes from all orders down to the uniform one
@@ -50,6 +80,14 @@ def test_code_lengths_by_hand():
     assert code_lengths(trees, [b""])[0, 0] == 0
 
 
+def test_languages_in_several_parts(spark):
+    """What is broadcast at a time changes nothing, and no language is left out."""
+    words = {f"l{k:02d}": f"{chr(97 + k)}{chr(98 + k)} {chr(99 + k)}o{chr(97 + k)}" for k in range(12)}
+    d = docs_of(spark, [(k, f"{w} {w}", lang) for k, (lang, w) in enumerate(words.items())] + [(50, None, None), (51, "12", None)])
+    one, many = (sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in identify(d, d, model_bytes=n).collect()) for n in (1 << 20, 1500))
+    assert one == many and [x[1] for x in one] == [*words, "und", "und"]
+
+
 def test_language_accuracy(spark, sf_dir):
     from pyspark.sql import functions as F
 
