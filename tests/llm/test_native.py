@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -67,6 +67,21 @@ def test_contamination_edges(spark):
     assert sorted((str(r["doc_id"]), r["n_words"], r["items"]) for r in contamination(d, b).collect()) == [("1", 1, [""]), ("1", 3, [""]), ("None", 3, [""])]
 
 
+def test_decontamination_of_clashing_columns_and_long_texts(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    long = " ".join(f"x{k % 977}" for k in range(250_000))
+    docs = [(1, passage), (2, long), (3, long + " " + passage), (4, None), (5, "")]
+    names = ("doc", "spans", "__doc", "__spans", "body", "extra", "w", "h")
+    d = spark.createDataFrame([(i, t, *"abcdefgh") for i, t in docs], "doc_id long, text string, " + ", ".join(f"`{x}` string" for x in names))
+    b = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["contaminated"]) for r in contamination(d, b).collect()}
+    assert got == {1: (40, 40, True), 2: (250_000, 0, False), 3: (250_040, 40, False), 4: (0, 0, False), 5: (0, 0, False)}
+    kept = decontaminate(d, b)
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {2, 3, 4, 5}
+    spans = {r["doc_id"]: r for r in decontaminate(d, b, "spans").collect()}
+    assert spans[3]["text"] == long and spans[1]["text"] == "" and spans[1]["__spans"] == "d" and spans[1]["h"] == "h"
+
+
 def level(sizes, weights=(3, 1, 2), percent=150, most=2):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
@@ -108,8 +123,22 @@ def test_mix_edges(spark):
     assert mix(spark.createDataFrame([], schema)).count() == 0 and emit(spark.createDataFrame([], schema)).count() == 0
     only = mix(spark.createDataFrame([(1, None, None), (None, "", None)], schema)).collect()
     assert [(r["size"], r["target"], r["copies"]) for r in only] == [(0, 0.0, 0)] * 2
-    twice = {(r["copies"]) for r in mix(spark.createDataFrame([(7, "a b", "s")] * 3, schema)).collect()}
-    assert len(twice) == 1
+
+
+def test_mix_of_shared_and_null_ids(spark):
+    """Rows that share an id, or have none, draw for themselves, so that sources still come near their targets."""
+    rows = [(None if k % 2 else 7, "w " * 10, "abc"[k % 3]) for k in range(900)]
+    d = spark.createDataFrame([(*x, 9, "c") for x in rows], "doc_id long, text string, source string, copy int, `__rate` string").repartition(5)
+    out = mix(d).collect()
+    taken = Counter()
+    for r in out:
+        assert 0 <= r["copies"] <= 2
+    for r in emit(d).collect():
+        taken[r["source"]] += 10
+        assert r["__rate"] == "c" and r["copy"] in (1, 2)
+    want = level({"a": 3000, "b": 3000, "c": 3000})
+    assert all(abs(taken[s] - want[s]) <= 0.15 * want[s] for s in want) and sum(taken.values()) == sum(r["size"] * r["copies"] for r in out)
+    assert Counter(map(tuple, mix(d.repartition(2)).collect())) == Counter(map(tuple, out))
 
 
 URLS = {

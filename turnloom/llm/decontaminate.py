@@ -5,6 +5,8 @@ Hits by hash are verified word by word. Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,32 +21,49 @@ FEW_BYTES = 64 << 20
 
 def words_of(text: Column) -> Column:
     """Words with their case. Null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
+
 
+def _places(words: str, n: int) -> Column:
+    return F.greatest(F.size(words) - n + 1, F.lit(0))
 
-def _once(value: Column, use) -> Column:
-    """use(value) with value computed once a row; the optimizer would copy it into each step of a lambda."""
-    return F.transform(F.array(value), use)[0]
 
+def with_grams(rows: DataFrame, words: str, sizes: list[int]) -> DataFrame:
+    """Adds g1, g2, ... for each size: hashes of all so many neighbouring words.
 
-def _grams(words: Column, n: int) -> Column:
-    """Hashes of all n neighbouring words. lower() also folds other letters, so equal windows have equal hashes."""
+    Words are hashed once; a gram's hash is made of two shorter grams' hashes, so each size takes a step for each bit of
+    it. lower() also folds other letters than A-Z, so windows that are equal once these are lower-cased have equal hashes.
+    """
+    made, columns = {1}, rows.columns
+    out = rows.withColumn("g1", F.transform(words, lambda w: F.xxhash64(F.lower(w))))
 
-    def hashes(low: Column) -> Column:
-        starts = F.when(F.size(low) >= n, F.sequence(F.lit(1), F.greatest(F.size(low) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(low, i, n)))
+    def add(n: int) -> None:
+        nonlocal out
+        if n in made:
+            return
+        one = 1 << ((n - 1).bit_length() - 1)
+        add(one), add(n - one)
+        count = _places("g1", n)
+        out = out.withColumn(f"g{n}", F.zip_with(F.slice(f"g{one}", F.lit(1), count), F.slice(f"g{n - one}", F.lit(one + 1), count), lambda a, b: F.xxhash64(a, b)))
+        made.add(n)
 
-    return _once(F.transform(words, lambda w: F.xxhash64(F.lower(w))), hashes)
+    for n in sizes:
+        add(n)
+    return out.select(*columns, *[f"g{n}" for n in sizes])
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows: h, size, gram (lower-cased words, a space between them), items (strings). An item of fewer words, but not none, is one window."""
-    words = benchmark.select(F.col(id_col).cast("string").alias("item"), words_of(ascii_lower(F.col(text_col).cast("string"))).alias("words")).where(F.size("words") > 0)
-    size = F.least(F.size("words"), F.lit(n))
-    grams = _once(F.col("words"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - F.least(F.size(w), F.lit(n)) + 1), lambda i: F.slice(w, i, F.least(F.size(w), F.lit(n)))))
-    each = words.select("item", size.alias("size"), F.explode(grams).alias("words"))
-    whole = each.groupBy("size", "words").agg(F.array_sort(F.collect_set(F.coalesce("item", F.lit("")))).alias("items"))
-    return whole.select(F.xxhash64(F.transform("words", lambda w: F.xxhash64(F.lower(w)))).alias("h"), "size", F.array_join("words", " ").alias("gram"), "items")
+    """Windows of each item: item (as text), h, size, gram (lower-cased words, a space between them), none twice.
+
+    An item of fewer words than n, but not none, is one window.
+    """
+    words = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words_of(ascii_lower(F.col(text_col).cast("string"))).alias("words")).where(F.size("words") > 0)
+    parts = [words.where(F.lit(False)).select("item", F.lit(0).cast("long").alias("h"), F.lit(0).alias("size"), F.lit("").alias("gram"))]
+    for size in sorted(r["size"] for r in words.select(F.least(F.size("words"), F.lit(n)).alias("size")).distinct().collect()):  # n rows at most
+        mine = words.where((F.size("words") >= size) if size == n else (F.size("words") == size))
+        grams = with_grams(mine, "words", [size]).select("item", "words", F.posexplode(f"g{size}").alias("at", "h"))
+        parts.append(grams.select("item", "h", F.lit(size).alias("size"), F.array_join(F.slice("words", F.col("at") + 1, size), " ").alias("gram")))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -54,35 +73,48 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     share * n_hit >= n_words.
 
     Returns id_col, n_words, n_hit, items (sorted array of item ids as strings), spans (sorted array of begin, end in
-    words), contaminated. Null and empty texts have no words and are never contaminated; items without words are
-    skipped, a null item id counts as ''. A null id is a document like any other; rows that share an id share their
-    hits. An empty benchmark contaminates nothing. Other columns are ignored, whatever their names.
+    words), contaminated. Null and empty texts have no words and are never contaminated; long ones are scanned whole.
+    Items without words are skipped, a null item id counts as ''. A null id is a document like any other; rows that
+    share an id share their hits. An empty benchmark contaminates nothing, and an empty table of documents has an empty
+    result. Other columns are ignored, whatever their names.
     """
-    windows = checkpoint(benchmark_windows(benchmark, n, item_col, item_text_col))
+    listed = checkpoint(benchmark_windows(benchmark, n, item_col, item_text_col))
+    windows = checkpoint(listed.select("h", "size", "gram").distinct())
     found = windows.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.octet_length("gram")).alias("bytes")).collect()  # n rows at most
     few = sum(r["n"] for r in found) <= FEW_ROWS and sum(r["bytes"] for r in found) <= FEW_BYTES
+    sizes = sorted(r["size"] for r in found)
     own = docs.select(key_of(id_col).alias("doc"), words_of(F.col(text_col).cast("string")).alias("w"))
-    hits = None
-    for size in sorted(r["size"] for r in found):
-        mine = windows.where(F.col("size") == size).select("h", "size", "gram", "items")
-        # between, so that only h is a join key and words are compared at hits alone; no lambda, so that the exploded
-        # rows stay in generated code, which copies no words
-        same = ascii_lower(F.array_join(F.slice("w", F.col("at") + 1, size), " ")).between(F.col("gram"), F.col("gram"))
-        hashed = own.select("doc", "w", _grams(F.col("w"), size).alias("g"))
+    whole = docs.select(F.col(id_col).alias("id"), key_of(id_col).alias("doc"), F.size(words_of(F.col(text_col).cast("string"))).cast("long").alias("n_words"))
+    if sizes:
+        hashed = with_grams(own, "w", sizes)
+        # the hashes of all sizes in one array; where a size's begin
+        starts, before = {}, F.lit(0)
+        for size in sizes:
+            starts[size] = before
+            before = before + _places("w", size)
+        hashed = hashed.select("doc", "w", F.concat(*[f"g{s}" for s in sizes]).alias("g"))
         if few:
-            met = hashed.select("doc", "w", F.posexplode("g").alias("at", "h")).join(F.broadcast(mine), "h")
+            met = hashed.select("doc", "w", F.posexplode("g").alias("place", "h")).join(F.broadcast(windows), "h")
         else:  # the texts stay behind, and join again where a hash was met
-            met = hashed.select("doc", F.posexplode("g").alias("at", "h")).join(mine, "h").join(own, "doc")
-        part = met.where(same).select("doc", "at", "size", "items")
-        hits = part if hits is None else hits.unionByName(part)
-    whole = docs.select(F.col(id_col).alias("id"), key_of(id_col).alias("doc"), F.size(words_of(F.col(text_col).cast("string"))).cast("long").alias("n_words"))
-    if hits is None:
-        hits = whole.where(F.lit(False)).select("doc", F.lit(0).alias("at"), F.lit(0).alias("size"), F.array(F.lit("")).alias("items"))
+            met = hashed.select("doc", F.posexplode("g").alias("place", "h")).join(windows, "h").join(own, "doc")
+        start, count = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for size in sizes:
+            start, count = F.when(F.col("size") == size, starts[size]).otherwise(start), F.when(F.col("size") == size, _places("w", size)).otherwise(count)
+        at = F.col("place") - start
+        # between, so that only h is a join key and words are compared at hits alone
+        same = ascii_lower(F.array_join(F.slice("w", at + 1, F.col("size")), " ")).between(F.col("gram"), F.col("gram"))
+        hits = met.where((at >= 0) & (at < count)).where(same).select("doc", at.alias("at"), "size", "gram")
+    else:
+        hits = whole.where(F.lit(False)).select("doc", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit("").alias("gram"))
+    hits = checkpoint(hits)
     span = F.struct(F.col("at").cast("long").alias("begin"), (F.col("at") + F.col("size")).cast("long").alias("end"))
-    by_doc = hits.groupBy("doc").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    spans = hits.groupBy("doc").agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    items = hits.select("doc", "gram").distinct().join(listed.select("gram", "item"), "gram").groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     covered = F.aggregate("spans", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(a["end"], s["begin"]))).alias("n"), F.greatest(a["end"], s["end"]).alias("end")))["n"]
-    out = whole.join(by_doc.select("doc", "spans", "items", covered.alias("hit")), "doc", "left")
+    by_doc = checkpoint(spans.join(items, "doc").select("doc", "spans", "items", covered.alias("hit")))
+    size = by_doc.agg(F.sum(F.size("spans") + F.size("items"))).first()[0] or 0
+    out = whole.join(F.broadcast(by_doc) if size <= FEW_ROWS else by_doc, "doc", "left")
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
     none = F.array().cast("array<string>")
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast(out.schema["spans"].dataType)).alias("spans"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
@@ -91,14 +123,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drops contaminated documents, or with remove="spans" their hit words; then the words left are joined by a space.
 
-    Returns the columns of docs. Edge cases as in contamination(); a text without hits stays as it is.
+    Returns the columns of docs, whatever their names. Edge cases as in contamination(); rows that share an id go
+    together, and a text without hits stays as it is.
     """
     report = contamination(docs.select(id_col, text_col), benchmark, n, share, id_col, text_col)
-    mine = key_of(F.col(f"d.`{id_col}`"))
+    text = F.col(text_col).cast("string")
+    own = docs.select(key_of(id_col).alias("doc"), text.alias("body"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("extra"))
     if remove == "documents":
-        bad = checkpoint(report.where("contaminated").select(key_of(id_col).alias("__doc")).distinct())
-        return docs.alias("d").join(broadcast_if_few(bad), mine == F.col("__doc"), "left_anti")
-    hit = checkpoint(report.where("n_hit > 0").groupBy(key_of(id_col).alias("__doc")).agg(F.first("spans").alias("__spans")))
-    left = F.filter(words_of(F.col(f"d.`{text_col}`")), lambda w, i: ~F.exists("__spans", lambda s: (s["begin"] <= i) & (i < s["end"])))
-    text = F.when(F.col("__spans").isNull(), F.col(f"d.`{text_col}`")).otherwise(F.array_join(left, " "))
-    return docs.alias("d").join(hit, mine == F.col("__doc"), "left").select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])
+        bad = checkpoint(report.where("contaminated").select(key_of(id_col).alias("doc")).distinct())
+        return own.join(broadcast_if_few(bad), "doc", "left_anti").select(*[F.col(f"extra.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    hit = checkpoint(report.where("n_hit > 0").groupBy(key_of(id_col).alias("doc")).agg(F.first("spans").alias("spans")))
+    left = F.filter(words_of(F.col("body")), lambda w, i: ~F.exists("spans", lambda s: (s["begin"] <= i) & (i < s["end"])))
+    cleaned = F.when(F.col("spans").isNull(), F.col("body")).otherwise(F.array_join(left, " "))
+    return own.join(hit, "doc", "left").select(*[cleaned.alias(c) if c == text_col else F.col(f"extra.c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -58,36 +58,58 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent
     return ranked.select("source", "source_size", F.when(full, F.col("source_size") * F.lit(float(most))).otherwise(share).alias("target"))
 
 
-def draw(column: str, seed: int) -> Column:
-    """A number from 0 to below 1 by a hash of the id and a seed."""
-    text = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(column).cast("string"), F.lit("")))
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows: (key, print, ...), key a text. Adds number: 1 where a key is alone, else from 1 among the rows of the key, by
+    print. Rows of a repeated key are dealt out by range, so that no key is one task; equal rows may change places."""
+    repeated = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    if repeated.isEmpty():
+        return rows.withColumn("number", F.lit(1).cast("long"))
+    few = broadcast_if_few(repeated)
+    alone = rows.join(few, "key", "left_anti").withColumn("number", F.lit(1).cast("long"))
+    several = rows.join(few, "key", "left_semi").withColumn("tie", F.monotonically_increasing_id())
+    ranged = checkpoint(several.repartitionByRange(shuffle_width(rows), "key", "print", "tie").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = checkpoint(ranged.groupBy("key", "part").agg(F.count("*").alias("n")).select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    inside = F.row_number().over(Window.partitionBy("key", "part").orderBy("print", "tie"))
+    counted = ranged.join(broadcast_if_few(starts), ["key", "part"]).withColumn("number", F.col("start") + inside)
+    return alone.unionByName(counted.select(alone.columns))
+
+
+def draw(key: str, number: str, seed: int) -> Column:
+    """A number from 0 to below 1 by a hash of the seed, the id and the row's number among those of the id."""
+    text = F.concat(F.lit(f"{seed}:"), key, F.when(F.col(number) > 1, F.concat(F.lit(":"), F.col(number).cast("string"))).otherwise(""))
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
+def _taken(docs: DataFrame, extra: Column, weights: tuple[int, ...], percent: int, most: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(extra, size, source_size, target, copies) for each row of docs."""
+    text = F.col(text_col).cast("string")
+    own = docs.select(extra.alias("extra"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.xxhash64(text, F.col(source_col).cast("string")).alias("print"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"))
+    targets = checkpoint(source_targets(own.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, most))
+    few = broadcast_if_few(targets.select(F.col("source").alias("s"), "source_size", "target"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    copies = F.floor(rate) + F.when(draw("key", "number", seed) < rate - F.floor(rate), 1).otherwise(0)
+    return numbered(own).join(few, F.col("source").eqNullSafe(F.col("s"))).select("extra", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: int = 2, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes each document.
 
     Returns id_col, size (words: runs of other characters than space and \\x09-\\x0D), source_size, target (of its
     source, in words), copies (floor(rate) or one more; rate = target / source_size).
-    Null and empty texts have size 0. A null source is a source of its own, sorted last. Rows with one id draw alike.
-    A source without words has target 0 and no copies. Runs with one seed agree. Other columns are ignored.
+    Null and empty texts have size 0; long texts are counted whole. A null source is a source of its own, sorted last.
+    Rows that share an id, or have none, are numbered, and each draws for itself. A source without words has target 0
+    and no copies. An empty table has an empty result. Runs with one seed agree. Other columns are ignored, whatever
+    their names.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
-    targets = checkpoint(source_targets(own.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, most))
-    few = broadcast_if_few(targets.select(F.col("source").alias("s"), "source_size", "target"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw("id", seed) < rate - F.floor(rate), 1).otherwise(0)
-    return own.join(few, F.col("source").eqNullSafe(F.col("s"))).select(F.col("id").alias(id_col), "size", "source_size", "target", copies.cast("long").alias("copies"))
+    out = _taken(docs, F.col(id_col), weights, percent, most, seed, id_col, text_col, source_col)
+    return out.withColumnRenamed("extra", id_col)
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: int = 2, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the columns of docs and copy (from 1), a row for each copy. Edge cases as in mix()."""
-    own = docs.select(F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
-    targets = checkpoint(source_targets(own.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, most))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rates = targets.select(F.col("source").alias("__source"), rate.alias("__rate"))
-    rates = broadcast_if_few(rates)
-    joined = docs.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    whole = F.floor("__rate")
-    copies = (whole + F.when(draw(id_col, seed) < F.col("__rate") - whole, 1).otherwise(0)).cast("int")
-    return joined.where(copies > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    """The mix itself: the columns of docs and copy (from 1), a row for each copy. Edge cases as in mix(); a column of
+    docs named copy is replaced."""
+    keep = [c for c in docs.columns if c != "copy"]
+    extra = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)])
+    out = _taken(docs, extra, weights, percent, most, seed, id_col, text_col, source_col).where("copies > 0")
+    return out.select(*[F.col(f"extra.c{k}").alias(c) for k, c in enumerate(keep)], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
