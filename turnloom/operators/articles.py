@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import index_row, mentions, slugify, wikilinks
+from ..functions.text import index_row, iso_seconds, mentions, slugify, wikilinks
 
 #: Kinds in their fixed order.
 KINDS = ("concepts", "connections", "qa")
@@ -52,19 +52,34 @@ def upsert_index(index: DataFrame, new: DataFrame) -> DataFrame:
     return every.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n", "__new")
 
 
-def activity(old: DataFrame, new: DataFrame, source_col: str = "source") -> DataFrame:
-    """A log row for each compiled source: its articles that were created and those that were updated, sorted."""
+def activity(old: DataFrame, new: DataFrame, source_col: str = "source", ts: str = "2024-01-31 00:00:00") -> DataFrame:
+    """A log row (ts, op, subject, created, updated, consulted) for each compiled source: its articles that were created
+    and those that were updated, sorted."""
     known = old.select("key", F.lit(True).alias("__known")).distinct()
     joined = new.select("key", F.col(source_col).alias("subject")).join(known, "key", "left")
     pick = lambda seen: F.array_join(F.array_sort(F.collect_set(F.when(F.col("__known").isNotNull() == seen, F.col("key")))), ",")
-    return joined.groupBy("subject").agg(F.lit("compile").alias("op"), pick(False).alias("created"), pick(True).alias("updated"))
+    return joined.groupBy("subject").agg(F.lit("compile").alias("op"), pick(False).alias("created"), pick(True).alias("updated")).select(F.lit(ts).cast("timestamp").alias("ts"), "op", "subject", "created", "updated", F.lit("").alias("consulted"))
+
+
+def filed_activity(filed: DataFrame, ts: str = "2024-01-31 00:00:00") -> DataFrame:
+    """A log row like those of activity for each answer of file_back (question, key, sources)."""
+    return filed.select(F.lit(ts).cast("timestamp").alias("ts"), F.lit("query (filed)").alias("op"), F.col("question").alias("subject"), F.col("key").alias("created"), F.lit("").alias("updated"), F.array_join(F.array_sort("sources"), ",").alias("consulted"))
+
+
+def activity_text(log: DataFrame) -> DataFrame:
+    """(ts, subject, entry): the entries of the log as text, to be appended in order."""
+    linked = lambda c: F.array_join(F.transform(F.filter(F.split(c, ","), lambda k: k != ""), lambda k: F.concat(F.lit("[["), k, F.lit("]]"))), ", ")
+    head = F.concat(F.lit("## ["), iso_seconds("ts"), F.lit("] "), "op", F.lit(" | "), "subject", F.lit("\n"))
+    compiled = F.concat(F.lit("- Source: daily/"), "subject", F.lit("\n- Articles created: "), linked("created"), F.lit("\n"), F.when(F.col("updated") != "", F.concat(F.lit("- Articles updated: "), linked("updated"), F.lit("\n"))).otherwise(""))
+    asked = F.concat(F.lit("- Question: "), "subject", F.lit("\n- Consulted: "), linked("consulted"), F.lit("\n- Filed to: "), linked("created"), F.lit("\n"))
+    return log.select("ts", "subject", F.concat(head, F.when(F.col("op") == "compile", compiled).otherwise(asked)).alias("entry"))
 
 
 def file_back(answers: DataFrame, updated: str = "2024-01-31") -> DataFrame:
     """Answered questions (question_id, question, consulted, answer) as articles of kind qa."""
     key = F.concat(F.lit("qa/"), slugify("question"))
     text = F.concat(F.lit('---\ntitle: "Q: '), F.col("question"), F.lit('"\n---\n\n'), F.col("answer"))
-    return answers.select("question_id", F.lit("qa").alias("kind"), F.concat(key, F.lit(".md")).alias("path"), key.alias("key"), text.alias("content"), F.col("consulted").alias("sources"), F.lit(updated).cast("date").alias("updated"))
+    return answers.select("question_id", "question", F.lit("qa").alias("kind"), F.concat(key, F.lit(".md")).alias("path"), key.alias("key"), text.alias("content"), F.col("consulted").alias("sources"), F.lit(updated).cast("date").alias("updated"))
 
 
 def source_classes(articles: DataFrame) -> DataFrame:
@@ -91,17 +106,12 @@ def class_pairs(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     return several.unionByName(own.select(F.col("class").alias("left"), F.col("class").alias("right"), F.size("logs").cast("long").alias("shared")))
 
 
-def shared_source_pairs(articles: DataFrame, most: int | None = None, block: int = BLOCK) -> DataFrame:
+def shared_source_pairs(articles: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of articles (a < b) with a common source log, and how many logs they share.
 
     Logs are compared once for each two classes; then the classes' members meet in blocks of about `block`. All pairs are
-    as many as the square of a log's articles: class_pairs with source_classes says the same in fewer rows. With `most`,
-    logs that more than so many articles cite are left out.
+    as many as the square of a log's articles: class_pairs with source_classes says the same in fewer rows.
     """
-    if most is not None:
-        each = articles.select("key", F.explode(F.array_distinct("sources")).alias("source"))
-        few = each.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("source")
-        articles = each.join(few, "source").groupBy("key").agg(F.collect_set("source").alias("sources"))
     classes = source_classes(articles)
     sizes = classes.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = classes.join(sizes, "class").withColumn("at", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))

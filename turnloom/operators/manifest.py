@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import after_hours
+from ..shared import table_or_empty
 
 SCHEMA = "file string, hash string, compiled_at timestamp, cost_usd decimal(18,6)"
 
 
 def read_manifest(spark: SparkSession, path: str | None) -> DataFrame:
-    """The manifest table, or an empty one where there is none."""
-    return spark.read.schema(SCHEMA).parquet(path) if path else spark.createDataFrame([], SCHEMA)
+    """The manifest table, or an empty one where there is none yet."""
+    return table_or_empty(lambda: spark.read.schema(SCHEMA).parquet(path), spark, SCHEMA) if path else spark.createDataFrame([], SCHEMA)
 
 
 def pending(logs: DataFrame, manifest: DataFrame, force: bool = False, only: str | None = None) -> DataFrame:

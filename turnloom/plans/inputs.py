@@ -31,10 +31,11 @@ def day(i: str) -> Column:
 
 
 def daily_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    """All turns of a day's conversations in order."""
+    first = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     minute = F.col("conv_id") % 1440
-    entry = F.format_string("### Session (%02d:%02d)\n\n%s\n\n", (minute / 60).cast("int"), (minute % 60).cast("int"), F.col("text"))
-    rows = F.array_sort(F.collect_list(F.struct("conv_id", entry.alias("e"))))
+    entry = F.format_string("### Session (%02d:%02d)\n\n%s\n\n", (minute / 60).cast("int"), (minute % 60).cast("int"), F.coalesce("text", F.lit("")))
+    rows = F.array_sort(F.collect_list(F.struct("conv_id", "turn", entry.alias("e"))))
     by_day = first.groupBy(day("conv_id").alias("log_date")).agg(F.array_join(F.transform(rows, lambda r: r["e"]), "").alias("body"))
     name = F.date_format("log_date", "yyyy-MM-dd")
     logs = by_day.select(F.concat(name, F.lit(".md")).alias("file"), "log_date", F.concat(F.format_string(LOG_HEADER, name), "body").alias("content"))
@@ -64,10 +65,15 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 17 == 0, usual),
         F.when(i % 3 == 0, log),
     )
+    # every fourth article has the sections that a compiled one should have, more or less of each
+    formed = i % 4 == 1
+    points = F.concat(F.lit("## Key Points\n\n"), F.repeat(F.lit("- A point\n"), (F.expr("i div 4") % 5 + 2).cast("int")), F.lit("\n## Details\n\n"))
+    more = F.when(i % 8 == 1, F.concat(F.lit("\n\nMore on D"), i.cast("string"), F.lit("."))).otherwise("")
+    cited = F.when(i % 12 != 1, F.concat(F.lit("\n## Sources\n\n- [["), log, F.lit("]]: all of it\n"))).otherwise("")
     bullets = F.array_join(F.transform(F.filter(targets, lambda t: t.isNotNull()), lambda t: F.concat(F.lit("- [["), t, F.lit("]]\n"))), "")
     front = F.when(i % 4 != 3, F.concat(F.lit('---\ntitle: "D'), i.cast("string"), F.lit('"\nsources: ['), log, F.lit(".md]\n---\n\n"))).otherwise("")
-    content = F.concat(front, F.coalesce("text", F.lit("")), F.lit("\n\n## Related Concepts\n\n"), bullets)
-    return docs.select(F.split(key(i), "/")[0].alias("kind"), F.concat(key(i), F.lit(".md")).alias("path"), key(i).alias("key"), content.alias("content"), F.array(F.concat(log, F.lit(".md"))).alias("sources"), day("i").alias("updated"), "i")
+    content = F.concat(front, F.when(formed, points).otherwise(""), F.coalesce("text", F.lit("")), F.when(formed, more).otherwise(""), F.lit("\n\n## Related Concepts\n\n"), bullets, F.when(formed, cited).otherwise(""))
+    return docs.select(F.split(key(i), "/")[0].alias("kind"), F.concat(key(i), F.lit(".md")).alias("path"), key(i).alias("key"), content.alias("content"), F.filter(F.array(F.concat(log, F.lit(".md")), F.when(i % 6 == 0, F.concat(F.lit("daily/"), F.date_format(F.date_add(day("i"), 1), "yyyy-MM-dd"), F.lit(".md")))), lambda x: x.isNotNull()).alias("sources"), day("i").alias("updated"), "i")
 
 
 def extra_files(spark: SparkSession) -> DataFrame:
@@ -81,7 +87,7 @@ def index_of(articles_: DataFrame) -> DataFrame:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses: kept, failed, both marks, empty, and the five-section layout."""
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10 + F.col("turn")).alias("id"), "text")
-    layout = F.concat(F.lit("**Context:** "), F.substring("text", 1, 40), F.lit("\n\n**Key Exchanges:**\n- first "), F.length("text").cast("string"), F.lit("\n- second\n\n**Decisions Made:**\n- decided "), F.col("id").cast("string"), F.lit("\n\n**Lessons Learned:**\n\n**Action Items:**\n- do it"))
+    layout = F.concat(F.lit("**Context:** "), F.coalesce("text", F.lit("")), F.lit("\n\n**Key Exchanges:**\n- first "), F.length("text").cast("string"), F.lit("\n- second\n\n**Decisions Made:**\n- decided "), F.col("id").cast("string"), F.lit("\n\n**Lessons Learned:**\n\n**Action Items:**\n- do it"))
     k = F.col("id") % 5
     made = F.when(k == 0, "FLUSH_OK").when(k == 1, "FLUSH_ERROR: E: x").when(k == 2, F.concat("text", F.lit(" FLUSH_ERROR FLUSH_OK"))).when(k == 3, "").otherwise(layout)
     return c.select("id", made.alias("response"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,9 @@ from ..operators import manifest as M
 from ..operators import model as MD
 from ..operators import retrieve as R
 from ..operators import turns as TU
+from ..operators.backfill import backfill
 from ..shared import checkpoint, work_folder
-from ..sources.files import parse_hooks
+from ..sources.files import parse_hooks, read_index, write_contexts
 from ..streaming import stream as ST
 from . import inputs as I
 
@@ -117,11 +120,6 @@ def log_sections(spark: SparkSession, d: str) -> DataFrame:
     return FL.parse_sections(FL.route(I.responses(spark, d)))
 
 
-def _entries(spark: SparkSession, d: str) -> DataFrame:
-    e = I.flush_events(spark, d).where("event_id % 10 = 0")
-    return FL.to_daily_entries(e.select("ts", F.col("source").alias("section"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("response")))
-
-
 @_query
 def daily_log_render(spark: SparkSession, d: str) -> DataFrame:
     e = I.flush_events(spark, d)
@@ -301,13 +299,24 @@ def index_upsert(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def activity_log(spark: SparkSession, d: str) -> DataFrame:
     a = I.articles(spark, d)
-    return A.activity(a.where("i % 2 = 0"), a.where("i % 3 = 0").withColumn("source", F.col("sources")[0]))
+    return A.activity(a.where("i % 2 = 0"), a.where("i % 3 = 0").withColumn("source", F.regexp_replace(F.col("sources")[0], "^daily/", "")))
+
+
+@_query
+def activity_entries(spark: SparkSession, d: str) -> DataFrame:
+    log = QUERIES["activity_log"](spark, d).unionByName(A.filed_activity(_filed(spark, d)))
+    return A.activity_text(log).select("subject", "entry")
+
+
+@_query
+def source_classes(spark: SparkSession, d: str) -> DataFrame:
+    return A.source_classes(I.articles(spark, d)).select("key", "class")
 
 
 @_query
 def shared_source_pairs(spark: SparkSession, d: str) -> DataFrame:
-    a = I.articles(spark, d).withColumn("sources", F.array(F.concat(F.lit("log-"), F.expr("i div 8").cast("string")), F.concat(F.lit("topic-"), F.expr("i div 5").cast("string"))))
-    return A.shared_source_pairs(a)
+    """Pairs of classes of articles that cite the same logs; source_classes has their members."""
+    return A.class_pairs(A.source_classes(I.articles(spark, d)))
 
 
 @_query
@@ -332,21 +341,25 @@ def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @_query
 def retrieve_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_articles(*_ranked(spark, d), common=R.COMMON).fillna(0, ["score", "rank"])
+    return R.top_articles(*_ranked(spark, d)).fillna(0, ["score", "rank"])
 
 
 @_query
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
     q, a = _ranked(spark, d)
-    return R.pack(R.top_articles(q, a, common=R.COMMON), a).select("question_id", "n_articles", "n_chars", F.md5("pack").alias("pack_md5"))
+    return R.pack(R.top_articles(q, a), a).select("question_id", "n_articles", "n_chars", F.md5("pack").alias("pack_md5"))
 
 
-@_query
-def qa_file_back(spark: SparkSession, d: str) -> DataFrame:
+def _filed(spark: SparkSession, d: str) -> DataFrame:
     q, a = _ranked(spark, d)
-    top = R.top_articles(q, a, common=R.COMMON).where("key is not null").groupBy("question_id").agg(F.array_sort(F.collect_list("key")).alias("consulted"))
+    top = R.top_articles(q, a).where("key is not null").groupBy("question_id").agg(F.array_sort(F.collect_list("key")).alias("consulted"))
     answers = q.join(top, "question_id").withColumn("answer", F.concat(F.lit("Found "), F.size("consulted").cast("string")))
-    return A.file_back(answers).select("question_id", "key", F.array_join("sources", ",").alias("consulted"), F.md5("content").alias("content_md5"), "updated")
+    return A.file_back(answers)
+
+
+@_query
+def qa_file_back(spark: SparkSession, d: str) -> DataFrame:
+    return _filed(spark, d).select("question_id", "key", F.array_join("sources", ",").alias("consulted"), F.md5("content").alias("content_md5"), "updated")
 
 
 def _starts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -385,21 +398,42 @@ def date_renderings(spark: SparkSession, d: str) -> DataFrame:
 # ---- hooks and models
 
 
-@_query
-def hook_payload_repair(spark: SparkSession, d: str) -> DataFrame:
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
     c = I.table(spark, d, "conversations")
     path = F.concat(F.lit("C:\\Users\\t"), F.col("conv_id").cast("string"), F.lit("\\"), F.col("turn").cast("string"))
     good = F.to_json(F.struct(F.col("conv_id").cast("string").alias("session_id"), F.col("role").alias("source"), path.alias("transcript_path")))
     lone = F.concat(F.lit('{"session_id": "'), F.col("conv_id").cast("string"), F.lit('", "transcript_path": "'), path, F.lit('"}'))
     bad = F.lit('{"session_id": ')
     raw = F.when(F.col("turn") % 3 == 0, good).when(F.col("turn") % 3 == 1, lone).otherwise(bad)
-    return parse_hooks(c.select(raw.alias("raw"))).select("session_id", "source", "transcript_path")
+    return c.select(raw.alias("raw"))
+
+
+@_query
+def hook_payload_repair(spark: SparkSession, d: str) -> DataFrame:
+    return parse_hooks(_payloads(spark, d)).select("session_id", "source", "transcript_path")
 
 
 def _reply(prompt: str) -> str:
     if len(prompt) % 3 == 0:
         raise ValueError(f"length {len(prompt)}")
-    return f"{len(prompt)}:{prompt[-20:]}"
+    return f"{len(prompt)}:{md5(prompt.encode()).hexdigest()}"
+
+
+def _compiled(prompt: str) -> str:
+    """Stands in for a compiling model: by length it fails, answers in another form, or writes an article."""
+    n = len(prompt)
+    if n % 4 == 0:
+        raise ValueError(f"length {n}")
+    article = {"path": f"concepts/n{n % 5}.md", "summary": f"Length {n}", "content": md5(prompt.encode()).hexdigest()}
+    return "sorry" if n % 4 == 1 else json.dumps({"articles": [article], "cost_usd": 0.25})
+
+
+def _judged(prompt: str) -> str:
+    """Stands in for a model that looks for contradictions."""
+    n = len(prompt)
+    if n % 4 == 0:
+        raise ValueError(f"length {n}")
+    return {1: f"NO_ISSUES\nCONTRADICTION: {n}", 2: f"noise\n CONTRADICTION: a vs b - {n}", 3: f"INCONSISTENCY: {md5(prompt.encode()).hexdigest()}"}[n % 4]
 
 
 def _called(spark: SparkSession, d: str) -> DataFrame:
@@ -417,9 +451,102 @@ def model_error_rows(spark: SparkSession, d: str) -> DataFrame:
     return MD.as_system_issue(_called(spark, d))
 
 
+def _compile(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    logs = I.daily_logs(spark, d)
+    manifest = I.manifest(logs)
+    return manifest, checkpoint(MD.compile_logs(M.pending(logs, manifest), _compiled, "run-1", "2024-02-15 00:00:00"))
+
+
+@_query
+def compile_run(spark: SparkSession, d: str) -> DataFrame:
+    return _compile(spark, d)[1].select("file", "hash", "cost_usd", F.size("articles").alias("n_articles"), "error")
+
+
+@_query
+def compile_articles(spark: SparkSession, d: str) -> DataFrame:
+    out = MD.compiled_articles(_compile(spark, d)[1])
+    return out.select("kind", "path", "key", "summary", "content", F.array_join("sources", ",").alias("sources"), "updated")
+
+
+@_query
+def compile_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest after a run: logs whose compilation failed stay as they were."""
+    return M.upsert(*_compile(spark, d))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    q, a = _ranked(spark, d)
+    packed = q.join(R.pack(R.top_articles(q, a), a), "question_id")
+    return checkpoint(MD.answer_questions(packed, _reply))
+
+
+@_query
+def model_answers(spark: SparkSession, d: str) -> DataFrame:
+    return _answers(spark, d).select("question_id", "answer", "error")
+
+
+@_query
+def query_count(spark: SparkSession, d: str) -> DataFrame:
+    return MD.query_count(_answers(spark, d))
+
+
+@_query
+def contradiction_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of each two classes of articles with a common log, the first articles by key are compared."""
+    a = I.articles(spark, d)
+    classes = checkpoint(A.source_classes(a))
+    least = lambda x, y: classes.groupBy(F.col("class").alias(x)).agg(F.min("key").alias(y))
+    pairs = A.class_pairs(classes).where("left < right").join(least("left", "a"), "left").join(least("right", "b"), "right")
+    return MD.check_pairs(pairs, a, _judged)
+
+
+@_query
+def backfill_sessions(spark: SparkSession, d: str) -> DataFrame:
+    turns = I.turns(spark, d)
+    conv = F.col("session_id").cast("long")
+    sub = turns.where(conv % 2 == 1).withColumn("subagent", F.concat(F.lit("agent-"), "session_id")).withColumn("session_id", (conv - 1).cast("string"))
+    sessions = turns.select("session_id").distinct().withColumn("mtime", I.day("session_id").cast("timestamp"))
+    return backfill(sessions, turns.where(conv % 2 == 0), sub, _reply)
+
+
+# ---- tables and files that are written and read back
+
+
+@_query
+def manifest_scan(spark: SparkSession, d: str) -> DataFrame:
+    path = work_folder(spark, "manifest")
+    none = M.read_manifest(spark, path)  # not there yet
+    I.manifest(I.daily_logs(spark, d)).write.parquet(path)
+    return M.read_manifest(spark, path).unionByName(none)
+
+
+@_query
+def index_scan(spark: SparkSession, d: str) -> DataFrame:
+    path = work_folder(spark, "index")
+    A.render_index(I.index_of(I.articles(spark, d))).select("line").write.text(path)
+    return A.parse_index(read_index(spark, path))
+
+
+@_query
+def context_sink(spark: SparkSession, d: str) -> DataFrame:
+    path = work_folder(spark, "contexts")
+    for _ in range(2):  # a run that is repeated replaces itself
+        write_contexts(QUERIES["session_contexts"](spark, d), path, "run-1")
+    return spark.read.parquet(path).select("session_id", "turn_count", F.md5("context").alias("context_md5"))
+
+
 # ---- streams
 
 
+@_query
+def stream_hooks(spark: SparkSession, d: str) -> DataFrame:
+    path, out = work_folder(spark, "hooks"), work_folder(spark, "hooks-out")
+    _payloads(spark, d).write.text(path)
+    hooks = ST.hook_stream(spark, path).select("session_id", "source", "transcript_path")
+    hooks.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_folder(spark, "hooks-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(hooks.schema).parquet(out)
+
+
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     raw = spark.readStream.schema(I.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     return raw.select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), "event_id")
@@ -449,11 +576,11 @@ def incremental_run(spark: SparkSession, d: str) -> DataFrame:
     logs.write.parquet(path)
 
     def compile_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.select("file", "hash").write.mode("append").parquet(out)
+        batch.select("file", "hash").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     stream = spark.readStream.schema(logs.schema).parquet(path)
     ST.incremental_run(stream, lambda: I.manifest(logs), compile_batch, work_folder(spark, "compile-state")).awaitTermination()
-    return spark.read.schema("file string, hash string").parquet(out)
+    return spark.read.schema("file string, hash string").parquet(out).select("file", "hash")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import article_key, content_hash, py_strip
 from ..operators.articles import EMPTY_INDEX, KINDS
+from ..shared import table_or_empty
 
 #: A backslash by itself, not before a quote. Fixed value.
 LONE_BACKSLASH = r'(?<!\\)\\(?!["\\])'
@@ -48,13 +51,14 @@ def read_daily_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_articles(spark: SparkSession, root: str) -> DataFrame:
     """Articles (kind, path, key, content) of the folders concepts, connections and qa, not deeper."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
-    kind, name = F.regexp_extract("p", rf"/({'|'.join(KINDS)})/[^/]*\z", 1), _name(F.col("p"))
-    path = F.concat(kind, F.lit("/"), name)
-    inside = F.regexp_extract("p", rf"({'|'.join(KINDS)})/[^/]*\z", 0) != ""
-    base = F.regexp_replace(F.lit(root), r"^[a-z]+:/*|/+$", "")
-    direct = F.url_decode("p").endswith(F.concat(F.regexp_replace(base, r"^/*", "/"), F.lit("/"), path))
-    return files.where(inside & direct).select(kind.alias("kind"), path.alias("path"), article_key(path).alias("key"), F.col("value").alias("content"))
+    schema = "kind string, path string, key string, content string"
+
+    def of(kind: str) -> DataFrame:
+        files = spark.read.text(f"{root}/{kind}/*.md", wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
+        path = F.concat(F.lit(f"{kind}/"), _name(F.col("p")))
+        return files.select(F.lit(kind).alias("kind"), path.alias("path"), article_key(path).alias("key"), F.col("value").alias("content"))
+
+    return reduce(DataFrame.unionByName, [table_or_empty(lambda k=k: of(k), spark, schema) for k in KINDS])
 
 
 def read_index(spark: SparkSession, path: str | None) -> DataFrame:
@@ -78,6 +82,8 @@ def parse_hooks(lines: DataFrame, column: str = "raw") -> DataFrame:
     return out.where(py_strip("transcript_path") != "").drop("__v")
 
 
-def write_contexts(contexts: DataFrame, path: str) -> None:
-    """A context table keyed by session and time; contexts with a skip_reason are not written."""
-    contexts.where("skip_reason is null").write.mode("append").parquet(path)
+def write_contexts(contexts: DataFrame, path: str, run: str = "0") -> None:
+    """A context table, in a part for each run; a run that is repeated replaces its own part. Contexts with a
+    skip_reason are not written."""
+    part = contexts.where("skip_reason is null").withColumn("run", F.lit(run))
+    part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)

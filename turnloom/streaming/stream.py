@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,15 +36,15 @@ def dedup_stream(events: DataFrame, seconds: int = 60, watermark: str = "1 hour"
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         last = state.get[0] if state.exists else None
-        us = rows["ts"].astype("datetime64[us]").astype("int64")
-        keep = []
-        for t in us:
-            ok = last is None or t - last >= seconds * 1_000_000
-            keep.append(ok)
-            last = t if ok else last
+        us, step = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy(), seconds * 1_000_000
+        keep, at = [], 0 if last is None else int(np.searchsorted(us, last + step))
+        while at < len(us):  # from each kept event to the next one that is late enough
+            keep.append(at)
+            last = us[at]
+            at = int(np.searchsorted(us, last + step))
         state.update((int(last),))
         state.setTimeoutTimestamp(max(int(last) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows[keep][["session_id", "ts", "source", "event_id"]]
+        yield rows.iloc[keep][["session_id", "ts", "source", "event_id"]]
 
     schema = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("source", T.StringType()), T.StructField("event_id", T.LongType())])
     state = T.StructType([T.StructField("last", T.LongType())])
