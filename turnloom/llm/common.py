@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import FEW_ROWS as FEW_ROWS
+from ..shared import broadcast_if_few as broadcast_if_few
 from ..shared import checkpoint as checkpoint
 from ..shared import ensure_checkpoints as ensure_checkpoints
 from ..ship import ship
@@ -227,17 +229,9 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), sizes.astype(np.int64)
 
 
-#: Rows of a few ids or numbers that may be broadcast: some 64 MB.
-FEW_ROWS = 3_000_000
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def broadcast_if_few(df: DataFrame) -> DataFrame:
-    """df: narrow rows, checkpointed. Broadcast when counted to be few, else joined as Spark sees fit."""
-    return F.broadcast(df) if df.count() <= FEW_ROWS else df
-
-
 def ascii_lower(column: str | Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(F.col(column) if isinstance(column, str) else column, UPPER, LOWER)
