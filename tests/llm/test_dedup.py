@@ -63,9 +63,9 @@ def removed_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("seed", "window", "hot"), [(1, 50, 100_000), (2, 23, 1), (3, 5, 1)])
+@pytest.mark.parametrize(("seed", "window", "hot"), [(1, 50, 0.2), (2, 23, 0.0), (3, 5, 0.0)])
 def test_suffix_dedup(spark, seed, window, hot, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT_SAMPLE", 1 if hot == 1 else 64)  # with a small threshold most anchors are hot
+    monkeypatch.setattr(suffixes, "HOT_SAMPLE", 64 if hot else 1)  # with a small threshold most anchors are hot
     rows = made_up(seed)
     got = {r["doc_id"]: (r["n_bytes"], hashlib.sha256(bytes(r["kept"])).hexdigest(), len(r["spans"])) for r in suffix_dedup(frame(spark, rows), window, hot=hot).collect()}
     assert got == removed_bytes(rows, window)
@@ -83,6 +83,27 @@ def test_suffix_buckets():
         assert len(set(pointer.tolist())) == len(set(keys))
 
 
+def test_later_buckets_reuse_refined_pointers():
+    """Refined in one part, buckets double what they know each round; parts that come later find pointers that know more."""
+    rng = np.random.default_rng(6)
+    passage = rng.integers(97, 123, 400, dtype=np.uint8)
+    data = np.concatenate([np.concatenate((rng.integers(97, 123, 30, dtype=np.uint8), passage)) for _ in range(20)])
+    one, many = [], []
+    assert np.array_equal(suffix_buckets(data, 200, 1, one), suffix_buckets(data, 200, 16, many))
+    # all at once: 8, 16, ... 256 bytes; in parts: by 8 bytes at the worst, while nothing behind is refined yet
+    assert one == [5] and max(many) <= 24 and min(many) < 5
+
+
+def test_equal_windows_have_equal_anchors():
+    """However many texts stand in one chunk."""
+    rng = random.Random(3)
+    text = bytes(rng.choices(b"abcdef ", k=400))
+    alone = suffixes.Minimizers([text], 50)
+    among = suffixes.Minimizers([bytes(rng.choices(b"abcdef ", k=3000)) for _ in range(90)] + [text], 50)
+    first = among.first[-1]
+    assert np.array_equal(alone.anchor[alone.fits], among.anchor[first : first + 351] - first)
+
+
 def test_difference_covers():
     for v, cover in COVERS.items():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))

@@ -6,8 +6,8 @@ of neighbouring windows with one anchor form one piece of text, and only pieces
 documents. Where all pieces around an anchor are the same by their fingerprints, as within a long passage, the least
 document has the original; where they differ but agree on a side of the anchor, as at a passage's ends, one piece of each
 kind is fetched, and each group of pieces is suffix-sorted to the depth of a window: suffixes start in buckets of
-equal 8-grams, and a bucket is refined by sorting on the bucket pointers that stand 8, 16, 32, ... bytes further on; each
-round reuses the pointers that the last one left.
+equal 8-grams, and a bucket is refined by sorting on the bucket pointers that stand further on, again and again until it
+is done; buckets that come later reuse the pointers refined before.
 """
 
 from __future__ import annotations
@@ -19,59 +19,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, SliceHashes, arrow_map, broadcast_if_few, chunks, copies_of, flat_lists, gather_anchors, key_of, long_batch, mix, shared_anchors, shuffle_width, texts_of
+from .common import BLOCK, SliceHashes, arrow_map, broadcast_if_few, checkpoint, chunks, copies_of, flat_lists, gather_anchors, key_of, long_batch, mix, shared_anchors, shuffle_width, texts_of
 
 #: Bytes of pieces that are suffix-sorted together; a larger group of one anchor is sorted alone.
 SORTED = 1 << 20
 
+#: Parts in which a group's suffixes are refined one after the other.
+PARTS = 8
+
 #: One document in so many is looked at for anchors that are in very many documents.
 HOT_SAMPLE = 64
 
+#: An anchor is in very many if it has this share of the rows of a task.
+HOT_SHARE = 0.2
 
-def suffix_buckets(data: np.ndarray, depth: int) -> np.ndarray:
-    """Bucket pointers of all suffixes of data, sorted by their first depth bytes (zeros follow the end).
 
-    Suffixes have the same pointer if and only if those bytes are the same, and pointers are in their order.
+def _refine(active: np.ndarray, pointer: np.ndarray, known: np.ndarray, depth: int) -> int:
+    """Refines whole buckets in place until each has one suffix or agrees on depth bytes; returns the number of rounds.
+
+    The suffixes of a bucket agree on their first known bytes. They are sorted on the bucket pointers that stand so many
+    bytes further on, as these are now; those that agree there, too, agree on what that bucket is known to agree on.
     """
-    n, q = len(data), min(8, depth)
-    if not n:
-        return np.zeros(0, np.int64)
-    padded = np.concatenate((data, np.zeros(depth + 8, np.uint8)))
-    gram = np.zeros(n, np.uint64)
-    for k in range(q):
-        gram = (gram << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(gram, kind="stable")
-    pointer = _pointers(order, (gram[order],), np.zeros(n, np.int64), n)
-    have = q
-    while have < depth:
-        step = min(have, depth - have)
-        size = np.bincount(pointer, minlength=n)
-        active = np.flatnonzero(size[pointer] > 1)
-        if not len(active):
-            break
+    n, rounds = len(pointer), 0
+    while len(active):
+        rounds += 1
+        step = known[active]
         ahead = active + step
-        second = np.where(ahead < n, pointer[np.minimum(ahead, n - 1)] + 1, 0)
-        first = pointer[active]
+        inside = ahead < n
+        ahead = np.minimum(ahead, n - 1)
+        first, second = pointer[active], np.where(inside, pointer[ahead] + 1, 0)
+        deeper = step + np.where(inside, known[ahead], depth)
         order = np.argsort(first * (n + 1) + second, kind="stable")
-        first, second = first[order], second[order]
+        first, second, deeper, moved = first[order], second[order], deeper[order], active[order]
         at = np.arange(len(order))
-        new_bucket = np.concatenate(([True], first[1:] != first[:-1]))
-        new = new_bucket.copy()
+        bucket = np.concatenate(([True], first[1:] != first[:-1]))
+        new = bucket.copy()
         new[1:] |= second[1:] != second[:-1]
-        base = np.maximum.accumulate(np.where(new_bucket, at, 0))
-        refined = first + np.maximum.accumulate(np.where(new, at, 0)) - base
-        pointer = pointer.copy()
-        pointer[active[order]] = refined
-        have += step
-    return pointer
+        start = np.maximum.accumulate(np.where(new, at, 0))
+        pointer[moved] = first + start - np.maximum.accumulate(np.where(bucket, at, 0))
+        known[moved] = deeper
+        active = moved[(np.bincount(start, minlength=len(at))[start] > 1) & (deeper < depth)]
+    return rounds
+
 
+def suffix_buckets(data: np.ndarray, depth: int, parts: int = PARTS, rounds: list[int] | None = None) -> np.ndarray:
+    """Bucket pointers of all suffixes of data, sorted by their first depth bytes (zeros follow the end).
+
+    Suffixes have the same pointer if and only if those bytes are the same, and pointers are in their order.
 
-def _pointers(order: np.ndarray, keys: tuple[np.ndarray, ...], base: np.ndarray, n: int) -> np.ndarray:
-    new = np.concatenate(([True], np.zeros(n - 1, bool)))
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    pointer = np.empty(n, np.int64)
-    pointer[order] = base + np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    Suffixes start in buckets of equal grams. These are refined part by part, each to its end before the next one, on
+    pointers that the same pass has refined already; so a pointer may tell more than depth bytes, and at the end
+    neighbours that do not differ before are compared byte by byte and joined again. rounds gets the rounds of each part.
+    """
+    n, q = len(data), min(8, depth)
+    if not n:
+        return np.zeros(0, np.int64)
+    padded = np.concatenate((data, np.zeros(depth + 16, np.uint8)))
+    gram = np.zeros(n + depth, np.uint64)
+    for k in range(q):
+        gram = (gram << np.uint64(8)) | padded[k : k + n + depth]
+    order = np.argsort(gram[:n], kind="stable")
+    new = np.concatenate(([True], gram[order[1:]] != gram[order[:-1]]))
+    pointer, known = np.empty(n, np.int64), np.full(n, q, np.int64)
+    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    pointer[order] = start
+    if q < depth:
+        several = np.bincount(start, minlength=n)[start] > 1
+        cuts = np.unique(np.append(start[np.arange(parts) * n // parts], n))
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            done = _refine(order[s:e][several[s:e]], pointer, known, depth)
+            if rounds is not None:
+                rounds.append(done)
+        order = np.argsort(pointer, kind="stable")
+        one, two = order[:-1], order[1:]
+        same = pointer[one] == pointer[two]
+        open_ = np.flatnonzero(~same & (gram[one] == gram[two]))
+        for k in sorted({*range(8, depth - 8, 8), depth - 8} - {0}):
+            open_ = open_[gram[one[open_] + k] == gram[two[open_] + k]]
+        same[open_] = True
+        new = np.concatenate(([True], ~same))
+        pointer[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     return pointer
 
 
@@ -105,7 +132,7 @@ class Minimizers:
             self.hashes = mix(h)
         #: The place of the anchor of the window at each byte, and whether a whole window of one text begins there.
         count = max(n - window + 1, 0)
-        bits = np.uint64(max(n, 2).bit_length())
+        bits = np.uint64(32)  # the first of the grams with the least upper half, however many texts stand here together
         least = (self.hashes >> bits << bits) | np.arange(m, dtype=np.uint64)
         span, width = 1, window - q + 1
         while span * 2 <= width:
@@ -359,23 +386,29 @@ def _removal(window: int):
     return run
 
 
-def hot_anchors(docs: DataFrame, window: int, least: int, most: int = 10_000) -> np.ndarray:
-    """Anchors in about `least` documents or more, by a sample; only how work is dealt out depends on them."""
+def hot_anchors(docs: DataFrame, window: int, share: float) -> np.ndarray:
+    """Anchors with about `share` of a task's rows or more, by a sample; only how work is dealt out depends on them.
+
+    There are at most as many as tasks divided by share.
+    """
     sample = docs.where(F.pmod(F.crc32(F.col("doc").cast("string").cast("binary")), F.lit(HOT_SAMPLE)) == 0)
     seen = arrow_map(sample, _anchors(window), "h long, doc long").select(F.col("h").bitwiseAND(F.lit(-2)).alias("h"), "doc").distinct()
-    rows = seen.groupBy("h").count().where(F.col("count") >= max(2, least // HOT_SAMPLE)).orderBy(F.desc("count"), "h").limit(most).collect()
+    counts = checkpoint(seen.groupBy("h").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") >= max(2, share * total / shuffle_width(docs))).select("h").collect()
     return np.array([r["h"] for r in rows], np.int64).view(np.uint64)
 
 
-def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = 100_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: float = HOT_SHARE) -> DataFrame:
     """Removes each byte covered by `window` bytes that also start in a document with a smaller id.
 
     Texts are UTF-8 bytes; a match never crosses documents. Strings are judged on the input; repeats within a document
-    stay. Pieces around an anchor that occurs in about `hot` documents or more are dealt out window by window.
+    stay. Pieces around an anchor with about the share `hot` of a task's rows or more are dealt out window by window.
 
     Returns id_col, n_bytes, kept (binary: the bytes left; they may cut a character), spans (array of begin, end:
     maximal removed runs in bytes). A null text is empty and loses nothing, as does one shorter than the window. A null
-    id sorts first; rows that share an id count as one document. Other columns are ignored, whatever their names.
+    id sorts first; rows that share an id count as one document. Repeated rows lose nothing to each other. Long texts are
+    taken whole, and an empty table has an empty result. Other columns are ignored, whatever their names.
     """
     if not 1 <= window < 4096:
         raise ValueError("window must be from 1 to 4095 bytes")
