@@ -57,9 +57,12 @@ def forget(spark: SparkSession, path: str) -> None:
 FEW_ROWS = 3_000_000
 
 
-def broadcast_if_few(df: DataFrame) -> DataFrame:
-    """df: narrow rows, checkpointed. Broadcast when counted to be few, else joined as Spark sees fit."""
-    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+def broadcast_if_few(df: DataFrame, size: int = 1) -> DataFrame:
+    """df: narrow rows, checkpointed. Broadcast when counted to be few, else joined as Spark sees fit.
+
+    size: of a row, in rows of two numbers.
+    """
+    return F.broadcast(df) if size * df.count() <= FEW_ROWS else df
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
