@@ -4,7 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from math import log2
+from math import exp, log2
 
 import numpy as np
 import pytest
@@ -131,6 +131,44 @@ def test_quality_edges(spark):
     assert score_quality(d.limit(0), t).count() == 0
 
 
+def test_weights_are_those_of_a_plain_model():
+    """FTRL-proximal written down weight by weight, in the same order of texts."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["good", "fine", "words", "!!", "##", "spam", "9"], k=rng.randint(0, 12))).encode() for _ in range(40)]
+    labels = [int(b"spam" not in t) for t in texts]
+    z, n, model = defaultdict(float), defaultdict(float), quality.Ftrl()
+
+    def weight(i):
+        if abs(z[i]) <= model.l1:
+            return 0.0
+        return -(z[i] - (model.l1 if z[i] > 0 else -model.l1)) / ((model.beta + n[i] ** 0.5) / model.alpha + model.l2)
+
+    share = sum(labels) / len(labels)
+    for _ in range(quality.EPOCHS):
+        for t, y in zip(texts, labels, strict=True):
+            _, slots, values = quality.features([t])
+            x = {int(i): float(np.float32(v)) for i, v in zip(slots, values, strict=True)}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (0.5 / share if y else 0.5 / (1 - share)) * (p - y) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / model.alpha * w[i]
+                n[i] += g * g
+    got = fit(texts, labels)
+    assert set(np.flatnonzero(got)) <= set(z) and all(abs(got[i] - weight(i)) < 1e-6 for i in z) and np.any(got)
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    from turnloom.llm.queries import op4_quality_classifier, op6_language_id
+
+    rows = [(None, "good words", "en", "s", 1), (7, "mauvais mots", "fr", "s", 1), (7, None, None, None, None), (None, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for query in (op4_quality_classifier, op6_language_id):
+        out = query(spark, str(tmp_path)).collect()
+        assert len(out) == 4 and all(r["held_out"] in (True, False) and 0 <= r["score"] <= 1 for r in out)
+
+
 def test_quality_is_deterministic():
     texts, labels = [b"a b c", b"!! ??", b"a c", b"??"], [1, 0, 1, 0]
     assert np.array_equal(fit(texts, labels), fit(texts, labels))

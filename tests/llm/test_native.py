@@ -9,7 +9,8 @@ import pytest
 from turnloom.llm import decontaminate as dc
 from turnloom.llm.decontaminate import contamination, decontaminate
 from turnloom.llm.mixing import emit, mix
-from turnloom.llm.urls import PATTERNS, SITES, judge_urls, pattern
+from turnloom.llm import urls
+from turnloom.llm.urls import PATTERNS, SITES, judge_urls, pattern, rule_table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -153,21 +154,47 @@ def test_urls(spark):
     rows = [(k, u, "h", "v") for k, u in enumerate(URLS)] * 2 + [(None, "http://a.com/", "h", "v")]
     out = judge_urls(spark.createDataFrame(rows, "page_id long, url string, rule string, host string")).collect()
     assert len(out) == len(rows)
-    urls = list(URLS)
+    listed = list(URLS)
     for r in out:
-        want = ("com/", "allow") if r["page_id"] is None else URLS[urls[r["page_id"]]]
+        want = ("com/", "allow") if r["page_id"] is None else URLS[listed[r["page_id"]]]
         assert (r["rule"], r["verdict"]) == want, r
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
 def test_rules_are_found_by_the_rarest_token(spark):
     """A rule whose tokens no url has is never tried; others fit as their regular expressions do."""
-    urls = [f"http://h{k}.org/{'rare' if k == 3 else 'usual'}/common" for k in range(8)]
-    mine = (*PATTERNS, pattern("block", r"/rare/common", "rare", "common"))
-    out = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), SITES, mine).collect()
+    listed = [f"http://h{k}.org/{'rare' if k == 3 else 'usual'}/common" for k in range(8)]
+    mine = rule_table(spark, (*SITES, *PATTERNS, pattern("block", r"/rare/common", "rare", "common")))
+    out = judge_urls(spark.createDataFrame(list(enumerate(listed)), "page_id long, url string"), mine).collect()
     assert {r["page_id"] for r in out if r["verdict"] == "block"} == {3}
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_thousands_of_rules(spark, few, monkeypatch):
+    """As many as if each rule were tried on each url."""
+    if not few:
+        monkeypatch.setattr(urls, "FEW_BYTES", 0)
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("xyz") + str(rng.randint(0, 30))
+    host = lambda: ".".join([word() for _ in range(rng.randint(0, 2))] + [rng.choice(["com", "net", "org"])])
+    rules = [urls.site(rng.choice(["allow", "block"]), f"{host()}/{word() + '/' if rng.random() < 0.5 else ''}") for _ in range(1500)]
+    rules = list({r.name: r for r in rules}.values())
+    for _ in range(1500):
+        w, v = word(), word()
+        rules.append(pattern(rng.choice(["block", "block", "allow"]), rf"[./]{w}[./].*{v}", w, v))
+    pages = [(k, f"http://{host()}/{'/'.join(word() for _ in range(rng.randint(0, 4)))}{rng.choice(['', '/', '?q=' + word()])}") for k in range(400)] * 2
+    table = spark.createDataFrame([(r.verdict, r.name, r.pattern, list(r.tokens), r.kind) for r in rules], "verdict string, name string, pattern string, tokens array<string>, kind string")
+    got = Counter((r["page_id"], r["rule"], r["verdict"]) for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string"), table).collect())
+    want, tried = Counter(), [re.compile(r.pattern) for r in rules if r.kind == "pattern" and r.verdict == "block"]
+    for k, u in pages[: len(pages) // 2]:
+        h, _, p = u.split("://", 1)[1].split("?")[0].partition("/")
+        fits = [r for r in rules if r.kind == "site" and (h == r.name.partition("/")[0] or h.endswith("." + r.name.partition("/")[0])) and ("/" + p).startswith("/" + r.name.partition("/")[2]) and "/" in u.split("://", 1)[1]]
+        best = max(fits, key=lambda r: (len(r.name), r.name), default=None)
+        blocked = any(x.search(u) for x in tried)
+        want[k, best.name if best else None, best.verdict if best else "block" if blocked else "allow"] += 2
+    assert got == want and len({v for _, _, v in got}) == 2
+
+
 @pytest.mark.parametrize("name", ["op3_decontamination", "op5_url_filter", "op8_source_mixing"])
 def test_native_plans(spark, sf_dir, name):
     from turnloom.llm.queries import QUERIES

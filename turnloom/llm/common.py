@@ -243,5 +243,5 @@ def copies_of(own: DataFrame) -> DataFrame:
     print is a fingerprint of the text, by which rows with one id and other texts are told apart.
     """
     sums = own.select("doc", F.unhex(F.sha2("body", 256)).alias("sum"), F.xxhash64("body").alias("print")).where("sum is not null")
-    first = sums.groupBy("sum").agg(F.min("doc").alias("first"))
-    return checkpoint(sums.join(first, "sum").where("doc > first").select("doc", "print").distinct().withColumn("copy", F.lit(True)))
+    first = sums.groupBy("sum").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("sum", "first")
+    return checkpoint(sums.join(broadcast_if_few(checkpoint(first), 3), "sum").where("doc > first").select("doc", "print").distinct().withColumn("copy", F.lit(True)))

@@ -257,7 +257,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes: (node, doc, same), checkpointed. Returns (node, body): a text for each, found by id and digest."""
-    met = own.join(broadcast_if_few(nodes), "doc").where(F.unhex(F.sha2("body", 256)) == F.col("same"))
+    met = own.join(broadcast_if_few(nodes, 3), "doc").where(F.unhex(F.sha2("body", 256)) == F.col("same"))
     return met.groupBy("node").agg(F.first("body").alias("body"))
 
 
@@ -361,7 +361,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str
 
     first = F.min(F.struct("doc", "row"))
     classes = signed.where("n_shingles > 0").groupBy("same").agg(F.count("*").alias("n"), first.alias("f")).where("n > 1")
-    classes = broadcast_if_few(checkpoint(classes.select("same", F.col("f.row").alias("first_row"), F.col("f.doc").alias("first_doc"))))
+    classes = broadcast_if_few(checkpoint(classes.select("same", F.col("f.row").alias("first_row"), F.col("f.doc").alias("first_doc"))), 3)
     placed = signed.join(classes, "same", "left").withColumn("node", F.coalesce("first_row", "row"))
     lead = placed.where("n_shingles > 0 and node = row").select("node", "doc", "same", "n_shingles", "buckets", "marks")
 

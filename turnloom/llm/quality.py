@@ -21,7 +21,7 @@ from .common import SliceHashes, arrow_map, chunks, mix, texts_of
 #: Weights are 2 ** BITS.
 BITS = 18
 
-#: Labelled documents that are learned from, at most about: a sample by a hash of the id.
+#: Labelled documents that are learned from, at most about: a sample by a hash of id and text.
 TRAIN_DOCS = 8000
 
 EPOCHS = 4
@@ -112,11 +112,12 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> np.ndarr
 
 def train_quality(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs: int = TRAIN_DOCS) -> np.ndarray:
     """Trains in one task on at most about `docs` labelled rows; returns the weights. Null labels are skipped."""
-    rows = train.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"))
+    rows = train.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string")).alias("h"))
     n = rows.count()
     if not n:
         return np.zeros(1 << BITS)
-    picked = rows.where(F.pmod("h", F.lit(2**32)) < min(1.0, docs / n) * float(2**32)).withColumn("all", F.lit(0))
+    # rows that are the same in all of these count once, so that the task's rows are bounded
+    picked = rows.where(F.pmod("h", F.lit(2**32)) < min(1.0, docs / n) * float(2**32)).distinct().withColumn("all", F.lit(0))
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending"), ("body", "ascending"), ("label", "ascending")]).combine_chunks()
@@ -134,8 +135,10 @@ def train_quality(train: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def score_quality(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """Scores every whole text, from 0 to 1; higher: label 1 is likelier.
 
-    Returns the columns of docs and score (which replaces a column of that name). A null text scores as an empty one: by the bias alone. Without
-    labels all scores are 0.5. Equal texts get equal scores.
+    Returns the columns of docs and score (which replaces a column of that name), whatever their names. A null text
+    scores as an empty one: by the bias alone; a long one is scored whole. Without labels all scores are 0.5. Equal texts
+    get equal scores, repeated rows are kept, and an empty table has an empty result. Training rows that are the same in
+    id, text and label count once; they are learned from in the order of their hashes, so runs agree.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train_quality(train, id_col, text_col, label_col, train_docs))
 

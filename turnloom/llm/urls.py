@@ -45,14 +45,19 @@ def pattern(verdict: str, regex: str, *tokens: str) -> Rule:
 #: The contract's rules; the longest that fits decides.
 SITES = (site("allow", "com/"), site("block", "example.com/en/"), site("allow", "www.example.com/en/"), site("block", "net/es/"), site("block", "net/fr/"))
 
+#: Words that stand for what a training corpus leaves out, where they are a whole part of a host or path.
+WORDS = ("adult", "casino", "escort", "phishing", "poker", "porn", "torrent", "viagra", "warez", "xxx")
+
 #: Decide where no site rule fits: a block by any of them, else allowed.
 PATTERNS = (
     pattern("block", r"(^|[./-])spam-farm\.", "spam", "farm"),
-    pattern("block", r"(^|[./-])casino([./-]|$)", "casino"),
-    pattern("block", r"(^|[./-])adult([./-]|$)", "adult"),
+    *(pattern("block", rf"(^|[./-]){w}([./-]|$)", w) for w in WORDS),
     pattern("block", r"/wp-login\.php($|[?#])", "wp", "login", "php"),
 )
 
+#: Bytes of rules, or of urls that rules fit, that may be broadcast.
+FEW_BYTES = 64 << 20
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for null or a url without ://."""
@@ -63,39 +68,48 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), F.regexp_extract(F.substr(after, F.length(host) + 1), r"^[^?#]*", 0)
 
 
-def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    """rules: at most FEW_ROWS of them, so that they may be broadcast."""
-    if len(rules) > FEW_ROWS:
-        raise ValueError(f"{len(rules)} rules are too many to broadcast")
-    return spark.createDataFrame([(k, r.verdict, r.name, r.pattern, list(r.tokens), r.kind) for k, r in enumerate(rules)], "rule_id int, verdict string, name string, pattern string, tokens array<string>, kind string")
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = (*SITES, *PATTERNS)) -> DataFrame:
+    """A few rules as a table (verdict, name, pattern, tokens, kind); many are read from wherever they are kept."""
+    rows = [F.struct(F.lit(r.verdict).alias("verdict"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"), F.array(*map(F.lit, r.tokens)).alias("tokens"), F.lit(r.kind).alias("kind")) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+def _small(df: DataFrame, *texts: str) -> DataFrame:
+    """df, checkpointed: broadcast if its rows and texts are known to be small."""
+    row = df.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(f"b{k}") for k, c in enumerate(texts)]).first()
+    return F.broadcast(df) if row["n"] <= FEW_ROWS // 3 and sum(row[1:]) <= FEW_BYTES else df
 
 
-def judge_urls(pages: DataFrame, sites: tuple[Rule, ...] = SITES, patterns: tuple[Rule, ...] = PATTERNS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Returns id_col, host, path, rule (name of the longest site rule that fits, else null), verdict.
 
-    Distinct urls are split into tokens once; a rule is looked up by that of its tokens which the fewest urls have.
-    Where no site rule fits, a url that a blocking pattern fits is blocked, else allowed. Null urls and those without :// have an empty host and
-    path and are allowed. Repeated rows are judged alike; a null id is kept. Other columns are ignored.
+    rules: a table as of rule_table(), by default that one. Distinct urls are split into tokens once; a rule is looked
+    up by that of its tokens which the fewest urls have, and only the urls that have it run its regular expression. A
+    rule without tokens is tried nowhere. Of site rules of one length the last by name decides. Where no site rule fits,
+    a url that a blocking pattern fits is blocked, else allowed. Null urls and those without :// have an empty host and
+    path; null ones are allowed. Repeated rows are judged alike; a null id is kept. Long urls are taken whole, and an
+    empty table has an empty result. Other columns are ignored, whatever their names.
     """
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("u"))
     host, path = host_and_path(F.col("u"))
     urls = own.where("u is not null").groupBy("u").agg(F.count("*").alias("times"))
     tokens = F.array_distinct(F.regexp_extract_all(ascii_lower("u"), F.lit(f"({TOKEN})"), F.lit(1)))
     every = urls.select("u", F.explode(tokens).alias("token"))
-    rules = rule_table(pages.sparkSession, (*sites, *patterns))
-    named = rules.select("rule_id", F.explode("tokens").alias("token"))
-    met = every.join(F.broadcast(named.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
+    given = rule_table(pages.sparkSession) if rules is None else rules
+    table = checkpoint(given.select(F.monotonically_increasing_id().alias("rule_id"), "verdict", "name", "pattern", "tokens", "kind"))
+    named = checkpoint(table.select("rule_id", F.explode("tokens").alias("token")))
+    met = every.join(_small(checkpoint(named.select("token").distinct()), "token"), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
     # a token that no url has cannot be met, so its rule cannot fit
-    rarest = named.join(met, "token", "left").groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("urls", F.lit(0)), "token")).alias("token"))
-    index = checkpoint(rarest.join(rules, "rule_id").select("token", "verdict", "name", "pattern", "kind"))
-    candidates = every.join(F.broadcast(index), "token")
+    rarest = named.join(checkpoint(met), "token", "left").groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("urls", F.lit(0)), "token")).alias("token"))
+    index = checkpoint(rarest.join(table, "rule_id").select("token", "verdict", "name", "pattern", "kind"))
+    candidates = every.join(_small(index, "token", "name", "pattern"), "token")
     target = F.when(F.col("kind") == "site", F.concat(host, path)).otherwise(ascii_lower("u"))
     fits = candidates.where(F.call_function("rlike", target, F.col("pattern")))
     is_site = F.col("kind") == "site"
-    best = fits.groupBy("u").agg(
+    best = checkpoint(fits.groupBy("u").agg(
         F.max(F.when(is_site, F.struct(F.length("name").alias("n"), "name", "verdict"))).alias("site"),
         F.max(~is_site & (F.col("verdict") == "block")).alias("blocked"),
-    )
-    out = own.join(best, "u", "left")
+    ))
+    out = own.join(_small(best, "u", "site.name"), "u", "left")
     verdict = F.when(F.col("site").isNotNull(), F.col("site.verdict")).when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), host.alias("host"), path.alias("path"), F.col("site.name").alias("rule"), verdict.alias("verdict"))
