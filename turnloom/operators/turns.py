@@ -17,8 +17,20 @@ MAX_TURNS, MAX_CHARS, TOOL_CHARS = 30, 15_000, 200
 MIN_TURNS = {"session_end": 1, "pre_compact": 5, "backfill": 2}
 
 
-def _kind(v: Column, prefix: str) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith(prefix), F.lit(False))
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
+def _is_string(v: Column) -> Column:
+    """For a value that is no object or array, whose whole schema would be put together."""
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+
+
+def _held(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with more columns, each computed once a row: the optimizer would copy them into every filter and column that
+    uses them, but not through a generator."""
+    one = F.struct(*[v.alias(k) for k, v in values.items()])
+    return rows.select("*", F.explode(F.array(one)).alias("__held")).select(*rows.columns, *[F.col(f"__held.{k}").alias(k) for k in values])
 
 
 def _spaced_inputs(blocks: pd.Series) -> pd.Series:
@@ -52,18 +64,16 @@ def parse_turns(lines: DataFrame, exact_tool_json: bool = False, strict: bool =
     are joined by line ends. Tool inputs are compact JSON cut to 200 characters; exact_tool_json spaces them as JSON is
     usually dumped. strict drops whole sessions that have a line or text block of an unforeseen kind.
     """
-    line = py_strip("raw")
-    rows = lines.withColumn("raw", line).where("raw <> ''").withColumn("v", F.try_parse_json("raw")).where("v is not null")
-    odd = ~_kind(F.col("v"), "OBJECT")
-    rows = rows.withColumn("odd", odd).withColumn("m", F.when(~odd, F.try_variant_get("v", "$.message", "variant")))
-    inner = _kind(F.col("m"), "OBJECT")
+    rows = lines.withColumn("raw", py_strip("raw")).where("raw <> ''")
+    rows = _held(rows, v=F.try_parse_json("raw")).where("v is not null")
+    odd = ~F.col("raw").startswith("{")
+    rows = _held(rows, m=F.when(~odd, F.try_variant_get("v", "$.message", "variant")))
     fields = "role string, content string"
-    rows = rows.withColumn("top", F.from_json("raw", f"message string, {fields}")).withColumn("inner", inner)
-    rows = rows.withColumn("f", F.when(F.col("inner"), F.from_json("top.message", fields)).otherwise(F.struct("top.role", "top.content")))
-    content = F.when(F.col("inner"), F.try_variant_get("m", "$.content", "variant")).otherwise(F.try_variant_get("v", "$.content", "variant"))
-    rows = rows.withColumn("c", F.when(~F.col("odd"), content))
-    array = _kind(F.col("c"), "ARRAY")
-    rows = rows.withColumn("values", F.when(array, F.from_json("f.content", "array<string>"))).withColumn("kinds", F.when(array, F.try_variant_get("c", "$", "array<variant>")))
+    rows = _held(rows, inner=_is_object(F.col("m")), top=F.from_json("raw", f"message string, {fields}"))
+    rows = _held(rows, f=F.when(F.col("inner"), F.from_json("top.message", fields)).otherwise(F.struct("top.role", "top.content")), c=F.when(~odd, F.when(F.col("inner"), F.try_variant_get("m", "$.content", "variant")).otherwise(F.try_variant_get("v", "$.content", "variant"))))
+    rows = _held(rows, kinds=F.try_variant_get("c", "$", "array<variant>"))
+    array = F.col("kinds").isNotNull()
+    rows = _held(rows, values=F.when(array, F.from_json("f.content", "array<string>")))
     if exact_tool_json:
         ship(lines.sparkSession)
         rows = rows.withColumn("inputs", F.pandas_udf(_spaced_inputs, "array<string>")("values"))
@@ -73,19 +83,21 @@ def parse_turns(lines: DataFrame, exact_tool_json: bool = False, strict: bool =
     block = "type string, text string, name string, input string"
 
     def part(b: Column, k: Column) -> Column:
-        value = F.from_json(b["values"], block)
-        tool = F.concat(F.lit("[Tool: "), F.coalesce(value["name"], F.lit("?")), F.lit("] "), F.left(b["inputs"], F.lit(TOOL_CHARS)))
-        of_object = F.when(value["type"] == "text", value["text"]).when(value["type"] == "tool_use", tool)
-        return F.when(_kind(k, "STRING"), b["values"]).when(_kind(k, "OBJECT"), of_object)
+        def of(value: Column) -> Column:
+            tool = F.concat(F.lit("[Tool: "), F.coalesce(value["name"], F.lit("?")), F.lit("] "), F.left(b["inputs"], F.lit(TOOL_CHARS)))
+            return F.when(value["type"] == "text", value["text"]).when(value["type"] == "tool_use", tool)
+
+        of_object = F.transform(F.array(F.from_json(b["values"], block)), of)[0]
+        return F.when(_is_object(k), of_object).when(_is_string(k), b["values"])
 
     parts = F.filter(F.zip_with("blocks", "kinds", part), lambda p: p.isNotNull() & ~is_blank(p))
-    text = F.when(_kind(F.col("c"), "STRING"), F.col("f.content")).when(array, F.array_join(parts, "\n"))
-    bad_text = F.exists(F.zip_with("values", "kinds", lambda v, k: _kind(k, "OBJECT") & (F.from_json(v, block)["type"] == "text") & F.from_json(v, block)["text"].isNull()), lambda x: F.coalesce(x, F.lit(False)))
-    rows = rows.withColumn("text", text).withColumn("bad", F.col("odd") | F.coalesce(F.when(array, bad_text), F.lit(False)))
+    text = F.when(array, F.array_join(parts, "\n")).when(_is_string(F.col("c")), F.col("f.content"))
+    rows = _held(rows, text=text)
     if strict:
-        rows = rows.join(rows.where("bad").select("session_id").distinct(), "session_id", "left_anti")
+        bad_text = F.exists(F.zip_with("values", "kinds", lambda v, k: _is_object(k) & (F.from_json(v, block)["type"] == "text") & F.from_json(v, block)["text"].isNull()), lambda x: F.coalesce(x, F.lit(False)))
+        rows = rows.join(rows.where(odd | F.coalesce(F.when(array, bad_text), F.lit(False))).select("session_id").distinct(), "session_id", "left_anti")
     role = F.col("f.role")
-    kept = rows.where(~F.col("odd") & F.col("m").isNotNull() & role.isin("user", "assistant") & F.col("text").isNotNull() & ~is_blank("text"))
+    kept = rows.where(~odd & F.col("m").isNotNull() & role.isin("user", "assistant") & F.col("text").isNotNull() & ~is_blank("text"))
     return kept.select("session_id", F.col("line_no").cast("int").alias("seq"), "subagent", role.alias("role"), py_strip("text").alias("text"), render_turn(role, F.col("text")).alias("rendered"))
 
 
