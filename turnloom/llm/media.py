@@ -43,6 +43,8 @@ def _unfilter(rows: np.ndarray) -> np.ndarray:
     kinds, body = rows[:, 0], rows[:, 1:]
     if kinds.max(initial=0) > 4:
         raise ValueError("unknown filter type")
+    if (kinds > 2).any():
+        return _by_diagonals(kinds, body)
     out = body.copy()
     sub = np.flatnonzero(kinds == 1)
     out[sub] = np.cumsum(body[sub], axis=1, dtype=np.uint64).astype(np.uint8)
@@ -52,25 +54,24 @@ def _unfilter(rows: np.ndarray) -> np.ndarray:
         if kinds[s] == 2:
             total = np.cumsum(body[s:e], axis=0, dtype=np.uint64)
             out[s:e] = (total + (out[s - 1] if s else 0)).astype(np.uint8)
-            continue
-        for y in range(s, e):
-            if kinds[y] < 3:
-                continue
-            above = out[y - 1].astype(int) if y else np.zeros(body.shape[1], int)
-            left = corner = 0
-            line = body[y].astype(int)
-            for x in range(len(line)):
-                if kinds[y] == 3:
-                    guess = (left + above[x]) // 2
-                else:
-                    p = left + above[x] - corner
-                    near = min((abs(p - left), 0, left), (abs(p - above[x]), 1, above[x]), (abs(p - corner), 2, corner))
-                    guess = near[2]
-                left, corner = (line[x] + guess) & 255, above[x]
-                out[y, x] = left
     return out
 
 
+def _by_diagonals(kinds: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """All samples whose row and column add up to one number depend on smaller ones only, so they are undone together."""
+    height, width = body.shape
+    out = np.zeros((height + 1, width + 1), np.int16)
+    for k in range(height + width - 1):
+        y = np.arange(max(0, k - width + 1), min(height, k + 1))
+        x = k - y
+        left, above, corner, kind = out[y + 1, x], out[y, x + 1], out[y, x], kinds[y]
+        toward = left + above - corner
+        far = np.abs(np.stack((toward - left, toward - above, toward - corner)))
+        nearest = np.choose(far.argmin(0), (left, above, corner))  # of equally near ones the first
+        out[y + 1, x + 1] = (body[y, x] + np.choose(kind, (np.zeros_like(left), left, above, (left + above) // 2, nearest))) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def decode_png(media: bytes) -> np.ndarray:
     """Samples of an 8-bit grayscale PNG without interlacing. Raises ValueError where a checksum or the form is wrong."""
     if media[:8] != SIGNATURE:
@@ -140,7 +141,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The payload is the text's UTF-8 bytes with bytes 255 up to a positive multiple of 576; null is an empty text.
     Returns id_col, n_bytes (unpadded), media (the PNG), payload (as read back), feature (8 bytes: a cosine-transform
-    hash). Equal texts have equal values; repeated rows and null ids are kept. Other columns are ignored.
+    hash). Equal texts have equal values; repeated rows and null ids are kept. A long text is one image; an empty table
+    has an empty result. Other columns are ignored, whatever their names.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     kind = own.schema["id"].dataType.simpleString()
