@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,21 @@ def extra_files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("index", "# Knowledge Base Index"), ("log", "")], "key string, content string")
 
 
+def named_files(rows: DataFrame, root: str) -> None:
+    """Writes rows (path, text) as a file each, by its path below root. Spark names its files itself, so they are renamed."""
+    spark, parts = rows.sparkSession, f"{root}.parts"
+    rows.select("path", "text").write.partitionBy("path").text(parts)
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(at(parts)):
+        if folder.isDirectory():
+            target = at(f"{root}/{unquote(folder.getPath().getName().removeprefix('path='))}")
+            fs.mkdirs(target.getParent())
+            for file in fs.listStatus(folder.getPath()):
+                if file.getPath().getName().startswith("part-"):
+                    fs.rename(file.getPath(), target)
+
+
 def index_of(articles_: DataFrame) -> DataFrame:
     return articles_.select("key", F.concat(F.lit("Article "), F.col("i").cast("string")).alias("summary"), F.array_join("sources", ", ").alias("sources"), "updated")
 

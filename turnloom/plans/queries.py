@@ -19,7 +19,8 @@ from ..operators import retrieve as R
 from ..operators import turns as TU
 from ..operators.backfill import backfill
 from ..shared import checkpoint, work_folder
-from ..sources.files import parse_hooks, read_index, write_contexts
+from ..sources.files import latest_source as newest_folder
+from ..sources.files import list_sessions, parse_hooks, read_articles, read_daily_logs, read_index, read_transcripts, write_contexts
 from ..streaming import stream as ST
 from . import inputs as I
 
@@ -512,6 +513,46 @@ def backfill_sessions(spark: SparkSession, d: str) -> DataFrame:
 # ---- tables and files that are written and read back
 
 
+@_query
+def transcript_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Transcript files of sessions and of their subagents, read and put together."""
+    root, lines = work_folder(spark, "sessions"), _lines(spark, d)
+    conv = F.col("session_id").cast("long")
+    path = F.when(conv % 2 == 0, F.concat("session_id", F.lit(".jsonl"))).otherwise(F.concat((conv - 1).cast("string"), F.lit("/subagents/agent-"), "session_id", F.lit(".jsonl")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda r: r["raw"]), "\n")
+    I.named_files(lines.groupBy("session_id").agg(text.alias("text")).select(path.alias("path"), "text"), root)
+    main, sub = (TU.parse_turns(read_transcripts(spark, root, s)) for s in (False, True))
+    return TU.attach_subagents(main, sub).select("session_id", "seq", "subagent", "rendered")
+
+
+@_query
+def session_listing(spark: SparkSession, d: str) -> DataFrame:
+    root, c = work_folder(spark, "sessions"), I.table(spark, d, "conversations")
+    names = c.groupBy("conv_id").agg(F.concat(F.lit("session-"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), F.repeat(F.lit("x"), F.count("*").cast("int")).alias("text"))
+    I.named_files(names, root)
+    return list_sessions(spark, root).select("session_id", "short_id", "size")
+
+
+@_query
+def latest_source(spark: SparkSession, d: str) -> DataFrame:
+    c = I.table(spark, d, "conversations")
+    return newest_folder(c.select(F.concat(F.lit("dir-"), (F.col("conv_id") % 7).cast("string")).alias("dir"), I.day("conv_id").cast("timestamp").alias("mtime")))
+
+
+@_query
+def daily_log_scan(spark: SparkSession, d: str) -> DataFrame:
+    root = work_folder(spark, "daily")
+    I.named_files(I.daily_logs(spark, d).select(F.col("file").alias("path"), F.col("content").alias("text")), root)
+    return read_daily_logs(spark, root).select("file", "log_date", "hash", F.length("content").alias("n_chars"))
+
+
+@_query
+def article_scan(spark: SparkSession, d: str) -> DataFrame:
+    root = work_folder(spark, "knowledge")
+    I.named_files(I.articles(spark, d).select("path", F.col("content").alias("text")), root)
+    return read_articles(spark, root).select("kind", "path", "key", F.md5("content").alias("content_md5"))
+
+
 @_query
 def manifest_scan(spark: SparkSession, d: str) -> DataFrame:
     path = work_folder(spark, "manifest")

@@ -304,6 +304,15 @@ p AS (SELECT *, CASE WHEN {_strip('context')} = '' THEN 'empty' WHEN turn_count
 r AS (SELECT *, CASE WHEN skip_reason IS NULL THEN {_reply('p')} END AS response FROM p)
 SELECT CAST(id AS VARCHAR) AS session_id, CAST(DATE '2024-01-01' + CAST(id % 30 AS INT) AS TIMESTAMP) AS ts, turn_count, skip_reason,
        CASE WHEN contains(response, 'FLUSH_ERROR') THEN 'Memory Flush' WHEN response IS NOT NULL THEN 'Session' END AS section, response FROM r""",
+    "transcript_scan": f"""WITH parsed AS ({_PARSED.replace("@input", "'{\"n\":' || CAST(turn AS VARCHAR) || '}'")}), c AS (SELECT CAST(session_id AS BIGINT) AS id, seq, rendered FROM parsed),
+u AS (SELECT id, 0 AS later, '' AS subagent, seq, rendered FROM c WHERE id % 2 = 0
+      UNION ALL SELECT id - 1, 1, 'agent-' || CAST(id AS VARCHAR), seq, rendered FROM c WHERE id % 2 = 1
+      UNION ALL SELECT DISTINCT id - 1, 1, 'agent-' || CAST(id AS VARCHAR), -1, '**[Subagent: agent-' || CAST(id AS VARCHAR) || ']**' || chr(10) FROM c WHERE id % 2 = 1)
+SELECT CAST(id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY id ORDER BY later, subagent, seq) - 1 AS INT) AS seq, subagent, rendered FROM u""",
+    "session_listing": "SELECT 'session-' || CAST(conv_id AS VARCHAR) AS session_id, 'session-' AS short_id, count(*) + 1 AS size FROM conversations GROUP BY conv_id",
+    "latest_source": "SELECT max_by('dir-' || CAST(conv_id % 7 AS VARCHAR), CAST(conv_id % 30 AS VARCHAR).lpad(2, '0') || 'dir-' || CAST(conv_id % 7 AS VARCHAR)) AS dir FROM conversations",
+    "daily_log_scan": f"WITH {_LOGS} SELECT file, CAST(log_date AS VARCHAR) AS log_date, {_hash('content || chr(10)')} AS hash, CAST(length(content) + 1 AS INT) AS n_chars FROM logs",
+    "article_scan": f"WITH {_ARTICLES} SELECT kind, path, key, md5(content || chr(10)) AS content_md5 FROM articles",
     "manifest_scan": f"WITH {_LOGS} SELECT file, hash, compiled_at, CAST(cost_usd AS DECIMAL(18,6)) AS cost_usd FROM manifest",
     "index_scan": f"WITH {_ARTICLES}, {_INDEX} SELECT key, summary, sources, CAST(updated AS VARCHAR) AS updated FROM index_",
     "context_sink": f"WITH {_CONTEXTS} SELECT session_id, turn_count, md5(context) AS context_md5 FROM contexts WHERE {_strip('context')} <> '' AND turn_count >= 2",
