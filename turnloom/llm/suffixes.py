@@ -386,14 +386,25 @@ def _removal(window: int):
     return run
 
 
+def _occurrences(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = texts_of(b.column(0))
+            for k, end in chunks(map(len, texts)):
+                found = Minimizers(texts[k:end], window)
+                h, n = np.unique(found.hashes[found.anchor[found.runs(found.fits)[0]]] & ~np.uint64(1), return_counts=True)
+                yield long_batch(h=h, n=n)
+
+    return run
+
+
 def hot_anchors(docs: DataFrame, window: int, share: float) -> np.ndarray:
-    """Anchors with about `share` of a task's rows or more, by a sample; only how work is dealt out depends on them.
+    """Anchors with about `share` of a task's pieces or more, by a sample; only how work is dealt out depends on them.
 
     There are at most as many as tasks divided by share.
     """
     sample = docs.where(F.pmod(F.crc32(F.col("doc").cast("string").cast("binary")), F.lit(HOT_SAMPLE)) == 0)
-    seen = arrow_map(sample, _anchors(window), "h long, doc long").select(F.col("h").bitwiseAND(F.lit(-2)).alias("h"), "doc").distinct()
-    counts = checkpoint(seen.groupBy("h").agg(F.count("*").alias("n")))
+    counts = checkpoint(arrow_map(sample.select("body"), _occurrences(window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = counts.where(F.col("n") >= max(2, share * total / shuffle_width(docs))).select("h").collect()
     return np.array([r["h"] for r in rows], np.int64).view(np.uint64)
