@@ -39,7 +39,7 @@ def test_summary_and_report_of_a_healthy_base(spark):
     none = L.parse_contradictions(spark.createDataFrame([("NO_ISSUES",)], "response string"))
     assert tuple(L.summary(none).first()) == (0, 0, 0, 0, True)
     lines = [r["line"] for r in L.report_lines(none, "2024-01-31").orderBy("part", "severity_rank", "check_rank", "file", "detail").collect()]
-    assert lines[0] == "# Lint Report - 2024-01-31" and lines[-1].startswith("All checks passed")
+    assert lines[0] == "# Lint Report - 2024-01-31" and lines[-2].startswith("All checks passed") and lines[-1] == ""
     assert {r["check"]: r["n"] for r in L.by_check(none).collect()} == dict.fromkeys(L.CHECKS, 0)
 
 
