@@ -24,6 +24,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
+def _held(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with more columns, each computed once a row: the optimizer would copy them into every column that uses them,
+    but not through a generator."""
+    one = F.struct(*[v.alias(k) for k, v in values.items()])
+    return rows.select("*", F.explode(F.array(one)).alias("__held")).select(*rows.columns, *[F.col(f"__held.{k}").alias(k) for k in values])
+
+
 def _places(words: str, n: int) -> Column:
     return F.greatest(F.size(words) - n + 1, F.lit(0))
 
@@ -35,7 +42,7 @@ def with_grams(rows: DataFrame, words: str, sizes: list[int]) -> DataFrame:
     it. lower() also folds other letters than A-Z, so windows that are equal once these are lower-cased have equal hashes.
     """
     made, columns = {1}, rows.columns
-    out = rows.withColumn("g1", F.transform(words, lambda w: F.xxhash64(F.lower(w))))
+    out = _held(rows, g1=F.transform(words, lambda w: F.xxhash64(F.lower(w))))
 
     def add(n: int) -> None:
         nonlocal out
@@ -44,7 +51,7 @@ def with_grams(rows: DataFrame, words: str, sizes: list[int]) -> DataFrame:
         one = 1 << ((n - 1).bit_length() - 1)
         add(one), add(n - one)
         count = _places("g1", n)
-        out = out.withColumn(f"g{n}", F.zip_with(F.slice(f"g{one}", F.lit(1), count), F.slice(f"g{n - one}", F.lit(one + 1), count), lambda a, b: F.xxhash64(a, b)))
+        out = _held(out, **{f"g{n}": F.zip_with(F.slice(f"g{one}", F.lit(1), count), F.slice(f"g{n - one}", F.lit(one + 1), count), lambda a, b: F.xxhash64(a, b))})
         made.add(n)
 
     for n in sizes:
@@ -83,7 +90,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     found = windows.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.octet_length("gram")).alias("bytes")).collect()  # n rows at most
     few = sum(r["n"] for r in found) <= FEW_ROWS and sum(r["bytes"] for r in found) <= FEW_BYTES
     sizes = sorted(r["size"] for r in found)
-    own = docs.select(key_of(id_col).alias("doc"), words_of(F.col(text_col).cast("string")).alias("w"))
+    own = _held(docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body")), w=words_of(F.col("body"))).drop("body")
     whole = docs.select(F.col(id_col).alias("id"), key_of(id_col).alias("doc"), F.size(words_of(F.col(text_col).cast("string"))).cast("long").alias("n_words"))
     if sizes:
         hashed = with_grams(own, "w", sizes)
