@@ -10,7 +10,7 @@ from turnloom.llm.sql import ORACLE_SQL
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     got, want = QUERIES[name](spark, sf_dir).toPandas(), con.execute(ORACLE_SQL[name]).df()
     columns = sorted(want.columns)

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import audit_texts
 from .chat import format_chats
 from .decontaminate import contamination
 from .language import identify
 from .media import media_columns
 from .minhash import near_duplicates
 from .mixing import mix
+from .negatives import hard_negatives, quantized
 from .quality import score_quality
 from .substring import substring_dedup
 from .suffixes import suffix_dedup
+from .toxicity import score_toxicity
 from .urls import judge_urls
 
 
@@ -86,4 +89,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_media_columns, op3_decontamination, op4_quality_classifier, op5_url_filter, op6_language_id, op7_chat_formatting, op8_source_mixing, op9_minhash_dedup, op10_substring_dedup)}
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_texts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = _held_out(4, 2)
+    train = docs.where(~held).join(labels.select("doc_id", "toxic"), "doc_id")
+    out = score_toxicity(docs, train)
+    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), F.size("terms").cast("long").alias("n_terms"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantized(_table(spark, sf_dir, "embeddings"))
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = hard_negatives(rows.select("id", label.alias("label"), "vector", (F.col("id") % 100 == 0).alias("anchor")))
+    return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_media_columns, op3_decontamination, op4_quality_classifier, op5_url_filter, op6_language_id, op7_chat_formatting, op8_source_mixing, op9_minhash_dedup, op10_substring_dedup, op11_filter_interaction_audit, op12_toxicity, op13_hard_negatives)}

@@ -90,4 +90,42 @@ SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, min(other) AS component_id,
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op3_decontamination": OP3, "op5_url_filter": OP5, "op7_chat_formatting": OP7, "op8_source_mixing": OP8, "op9_minhash_dedup": OP9, "op10_substring_dedup": OP10}
+#: Shapley values here by what each order removes, order for order.
+OP11 = r"""
+WITH d AS (SELECT coalesce(source, '') AS part, coalesce(doc_id, -9223372036854775808) AS doc, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc) OVER (PARTITION BY t) AS first FROM d),
+g AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+             + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+             + (CASE WHEN doc > first THEN 16 ELSE 0 END) AS mask FROM w LEFT JOIN g USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM l a, l b, l c, l d, l e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND (a.b | b.b | c.b | d.b | e.b) = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INTEGER) AS before FROM o, (SELECT unnest(generate_series(1, 5)) AS step)),
+x AS (SELECT part, filter_order, step, bit,
+             sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM m, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x
+"""
+
+OP13 = r"""
+WITH e AS (SELECT row_number() OVER () AS key, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ok AS (SELECT key, id, label, v FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT key, id, label, list_transform(v, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM ok),
+s AS (SELECT a.key AS akey, a.id AS anchor_id, a.label AS alabel, b.key AS bkey, b.id AS id, b.label AS label, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
+      FROM q a JOIN q b ON a.id % 100 = 0 AND a.key <> b.key),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY akey ORDER BY score DESC, id NULLS LAST, bkey) AS n FROM s WHERE label = alabel) WHERE n <= 5),
+h AS (SELECT p.akey, p.anchor_id, p.n, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.akey, p.n ORDER BY s.score DESC, s.id NULLS LAST, s.bkey) AS rank
+      FROM p JOIN s ON s.akey = p.akey AND s.label <> p.alabel AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM h WHERE rank <= 5
+"""
+
+ORACLE_SQL = {"op3_decontamination": OP3, "op5_url_filter": OP5, "op7_chat_formatting": OP7, "op8_source_mixing": OP8, "op9_minhash_dedup": OP9, "op10_substring_dedup": OP10, "op11_filter_interaction_audit": OP11, "op13_hard_negatives": OP13}
