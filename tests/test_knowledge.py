@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from turnloom.operators import articles as A
@@ -46,7 +50,7 @@ def test_summary_and_report_of_a_healthy_base(spark):
 def test_report_groups(spark):
     issues = L.parse_contradictions(spark.createDataFrame([("CONTRADICTION: a vs b - c\nnoise\n INCONSISTENCY: d",)], "response string"))
     lines = [r["line"] for r in L.report_lines(issues, "x").orderBy("part", "severity_rank", "check_rank", "file", "detail").collect()]
-    assert lines[-3:] == ["## Warnings", "- **[!]** `(cross-article)` - CONTRADICTION: a vs b - c", "- **[!]** `(cross-article)` - INCONSISTENCY: d"]
+    assert lines[-5:] == ["## Warnings", "", "- **[!]** `(cross-article)` - CONTRADICTION: a vs b - c", "- **[!]** `(cross-article)` - INCONSISTENCY: d", ""]
 
 
 def test_quality_rules(spark):
@@ -102,6 +106,36 @@ def test_retrieval_by_common_terms(spark):
     assert top == {(1, 1): ("concepts/a", 666), (1, 2): ("concepts/b", 666), (2, 1): ("concepts/a", 1332), (2, 2): ("concepts/b", 666)}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_retrieval_is_exact(spark, seed):
+    """Against scores of all pairs: null and repeated ids and keys, null texts, ties, few and many postings for the bound."""
+    rng = random.Random(seed)
+    words = [f"w{int(30 * rng.random() ** 2):02d}" for _ in range(60)]
+    text = lambda most: None if rng.random() < 0.05 else " ".join(rng.choice(words) for _ in range(rng.randrange(most)))
+    a = [(rng.choice([None, *"abc"]) if rng.random() < 0.1 else f"k{i:02d}", text(25)) for i in range(60)]
+    kinds = {"string": ["x", "y", None, "z"], "smallint": [1, 2, None, 3], "double": [0.5, None, 1.5, 2.5]}
+    kind = rng.choice(sorted(kinds))
+    q = [(rng.choice(kinds[kind]), text(30)) for _ in range(15)]
+    split = lambda t: {w for w in (t or "").split() if len(w) > 2}
+    held: dict = {}
+    for key, t in a:
+        if key is not None:
+            held.setdefault(key, set()).update(split(t))
+    df = Counter(w for ws in held.values() for w in ws)
+    want = []
+    for i, t in q:
+        found = [(-sum(1000 * (len(held) - df[w]) // len(held) for w in split(t) & ws), key) for key, ws in held.items() if len(split(t) & ws) >= 3]
+        best = sorted(found)[:4]
+        want += [(i, key, -s, n) for n, (s, key) in enumerate(best, 1)] or [(i, None, None, None)]
+    questions = spark.createDataFrame(q, f"question_id {kind}, question string").repartition(3)
+    articles_ = spark.createDataFrame([(k, "p", t) for k, t in a], "key string, path string, content string")
+    for postings in (1, 40, 5000):
+        top = R.top_articles(questions, articles_, k=4, seed=postings)
+        assert sorted((str(tuple(r)[1:]) for r in top.collect())) == sorted(map(str, want))
+    assert R.pack(top, articles_).count() == len(q)
+    assert R.top_articles(questions.limit(0), articles_).count() == 0 and R.top_articles(questions, articles_.limit(0)).where("key is null").count() == len(q)
+
+
 def test_recent_log_and_injection(spark):
     dates = spark.sql("select explode(sequence(date'2024-01-02', date'2024-01-04')) d")
     logs = spark.sql("select '2024-01-02.md' file, date'2024-01-02' log_date, 'l1\\nl2\\n' content")

@@ -2,122 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import last_lines, long_date, ordered_concat, truncate_head
-from ..shared import broadcast_if_few, checkpoint
-from ..ship import ship
+from ..shared import broadcast_if_few, broadcast_if_small, checkpoint
 
-#: Questions that meet all articles at a time.
-QUESTIONS = 256
+#: Postings of a question's rarest terms, about, from which the bound of its scores is found.
+SEED = 5000
 
 
 def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 2))
 
 
-def _best(score: np.ndarray, known: np.ndarray, keys: np.ndarray, k: int, min_score: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each question the rows of its k best articles, by score and then key."""
-    for q in range(score.shape[1]):
-        at = np.flatnonzero(known[:, q] >= min_score)
-        if len(at) > k:
-            least = np.partition(score[at, q], len(at) - k)[len(at) - k]
-            at = at[score[at, q] >= least]
-        yield q, at[np.lexsort((keys[at], -score[at, q]))][:k]
-
-
-def _block_scores(articles: DataFrame, asked: list[tuple[int, str, int]], ids: list, k: int, min_score: int, kind: str) -> DataFrame:
-    """articles (key, terms); asked (number of a question in ids, term, weight). Each task's best articles of each question."""
-    number: dict[str, int] = {}
-    for _, term, _ in asked:
-        number.setdefault(term, len(number))
-    weight = np.zeros((len(number), len(ids)))
-    held = np.zeros((len(number), len(ids)), np.float32)
-    for q, term, w in asked:
-        weight[number[term], q], held[number[term], q] = w, 1
-    shared = articles.sparkSession.sparkContext.broadcast((number, weight, held, ids))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, weight, held, ids = shared.value
-        q_type = pa.array(ids).type
-        best: tuple[np.ndarray, ...] | None = None  # question, score, n, key
-        for whole in batches:
-            for s in range(0, whole.num_rows, 500):
-                b = whole.slice(s, 500)
-                keys = np.array(b.column(0).to_pylist(), object)
-                has = np.zeros((len(keys), len(number)), np.float32)
-                for row, terms_ in enumerate(b.column(1).to_pylist()):
-                    has[row, [number[t] for t in terms_ or () if t in number]] = 1
-                score, n = has.astype(np.float64) @ weight, has @ held
-                rows = [(q, at) for q, at in _best(score, n, keys, k, min_score) if len(at)]
-                if not rows:
-                    continue
-                q, at = np.concatenate([np.full(len(x), q) for q, x in rows]), np.concatenate([x for _, x in rows])
-                new = (q, score[at, q], n[at, q], keys[at])
-                best = tuple(map(np.concatenate, zip(best, new, strict=True))) if best else new
-                order = np.lexsort((best[3], -best[1], best[0]))
-                first = np.concatenate(([True], best[0][order][1:] != best[0][order][:-1]))
-                place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-                best = tuple(x[order[place < k]] for x in best)
-        if best:
-            q, score, n, keys = best
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], q_type), pa.array(keys.tolist(), pa.string()), pa.array(score.astype(np.int64)), pa.array(n.astype(np.int64))], names=["question_id", "key", "score", "n"])
-
-    ship(articles.sparkSession)
-    return articles.mapInArrow(run, f"question_id {kind}, key string, score long, n long")
-
-
-def top_articles(questions: DataFrame, articles: DataFrame, k: int = 10, min_score: int = 3, block: int = QUESTIONS) -> DataFrame:
+def index_terms(articles: DataFrame, names: DataFrame) -> DataFrame:
+    """Which of the terms in names (term, t) each article has: (key, ts), checkpointed. Rows of one key are one article."""
+    each = articles.where("key is not null").select("key", F.explode(terms(F.col("content"))).alias("term"))
+    return checkpoint(each.join(broadcast_if_small(names), "term").groupBy("key").agg(F.collect_set("t").alias("ts")))
+
+
+def top_articles(questions: DataFrame, articles: DataFrame, k: int = 10, min_score: int = 3, seed: int = SEED) -> DataFrame:
     """questions (question_id, question), articles (key, content): the k best articles of each question.
 
     The score is the sum over shared terms of 1000 * (N - df) div N, a whole number, so that ties are exact and go by
     key; min_score terms must be shared. All terms count: one that all articles have weighs nothing, but is shared.
-    Questions without such an article have one row with nulls.
 
-    Questions meet all articles in blocks of `block`; a block's terms and weights are a matrix, each task multiplies its
-    articles with it and hands on its k best of each question, so that what is shuffled does not grow with the articles.
+    Returns question_no, question_id, key, score, rank; a question without such an article has one row with nulls. Each row
+    of questions is one by itself, numbered by question_no, whatever its id, which may be of any type, null or repeated. A
+    null question or content has no terms; articles without a key are left out.
+
+    An inverted index of the asked terms is searched with bounds: the articles found by a question's rarest terms (of about
+    `seed` postings) have k-th best a score that the k best will reach. Its most common terms that weigh less together
+    cannot bring an article among the best, so that only the other terms' postings are read. What is found there is scored
+    in full by its own terms, unless the rest cannot lift it to the bound. No article that belongs to the best is lost.
     """
-    terms_ = articles.select("key", terms(F.col("content")).alias("terms"))
-    own = questions.select("question_id", terms(F.col("question")).alias("terms"))
-    total = articles.count()
-    kind = questions.schema["question_id"].dataType.simpleString()
-    ids = [r["question_id"] for r in own.select("question_id").distinct().orderBy("question_id").toLocalIterator()]
-    parts = []
-    for s in range(0, len(ids), block):
-        some = ids[s : s + block]
-        asked = own.where(F.col("question_id").isin(some)).select("question_id", F.explode("terms").alias("term")).distinct()
-        names = F.broadcast(asked.select("term").distinct())  # terms of at most `block` questions
-        df = terms_.select(F.explode("terms").alias("term")).join(names, "term").groupBy("term").agg(F.count("*").alias("df"))
-        at = {x: i for i, x in enumerate(some)}
-        weighed = [(at[r["question_id"]], r["term"], 1000 * (total - r["df"]) // total) for r in asked.join(df, "term").collect()]
-        if weighed:
-            parts.append(_block_scores(terms_, weighed, some, k, min_score, kind))
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "key")
-    if not parts:
-        return questions.select("question_id", F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("score"), F.lit(None).cast("int").alias("rank"))
-    top = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return questions.select("question_id").join(top.select("question_id", "key", "score", "rank"), "question_id", "left")
+    own = checkpoint(questions.select(F.monotonically_increasing_id().alias("q"), "question_id", terms(F.col("question")).alias("terms")))
+    asked = own.select("q", F.explode("terms").alias("term"))
+    names = checkpoint(asked.select("term").distinct().withColumn("t", F.monotonically_increasing_id()))
+    index = index_terms(articles, names)
+    posted = index.select("key", F.explode("ts").alias("t"))
+    total = articles.where("key is not null").select("key").distinct().count()
+    df = checkpoint(posted.groupBy("t").agg(F.count("*").alias("df")))
+    weights = names.join(df, "t").select("term", "t", "df", F.expr(f"(1000L * ({total}L - df)) div {max(total, 1)}L").alias("weight"))
+    weighed = checkpoint(asked.join(weights, "term").select("q", "t", "df", "weight"))
+
+    # the bound: what the k-th best article has by the rarest terms alone
+    rare = Window.partitionBy("q").orderBy("df", "t")
+    first = weighed.withColumn("upto", F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(rare)).where((F.col("upto") <= seed) | (F.col("n") <= min_score))
+    found = first.join(posted, "t").groupBy("q", "key").agg(F.sum("weight").alias("score"), F.count("*").alias("n")).where(F.col("n") >= min_score)
+    bounds = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))).where(F.col("place") == k).select("q", F.col("score").alias("bound"))
+
+    # terms that weigh less than the bound, the lightest together, need not be looked up
+    light = Window.partitionBy("q").orderBy("weight", "t").rowsBetween(Window.unboundedPreceding, 0)
+    split = checkpoint(weighed.join(bounds, "q", "left").withColumn("sought", F.sum("weight").over(light) >= F.coalesce("bound", F.lit(0).cast("long"))))
+    sought = checkpoint(split.where("sought").select("q", "t", "weight"))
+    rest = split.where("not sought").groupBy("q").agg(F.collect_list(F.struct("t", "weight")).alias("rest"), F.sum("weight").alias("more"), F.first("bound").alias("bound"))
+    some = posted.join(broadcast_if_few(sought), "t").groupBy("q", "key").agg(F.sum("weight").alias("score"), F.count("*").alias("n"))
+    near = some.join(rest, "q", "left").where("rest is null or score + more >= bound")
+    whole = near.join(index, "key").withColumn("had", F.filter("rest", lambda r: F.array_contains("ts", r["t"])))
+    zero = F.lit(0).cast("long")
+    score = F.col("score") + F.coalesce(F.aggregate("had", zero, lambda a, r: a + r["weight"]), zero)
+    shared = F.col("n") + F.coalesce(F.size("had"), F.lit(0))
+    scored = whole.select("q", "key", score.alias("score"), F.when(F.col("rest").isNull(), F.col("n")).otherwise(shared).alias("n")).where(F.col("n") >= min_score)
+    top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= k)
+    return own.select("q", "question_id").join(top.select("q", "key", "score", "rank"), "q", "left").withColumnRenamed("q", "question_no")
 
 
 def pack(ranked: DataFrame, articles: DataFrame, budget: int = 20_000) -> DataFrame:
     """Joins each question's articles in rank order while their length stays within the budget.
 
-    The first one is cut to the budget if it is longer. A question without articles has an empty pack.
+    ranked: of top_articles. The first article is cut to the budget if it is longer. A question without articles has an
+    empty pack. Returns question_no, question_id, pack, n_articles, n_chars.
     """
-    found = checkpoint(ranked.where("key is not null"))
-    sized = articles.select("key", "path", "content").join(broadcast_if_few(found), "key")
+    ranked = checkpoint(ranked.select("question_no", "question_id", "key", "rank"))
+    found = checkpoint(ranked.where("key is not null").select("question_no", "key", "rank"))
+    sized = articles.select("key", "path", "content").join(broadcast_if_few(found, 2), "key")
     text = F.concat(F.lit("## "), "path", F.lit("\n\n"), "content")
-    run = Window.partitionBy("question_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("question_no").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     kept = sized.withColumn("part", F.when(F.col("rank") == 1, truncate_head(text, budget)).otherwise(text))
     kept = kept.withColumn("used", F.sum(F.length("part")).over(run)).where((F.col("used") <= budget) | (F.col("rank") == 1))
-    packed = kept.groupBy("question_id").agg(ordered_concat(["rank"], "part", "\n\n---\n\n").alias("pack"), F.count("*").alias("n_articles"), F.max("used").alias("n_chars"))
-    return ranked.select("question_id").distinct().join(packed, "question_id", "left").select("question_id", F.coalesce("pack", F.lit("")).alias("pack"), F.coalesce("n_articles", F.lit(0)).alias("n_articles"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+    packed = kept.groupBy("question_no").agg(ordered_concat(["rank"], "part", "\n\n---\n\n").alias("pack"), F.count("*").alias("n_articles"), F.max("used").alias("n_chars"))
+    every = ranked.where("rank is null or rank = 1").select("question_no", "question_id")
+    return every.join(packed, "question_no", "left").select("question_no", "question_id", F.coalesce("pack", F.lit("")).alias("pack"), F.coalesce("n_articles", F.lit(0)).alias("n_articles"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
 
 
 def recent_log(dates: DataFrame, logs: DataFrame, tolerance_days: int = 1, n_lines: int = 30) -> DataFrame:

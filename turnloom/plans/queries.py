@@ -342,7 +342,7 @@ def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @_query
 def retrieve_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_articles(*_ranked(spark, d)).fillna(0, ["score", "rank"])
+    return R.top_articles(*_ranked(spark, d)).drop("question_no").fillna(0, ["score", "rank"])
 
 
 @_query

@@ -65,6 +65,16 @@ def broadcast_if_few(df: DataFrame, size: int = 1) -> DataFrame:
     return F.broadcast(df) if size * df.count() <= FEW_ROWS else df
 
 
+#: Bytes that may be broadcast where rows hold texts.
+FEW_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, most: int = FEW_BYTES) -> DataFrame:
+    """df: rows of any width, checkpointed. Broadcast when they are few and, written as text, have at most so many bytes."""
+    size = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(F.count("*").alias("rows"), F.sum("n").alias("bytes")).first()
+    return F.broadcast(df) if size["rows"] <= FEW_ROWS and (size["bytes"] or 0) <= most else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     ensure_checkpoints(df.sparkSession)
     return df.checkpoint()
