@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import articles as A
 from turnloom.operators import lint as L
+from turnloom.operators import model as MD
 from turnloom.operators import retrieve as R
 
 
@@ -89,6 +90,38 @@ def test_pairs_of_logs_with_many_articles(spark):
     assert sorted(r["shared"] for r in A.class_pairs(classes).collect()) == [1, 1, 2]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_review_packs_hold_every_linked_pair(spark, seed):
+    rng = random.Random(seed)
+    logs = [f"l{k}" for k in range(5)]
+    rows = [(f"k{i:02d}", f"k{i:02d}.md", rng.choice([None, "", "x" * rng.randrange(400)]), rng.choice([None, [], ["l0"], ["l0", "l1", "l0"], rng.choices([*logs, None], k=3), logs])) for i in range(50)]
+    a = spark.createDataFrame(rows + rows[:3] + [(None, "p", "c", ["l0"])], "key string, path string, content string, sources array<string>")
+    size = {k: len(f"## {p}\n\n{c or ''}") for k, p, c, _ in rows}
+    cited = {k: {x for x in s or () if x} for k, _, _, s in rows}
+    linked = {(x, y) for x in cited for y in cited if x < y and cited[x] & cited[y]}
+    for budget, shard in ((1, 1 << 30), (700, 1 << 30), (700, 900), (4000, 1 << 30), (10**9, 1 << 30)):
+        packs = [(r["pack"], r["source"], r["keys"]) for r in A.review_packs(a, budget, shard).collect()]
+        assert len({p for p, *_ in packs}) == len(packs)
+        assert {(x, y) for *_, keys in packs for x in keys for y in keys if x < y} >= linked
+        assert all(source in cited[k] for _, source, keys in packs for k in keys)
+        assert all(sum(size[k] for k in keys) <= budget or any(size[k] > budget // 2 for k in keys) for *_, keys in packs)
+    assert {s for _, s, _ in packs} <= set(logs) and len(packs) <= 5
+    many = A.review_packs(a, 4000)
+    per = {s: sum(size[k] for k in cited if s in cited[k]) / 2000 for s in logs}
+    assert many.count() <= sum((2 * n + 1) * (2 * n) / 2 + 1 for n in per.values())
+
+
+def test_review_of_many_articles(spark):
+    """Packs are about half the square of the blocks, and all articles are put to the model."""
+    a = spark.range(1200).select(F.format_string("k%04d", "id").alias("key"), F.lit("p").alias("path"), F.repeat(F.lit("x"), 94).alias("content"), F.array(F.lit("l"), F.when(F.col("id") < 600, "m").otherwise("n")).alias("sources"))
+    packs = A.review_packs(a, 10_000).collect()  # 50 articles a block: 24 blocks of l; m and n only have pairs that l has
+    assert len(packs) == 24 * 23 // 2 and {r["source"] for r in packs} == {"l"}
+    issues = MD.check_contradictions(a, lambda p: f"CONTRADICTION: {p.count('## p')} {len(p)}", 10_000).collect()
+    assert len(issues) == len(packs) and {r["detail"].split()[1] for r in issues} == {"100"}
+    failed = MD.check_contradictions(a, lambda p: 1 / 0, 10**6).collect()
+    assert [(r["file"], r["detail"]) for r in failed] == [("(system)", "LLM check failed: division by zero")]
+
+
 def test_retrieval(spark):
     a = articles(spark, concepts_a="alpha beta gamma delta", concepts_b="alpha zeta", concepts_c="other words here", concepts_d="more words", concepts_e="yet more")
     q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "nothing known")], "question_id int, question string")

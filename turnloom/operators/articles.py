@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import index_row, iso_seconds, mentions, slugify, wikilinks
+from ..shared import checkpoint
+from ..ship import ship
 
 #: Kinds in their fixed order.
 KINDS = ("concepts", "connections", "qa")
 
+#: Characters of articles that are reviewed together, at most, where no two of them are longer.
+REVIEW_CHARS = 100_000
+
+#: Characters of a log's articles that are cut into blocks in one place, about.
+SHARD_CHARS = 1 << 30
+
 #: Articles or classes of a log that are compared with as many others in one place.
 BLOCK = 1000
 
@@ -123,6 +132,58 @@ def shared_source_pairs(articles: DataFrame, block: int = BLOCK) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
 
 
+def _blocks(budget: int):
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        """Articles of one log and shard in order, each put into the open block while it fits."""
+        rows = rows.sort_values(["class", "key"])
+        block, used, out = 0, 0, []
+        for n in rows["size"]:
+            if used and used + n > budget:
+                block, used = block + 1, 0
+            used += n
+            out.append(block)
+        return rows.assign(block=out)[["source", "shard", "block", "key", "logs"]]
+
+    return cut
+
+
+def review_packs(articles: DataFrame, budget: int = REVIEW_CHARS, shard: int = SHARD_CHARS) -> DataFrame:
+    """Packs of articles to be read together: (pack, source, keys), so that any two articles with a common source log are in
+    one pack at least. articles (key, path, content, sources); a row without a key or without logs is in no pack.
+
+    A log's articles, in the order of their logs and keys, are cut into blocks of at most half the budget in characters of
+    their review_text (a longer article is a block of its own), and a pack is two blocks. So N articles of a log, b of which
+    fill a block, need about (N / b)^2 / 2 packs. Where a log has one block, it is a pack if it has two articles. A pair of
+    blocks whose articles all share a log that comes before is left out, as that log has packs for them.
+
+    Long logs are cut into blocks shard by shard; blocks of all shards of a log meet. Rows of one key must be the same.
+    """
+    size = F.length(review_text())
+    own = articles.where("key is not null").select("key", size.cast("long").alias("size"), F.array_sort(F.array_distinct(F.array_compact("sources"))).alias("logs")).where("size(logs) > 0").dropDuplicates(["key"])
+    each = checkpoint(own.select("key", "size", "logs", F.to_json("logs").alias("class"), F.explode("logs").alias("source")))
+    total = each.groupBy("source").agg(F.sum("size").alias("total"))
+    spread = F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long") % (1 + F.expr(f"total div {shard}"))
+    dealt = each.join(total, "source").withColumn("shard", spread)
+    ship(articles.sparkSession)
+    placed = dealt.select("source", "shard", "class", "key", "size", "logs").groupBy("source", "shard").applyInPandas(_blocks(max(1, budget // 2)), "source string, shard long, block long, key string, logs array<string>")
+    common = F.aggregate("all", F.col("all")[0], lambda a, x: F.array_intersect(a, x))
+    made = placed.groupBy("source", "shard", "block").agg(F.array_sort(F.collect_list("key")).alias("keys"), F.collect_set("logs").alias("all")).select("source", "shard", "block", "keys", common.alias("common"))
+    number = Window.partitionBy("source").orderBy("shard", "block")
+    blocks = checkpoint(made.withColumn("at", F.row_number().over(number)).withColumn("n", F.count("*").over(Window.partitionBy("source"))))
+    first = blocks.where("n = 1 or at < n").select("source", "at", "n", "keys", "common", F.explode(F.when(F.col("n") == 1, F.array(F.lit(1))).otherwise(F.sequence(F.col("at") + 1, F.col("n").cast("int")))).alias("other"))
+    second = blocks.select("source", F.col("at").alias("other"), F.col("keys").alias("more"), F.col("common").alias("common2"))
+    met = first.join(second, ["source", "other"])
+    fresh = F.array_min(F.array_intersect("common", "common2")) >= F.col("source")
+    pairs = met.where(fresh).where("n > 1 or size(keys) > 1")
+    name = F.format_string("%s#%d-%d", "source", "at", "other")
+    return pairs.select(name.alias("pack"), "source", F.array_sort(F.array_union("keys", "more")).alias("keys"))
+
+
+def review_text() -> Column:
+    """An article as it is reviewed."""
+    return F.concat(F.lit("## "), "path", F.lit("\n\n"), F.coalesce("content", F.lit("")))
+
+
 def kb_size(articles: DataFrame) -> DataFrame:
     return articles.groupBy("kind").agg(F.count("*").alias("n"))
 

@@ -491,14 +491,23 @@ def query_count(spark: SparkSession, d: str) -> DataFrame:
     return MD.query_count(_answers(spark, d))
 
 
+@_query
+def review_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Which articles are reviewed together."""
+    return A.review_packs(I.articles(spark, d)).select("source", F.array_join("keys", ",").alias("keys"))
+
+
 @_query
 def contradiction_check(spark: SparkSession, d: str) -> DataFrame:
-    """Of each two classes of articles with a common log, the first articles by key are compared."""
-    a = I.articles(spark, d)
-    classes = checkpoint(A.source_classes(a))
-    least = lambda x, y: classes.groupBy(F.col("class").alias(x)).agg(F.min("key").alias(y))
-    pairs = A.class_pairs(classes).where("left < right").join(least("left", "a"), "left").join(least("right", "b"), "right")
-    return MD.check_pairs(pairs, a, _judged)
+    """All articles, any two with a common log together at least once."""
+    return MD.check_contradictions(I.articles(spark, d), _judged)
+
+
+@_query
+def lint_with_review(spark: SparkSession, d: str) -> DataFrame:
+    """The structural checks and the model's review as one set of issues."""
+    a, logs = I.articles(spark, d), checkpoint(I.daily_logs(spark, d))
+    return L.lint(a, I.extra_files(spark), logs, I.manifest(logs), MD.check_contradictions(a, _judged))
 
 
 @_query

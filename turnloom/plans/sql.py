@@ -172,6 +172,25 @@ _CLASSES = """classes AS (SELECT key, list_sort(sources) AS logs, CAST(to_json(l
 cited AS (SELECT DISTINCT class, unnest(logs) AS source FROM classes),
 class_pairs AS (SELECT x.class AS "left", y.class AS "right", count(*) AS shared FROM cited x JOIN cited y ON x.source = y.source AND x.class <= y.class GROUP BY ALL)"""
 
+#: Blocks of half of 100,000 characters, a log's articles put in one after the other; two blocks are a pack.
+_REVIEW = """texts AS (SELECT key, '## ' || path || chr(10) || chr(10) || content AS t, list_sort(list_distinct(sources)) AS logs FROM articles),
+cited AS (SELECT source, key, length(t) AS size, logs, row_number() OVER (PARTITION BY source ORDER BY class, key) AS place FROM (SELECT key, t, logs, CAST(to_json(logs) AS VARCHAR) AS class, unnest(logs) AS source FROM texts)),
+cut AS (SELECT source, place, key, logs, 1 AS block, size AS used FROM cited WHERE place = 1
+        UNION ALL SELECT c.source, c.place, c.key, c.logs, CASE WHEN used + c.size > 50000 THEN block + 1 ELSE block END, CASE WHEN used + c.size > 50000 THEN c.size ELSE used + c.size END FROM cut JOIN cited c ON c.source = cut.source AND c.place = cut.place + 1),
+last AS (SELECT source, max(block) AS n FROM cut GROUP BY source),
+pairs AS (SELECT source, n, p, q FROM last, LATERAL (SELECT unnest(generate_series(1, n)) AS p), LATERAL (SELECT unnest(generate_series(1, n)) AS q) WHERE p < q OR n = 1),
+members AS (SELECT DISTINCT pairs.source, p, q, key, logs FROM pairs JOIN cut ON cut.source = pairs.source AND block IN (p, q)),
+sizes AS (SELECT source, p, q, count(*) AS n FROM members GROUP BY ALL),
+shared AS (SELECT m.source, m.p, m.q, log FROM (SELECT source, p, q, unnest(logs) AS log FROM members) m JOIN sizes s USING (source, p, q) GROUP BY m.source, m.p, m.q, log, s.n HAVING count(*) = s.n),
+fresh AS (SELECT source, p, q FROM shared JOIN sizes USING (source, p, q) WHERE n > 1 GROUP BY source, p, q HAVING min(log) >= source),
+packs AS (SELECT source, p, q, list(key ORDER BY key) AS keys FROM members SEMI JOIN fresh USING (source, p, q) GROUP BY ALL),
+prompts AS (SELECT 'Review these articles. Name contradictions between any two of them, a line CONTRADICTION: or INCONSISTENCY: for each, or say NO_ISSUES.' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY key) AS p
+            FROM (SELECT source, p, q, unnest(keys) AS key FROM packs) JOIN texts USING (key) GROUP BY source, p, q)"""
+
+_REVIEWED = """SELECT CASE length(p) % 4 WHEN 0 THEN 'error' ELSE 'warning' END AS severity, 'contradiction' AS "check", CASE length(p) % 4 WHEN 0 THEN '(system)' ELSE '(cross-article)' END AS file,
+       CASE length(p) % 4 WHEN 0 THEN 'LLM check failed: length ' || CAST(length(p) AS VARCHAR) WHEN 2 THEN 'CONTRADICTION: a vs b - ' || CAST(length(p) AS VARCHAR) ELSE 'INCONSISTENCY: ' || md5(p) END AS detail, false AS auto_fixable
+FROM prompts WHERE length(p) % 4 <> 1"""
+
 _ACTIVITY = """activity AS (SELECT TIMESTAMP '2024-01-31 00:00:00' AS ts, 'compile' AS op, replace(sources[1], 'daily/', '') AS subject, coalesce(string_agg(key, ',' ORDER BY key) FILTER (i % 2 = 1), '') AS created,
     coalesce(string_agg(key, ',' ORDER BY key) FILTER (i % 2 = 0), '') AS updated, '' AS consulted FROM articles WHERE i % 3 = 0 GROUP BY sources[1])"""
 
@@ -285,13 +304,9 @@ SELECT 'concepts' AS kind, key || '.md' AS path, key, 'Length ' || CAST(max_by(l
 SELECT file, hash, compiled_at, CAST(cost_usd AS DECIMAL(18,6)) AS cost_usd FROM e QUALIFY row_number() OVER (PARTITION BY file ORDER BY compiled_at DESC, hash DESC) = 1""",
     "model_answers": f"WITH {_ANSWERS} SELECT question_id, answer, error FROM answers",
     "query_count": f"WITH {_ANSWERS} SELECT count(*) AS query_count, count(error) AS failed FROM answers",
-    "contradiction_check": f"""WITH {_ARTICLES}, {_CLASSES}, least_key AS (SELECT class, min(key) AS key FROM classes GROUP BY class),
-pairs AS (SELECT a.key AS a, b.key AS b FROM class_pairs p JOIN least_key a ON a.class = p."left" JOIN least_key b ON b.class = p."right" WHERE p."left" < p."right"),
-prompts AS (SELECT 'Name contradictions, a line CONTRADICTION: or INCONSISTENCY: for each, or say NO_ISSUES.' || chr(10) || chr(10) || '## ' || x.path || chr(10) || chr(10) || x.content || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## ' || y.path || chr(10) || chr(10) || y.content AS p
-            FROM pairs JOIN articles x ON x.key = a JOIN articles y ON y.key = b)
-SELECT CASE length(p) % 4 WHEN 0 THEN 'error' ELSE 'warning' END AS severity, 'contradiction' AS "check", CASE length(p) % 4 WHEN 0 THEN '(system)' ELSE '(cross-article)' END AS file,
-       CASE length(p) % 4 WHEN 0 THEN 'LLM check failed: length ' || CAST(length(p) AS VARCHAR) WHEN 2 THEN 'CONTRADICTION: a vs b - ' || CAST(length(p) AS VARCHAR) ELSE 'INCONSISTENCY: ' || md5(p) END AS detail, false AS auto_fixable
-FROM prompts WHERE length(p) % 4 <> 1""",
+    "review_packs": f"WITH RECURSIVE {_ARTICLES}, {_REVIEW} SELECT source, array_to_string(keys, ',') AS keys FROM packs",
+    "contradiction_check": f"WITH RECURSIVE {_ARTICLES}, {_REVIEW} {_REVIEWED}",
+    "lint_with_review": f"WITH RECURSIVE {_ISSUES}, {_REVIEW} SELECT * FROM issues UNION ALL ({_REVIEWED})",
     "backfill_sessions": f"""WITH {_TURNS}, c AS (SELECT CAST(session_id AS BIGINT) AS id, seq, rendered FROM turns),
 u AS (SELECT id, 0 AS later, '' AS subagent, seq, rendered FROM c WHERE id % 2 = 0
       UNION ALL SELECT id - 1, 1, 'agent-' || CAST(id AS VARCHAR), seq, rendered FROM c WHERE id % 2 = 1
