@@ -128,7 +128,7 @@ def test_dedup_edges(spark):
     passage = " ".join(f"w{k}" for k in range(30))
     rows = [(None, passage), (5, passage + " tail"), (5, "other words"), (7, passage)]
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup(frame(spark, rows)).collect())
-    # the null id comes first; rows that share an id are one document
+    # the null id is the least; rows that share an id are documents by themselves
     assert got == [("5", 2, 0), ("5", 31, 30), ("7", 30, 30), ("None", 30, 0)]
     got = sorted((str(r["doc_id"]), r["n_bytes"] - len(r["kept"]) > 0) for r in suffix_dedup(frame(spark, rows)).collect())
     assert got == [("5", False), ("5", True), ("7", True), ("None", False)]
@@ -138,6 +138,57 @@ def test_dedup_edges(spark):
     assert (kept["kept"], kept["spans"], kept["doc"]) == ("a  b\n", "x", "y")
 
 
+def shared_ids(seed, n=60):
+    """Texts of which many stand under one id, or under none; some rows are the same in both, most passages come again."""
+    rng = random.Random(seed)
+    passages = [" ".join(f"p{rng.randrange(300)}" for _ in range(rng.randint(15, 40))) for _ in range(12)]
+    rows = []
+    for _ in range(n):
+        parts = [rng.choice(passages) if rng.random() < 0.7 else " ".join(f"q{rng.randrange(99)}" for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 5))]
+        rows.append((rng.choice([None, 2**63 - 1, -7, *range(8)]) if seed % 2 else rng.choice([None, None, 1, 2, *range(99)]), rng.choice([" ".join(parts), " ".join(parts), None])))
+    return rows + rng.sample(rows, 6)
+
+
+def each_row(rows, window, split, join, within):
+    """For each row by itself: what is left, where windows of smaller ids, and with `within` earlier ones of its own, go."""
+    rank = lambda i: (i is not None, i or 0)
+    units = [split((t or "").encode()) for _, t in rows]
+    out = []
+    for (i, _), u in zip(rows, units, strict=True):
+        seen = {tuple(v[k : k + window]) for (j, _), v in zip(rows, units, strict=True) if rank(j) < rank(i) for k in range(len(v) - window + 1)}
+        gone = [False] * len(u)
+        for k in range(len(u) - window + 1):
+            g = tuple(u[k : k + window])
+            if g in seen:
+                gone[k : k + window] = [True] * window
+            if within:
+                seen.add(g)
+        out.append(str((i, len(u), sum(gone), join([x for x, g in zip(u, gone, strict=True) if not g]))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rows_that_share_an_id(spark, seed, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_SAMPLE", 1 if seed > 1 else 64)
+    rows = shared_ids(seed)
+    got = sorted(str((r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), bytes(r["kept"]))) for r in suffix_dedup(frame(spark, rows), 30, hot=0.0 if seed > 1 else 0.2).collect())
+    assert got == each_row(rows, 30, list, bytes, False)
+    got = sorted(str((r["doc_id"], r["n_words"], r["n_removed"], r["kept"].encode())) for r in substring_dedup(frame(spark, rows), 8).collect())
+    assert got == each_row(rows, 8, bytes.split, b" ".join, True)
+
+
+def test_row_numbers_are_no_ids(spark):
+    rows = [(None, "a"), (None, "b"), (None, "b"), (3, "x"), (3, "y"), (2**63 - 2, "z"), (-5, "z"), (3, None)]
+    own = spark.createDataFrame(rows, "doc long, body string").repartition(4).select(common.key_of("doc").alias("doc"), "body")
+    got = {(r["doc"], r["body"]): r["row"] for r in common.with_rows(own).collect()}
+    assert len(set(got.values())) == len(got) == 7
+    assert {b: got[d, b] for d, b in got if d in (2**63 - 2, -5)} == {"z": got[-5, "z"]} and got[-5, "z"] == -5
+    new = {v for (d, _), v in got.items() if d in (3, common.NULL_ID)}
+    assert len(new) == 5 and max(new) < -5
+    with pytest.raises(ValueError):
+        common.with_rows(own.unionByName(spark.createDataFrame([(-(2**63) + 1, "q"), (2**63 - 1, "q")], "doc long, body string"))).count()
+
+
 def components(rows, percent):
     sets = {}
     for i, t in rows:

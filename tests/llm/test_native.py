@@ -65,7 +65,23 @@ def test_contamination_edges(spark):
     assert [r["n_hit"] for r in contamination(d, none).collect()] == [0, 0, 0]
     assert contamination(d.limit(0), none).count() == 0
     b = spark.createDataFrame([(None, "a b c")], "item_id long, text string")
-    assert sorted((str(r["doc_id"]), r["n_words"], r["items"]) for r in contamination(d, b).collect()) == [("1", 1, [""]), ("1", 3, [""]), ("None", 3, [""])]
+    assert sorted((str(r["doc_id"]), r["n_words"], r["items"]) for r in contamination(d, b).collect()) == [("1", 1, []), ("1", 3, [""]), ("None", 3, [""])]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_contamination_of_rows_that_share_an_id(spark, few, monkeypatch):
+    """Each row is judged by its own words, and exactly the contaminated rows go."""
+    if not few:
+        monkeypatch.setattr(dc, "FEW_BYTES", 0)
+    rng = random.Random(11)
+    bench = [(k, " ".join(f"b{rng.randrange(50)}" for _ in range(rng.randint(3, 25)))) for k in range(6)]
+    texts = [None, "", *[" ".join([*(f"x{rng.randrange(9)}" for _ in range(rng.randrange(30))), *rng.choice(bench)[1].split()[: rng.randrange(26)]]) for _ in range(12)]]
+    docs = [(rng.choice([None, 1, 2, 3]), rng.choice(texts)) for _ in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string")
+    want = [(i, t, *brute([(i, t)], bench)[i]) for i, t in docs]
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in contamination(d, b).collect()]
+    assert sorted(map(str, got)) == sorted(str((i, *x)) for i, _, *x in want) and 5 < sum(x[-1] for x in want) < 55
+    assert sorted(str(tuple(r)) for r in decontaminate(d, b).collect()) == sorted(str((i, t)) for i, t, *_, bad in want if not bad)
 
 
 def test_decontamination_of_clashing_columns_and_long_texts(spark):

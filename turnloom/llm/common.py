@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import FEW_ROWS as FEW_ROWS
@@ -40,6 +40,28 @@ def key_of(column: str | Column) -> Column:
     return F.coalesce(c.cast("long"), F.lit(NULL_ID))
 
 
+def with_rows(own: DataFrame) -> DataFrame:
+    """own: (doc, body, ...), doc as of key_of. Adds print, a fingerprint of the text, and row: what tells rows apart.
+
+    row is the id, but where different texts stand under one id, or under none, each of them has a number that is no id.
+    So what is gathered by row is of one text. Rows that are the same in id and text have one row: they fare alike.
+    """
+    told = own.withColumn("print", F.xxhash64("body"))
+    shared = checkpoint(told.groupBy("doc").agg(F.min("print").alias("a"), F.max("print").alias("z")).where("a < z").select("doc"))
+    if shared.isEmpty():
+        return told.withColumn("row", F.col("doc"))
+    pairs = checkpoint(told.select("doc", "print").join(broadcast_if_few(shared), "doc", "left_semi").distinct().withColumn("n", F.monotonically_increasing_id()))
+    parts = pairs.groupBy(F.shiftright("n", 33).alias("part")).agg(F.count("*").alias("size"))  # a row for each partition
+    before = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    numbers = pairs.join(F.broadcast(before), F.shiftright("n", 33) == F.col("part")).select("doc", "print", (F.col("n") - F.shiftleft("part", 33) + F.col("before")).alias("n"))
+    numbers = checkpoint(numbers)
+    count, least, most = numbers.count(), *own.where(F.col("doc") > NULL_ID).agg(F.min("doc"), F.max("doc")).first()
+    base = 0 if most is None else most + 1 if most + count < 2**63 else least - count
+    if base <= NULL_ID:
+        raise ValueError("the ids leave no numbers for texts that share one")
+    return told.join(broadcast_if_few(numbers, 2), ["doc", "print"], "left").withColumn("row", F.coalesce(F.col("n") + F.lit(base), "doc")).drop("n")
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Spark keeps its Python workers for later tasks."""
     pa.default_memory_pool().release_unused()
@@ -238,10 +260,10 @@ def ascii_lower(column: str | Column) -> Column:
 
 
 def copies_of(own: DataFrame) -> DataFrame:
-    """own: (doc, body). Returns, checkpointed, (doc, print, copy): texts that a document with a smaller id has, too.
+    """own: (doc, body, print) of with_rows. Returns, checkpointed, (doc, print, copy): texts that a document with a smaller id has, too.
 
-    print is a fingerprint of the text, by which rows with one id and other texts are told apart.
+    print tells rows with one id and other texts apart.
     """
-    sums = own.select("doc", F.unhex(F.sha2("body", 256)).alias("sum"), F.xxhash64("body").alias("print")).where("sum is not null")
+    sums = own.select("doc", F.unhex(F.sha2("body", 256)).alias("sum"), "print").where("sum is not null")
     first = sums.groupBy("sum").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("sum", "first")
     return checkpoint(sums.join(broadcast_if_few(checkpoint(first), 3), "sum").where("doc > first").select("doc", "print").distinct().withColumn("copy", F.lit(True)))

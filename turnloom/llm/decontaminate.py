@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW_ROWS, ascii_lower, broadcast_if_few, checkpoint, key_of
+from ..shared import broadcast_if_small
+from .common import FEW_ROWS, ascii_lower, broadcast_if_few, checkpoint, key_of, with_rows
 
 #: What stands between words, before A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -73,16 +74,16 @@ def benchmark_windows(benchmark: DataFrame, n: int = 13, id_col: str = "item_id"
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_print: bool = False) -> DataFrame:
     """Finds where windows of n benchmark words occur in documents.
 
     A document word inside any occurrence is hit. A document is contaminated if it has hit words and
     share * n_hit >= n_words.
 
     Returns id_col, n_words, n_hit, items (sorted array of item ids as strings), spans (sorted array of begin, end in
-    words), contaminated. Null and empty texts have no words and are never contaminated; long ones are scanned whole.
-    Items without words are skipped, a null item id counts as ''. A null id is a document like any other; rows that
-    share an id share their hits. An empty benchmark contaminates nothing, and an empty table of documents has an empty
+    words), contaminated; with_print also print, xxhash64 of the text, which tells rows of one id apart. Null and empty texts have no words and are never contaminated; long ones are scanned whole.
+    Items without words are skipped, a null item id counts as ''. Each row is a document, whatever its id: those that share
+    one, or have none, are judged by their own words. An empty benchmark contaminates nothing, and an empty table of documents has an empty
     result. Other columns are ignored, whatever their names.
     """
     listed = checkpoint(benchmark_windows(benchmark, n, item_col, item_text_col))
@@ -90,8 +91,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     found = windows.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.octet_length("gram")).alias("bytes")).collect()  # n rows at most
     few = sum(r["n"] for r in found) <= FEW_ROWS and sum(r["bytes"] for r in found) <= FEW_BYTES
     sizes = sorted(r["size"] for r in found)
-    own = _held(docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body")), w=words_of(F.col("body"))).drop("body")
-    whole = docs.select(F.col(id_col).alias("id"), key_of(id_col).alias("doc"), F.size(words_of(F.col(text_col).cast("string"))).cast("long").alias("n_words"))
+    keyed = with_rows(docs.select(F.col(f"`{id_col}`").alias("id"), key_of(F.col(f"`{id_col}`")).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("body")))
+    own = _held(keyed.select("row", "body"), w=words_of(F.col("body"))).drop("body")
+    whole = keyed.select("id", "print", "row", F.size(words_of(F.col("body"))).cast("long").alias("n_words"))
     if sizes:
         hashed = with_grams(own, "w", sizes)
         # the hashes of all sizes in one array; where a size's begin
@@ -99,47 +101,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
         for size in sizes:
             starts[size] = before
             before = before + _places("w", size)
-        hashed = hashed.select("doc", "w", F.concat(*[f"g{s}" for s in sizes]).alias("g"))
+        hashed = hashed.select("row", "w", F.concat(*[f"g{s}" for s in sizes]).alias("g"))
         if few:
-            met = hashed.select("doc", "w", F.posexplode("g").alias("place", "h")).join(F.broadcast(windows), "h")
+            met = hashed.select("row", "w", F.posexplode("g").alias("place", "h")).join(F.broadcast(windows), "h")
         else:  # the texts stay behind, and join again where a hash was met
-            met = hashed.select("doc", F.posexplode("g").alias("place", "h")).join(windows, "h").join(own, "doc")
+            met = hashed.select("row", F.posexplode("g").alias("place", "h")).join(windows, "h").distinct().join(own.dropDuplicates(["row"]), "row")
         start, count = F.lit(None).cast("int"), F.lit(None).cast("int")
         for size in sizes:
             start, count = F.when(F.col("size") == size, starts[size]).otherwise(start), F.when(F.col("size") == size, _places("w", size)).otherwise(count)
         at = F.col("place") - start
         # between, so that only h is a join key and words are compared at hits alone
         same = ascii_lower(F.array_join(F.slice("w", at + 1, F.col("size")), " ")).between(F.col("gram"), F.col("gram"))
-        hits = met.where((at >= 0) & (at < count)).where(same).select("doc", at.alias("at"), "size", "gram")
+        hits = met.where((at >= 0) & (at < count)).where(same).select("row", at.alias("at"), "size", "gram")
     else:
-        hits = whole.where(F.lit(False)).select("doc", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit("").alias("gram"))
+        hits = whole.where(F.lit(False)).select("row", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit("").alias("gram"))
     hits = checkpoint(hits)
     span = F.struct(F.col("at").cast("long").alias("begin"), (F.col("at") + F.col("size")).cast("long").alias("end"))
-    spans = hits.groupBy("doc").agg(F.array_sort(F.collect_set(span)).alias("spans"))
-    items = hits.select("doc", "gram").distinct().join(listed.select("gram", "item"), "gram").groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    spans = hits.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    items = hits.select("row", "gram").distinct().join(listed.select("gram", "item"), "gram").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     covered = F.aggregate("spans", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(a["end"], s["begin"]))).alias("n"), F.greatest(a["end"], s["end"]).alias("end")))["n"]
-    by_doc = checkpoint(spans.join(items, "doc").select("doc", "spans", "items", covered.alias("hit")))
-    size = by_doc.agg(F.sum(F.size("spans") + F.size("items"))).first()[0] or 0
-    out = whole.join(F.broadcast(by_doc) if size <= FEW_ROWS else by_doc, "doc", "left")
+    by_row = checkpoint(spans.join(items, "row").select("row", "spans", "items", covered.alias("hit")))
+    out = whole.join(broadcast_if_small(by_row), "row", "left")
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
     none = F.array().cast("array<string>")
-    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast(out.schema["spans"].dataType)).alias("spans"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+    told = ["print"] if with_print else []
+    return out.select(F.col("id").alias(id_col), *told, "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast(out.schema["spans"].dataType)).alias("spans"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drops contaminated documents, or with remove="spans" their hit words; then the words left are joined by a space.
 
-    Returns the columns of docs, whatever their names. Edge cases as in contamination(); rows that share an id go
-    together, and a text without hits stays as it is.
+    Returns the columns of docs, whatever their names. Edge cases as in contamination(); a text without hits stays as it
+    is. Rows that are the same in id and text go together.
     """
-    report = contamination(docs.select(id_col, text_col), benchmark, n, share, id_col, text_col)
-    text = F.col(text_col).cast("string")
-    own = docs.select(key_of(id_col).alias("doc"), text.alias("body"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("extra"))
+    report = contamination(docs, benchmark, n, share, id_col, text_col, with_print=True)
+    mine = report.where("contaminated" if remove == "documents" else "n_hit > 0").select(key_of(F.col(f"`{id_col}`")).alias("doc"), "print", "spans")
+    hit = checkpoint(mine.groupBy("doc", "print").agg(F.first("spans").alias("spans")))
+    text = F.col(f"`{text_col}`").cast("string")
+    own = docs.select(key_of(F.col(f"`{id_col}`")).alias("doc"), F.xxhash64(text).alias("print"), text.alias("body"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("extra"))
     if remove == "documents":
-        bad = checkpoint(report.where("contaminated").select(key_of(id_col).alias("doc")).distinct())
-        return own.join(broadcast_if_few(bad), "doc", "left_anti").select(*[F.col(f"extra.c{k}").alias(c) for k, c in enumerate(docs.columns)])
-    hit = checkpoint(report.where("n_hit > 0").groupBy(key_of(id_col).alias("doc")).agg(F.first("spans").alias("spans")))
+        return own.join(broadcast_if_few(hit.drop("spans")), ["doc", "print"], "left_anti").select(*[F.col(f"extra.c{k}").alias(c) for k, c in enumerate(docs.columns)])
     left = F.filter(words_of(F.col("body")), lambda w, i: ~F.exists("spans", lambda s: (s["begin"] <= i) & (i < s["end"])))
     cleaned = F.when(F.col("spans").isNull(), F.col("body")).otherwise(F.array_join(left, " "))
-    return own.join(hit, "doc", "left").select(*[cleaned.alias(c) if c == text_col else F.col(f"extra.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return own.join(broadcast_if_small(hit), ["doc", "print"], "left").select(*[cleaned.alias(c) if c == text_col else F.col(f"extra.c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, Words, arrow_map, broadcast_if_few, chunks, copies_of, flat_lists, gather_anchors, key_of, long_batch, shared_anchors, shuffle_width, texts_of
+from .common import BLOCK, Words, arrow_map, broadcast_if_few, chunks, copies_of, flat_lists, gather_anchors, key_of, long_batch, shared_anchors, shuffle_width, texts_of, with_rows
 
 #: Difference covers: period -> positions. All differences modulo the period occur between two of the positions.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
@@ -64,19 +64,25 @@ def _candidates(words: Words, hs: np.ndarray, sizes: np.ndarray, window: int) ->
     return fits & (before[np.minimum(begin + window - m + 1, len(found))] > before[begin])
 
 
+def _first_places(a: np.ndarray, b: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of equal windows (a, b), the first in each row of the least id: only these may be the first of all."""
+    order = np.lexsort((at, row, doc, b, a))
+    a, b, doc, row, at = a[order], b[order], doc[order], row[order], at[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    least = doc[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
+    keep = (doc == least) & (new | np.concatenate(([True], row[1:] != row[:-1])))
+    return a[keep], b[keep], doc[keep], row[keep], at[keep]
+
+
 def _windows(window: int):
     def combined(parts: list[tuple]) -> pa.RecordBatch:
-        """Of equal windows of this block, only the first can be the first of all."""
-        a, b, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, doc, b, a))
-        a, b, doc, at = a[order], b[order], doc[order], at[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        return long_batch(w=a[new], rest=(b[new] << np.uint64(32)) | at[new].astype(np.uint64), doc=doc[new])
+        a, b, doc, row, at = _first_places(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return long_batch(w=a, rest=(b << np.uint64(32)) | at.astype(np.uint64), doc=doc, row=row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), texts_of(batch.column(1))
+            rows, texts, docs = batch.column(0).to_numpy(), texts_of(batch.column(1)), batch.column(5).to_numpy()
             hs, sizes = flat_lists(batch.column(2))
             ends = np.cumsum(sizes)
             for k, end in chunks(map(len, texts)):
@@ -87,7 +93,7 @@ def _windows(window: int):
                 text = words.text
                 raw = b"".join([xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(words.begin[at].tolist(), words.end[at + window - 1].tolist(), strict=True)])
                 both = np.frombuffer(raw, "<u8").reshape(-1, 2)
-                parts.append((both[:, 0], both[:, 1] >> np.uint64(32), np.repeat(ids[k:end], words.counts)[at], words.index[at]))
+                parts.append((both[:, 0], both[:, 1] >> np.uint64(32), np.repeat(docs[k:end], words.counts)[at], np.repeat(rows[k:end], words.counts)[at], words.index[at]))
                 n += len(at)
                 if n >= BLOCK:
                     yield combined(parts)
@@ -99,20 +105,16 @@ def _windows(window: int):
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition of windows: (doc, start) of the first place of each."""
+    """Of one partition of windows: (row, start) of the first places of each."""
     table = [tuple(c.to_numpy() for c in b.columns) for b in batches]
     if not table:
         return
-    w, rest, doc = (np.concatenate(x) for x in zip(*table, strict=True))
+    w, rest, doc, row = (np.concatenate(x) for x in zip(*table, strict=True))
     del table
     rest = rest.view(np.uint64)
-    half, at = rest >> np.uint64(32), (rest & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    order = np.lexsort((at, doc, half, w))
-    w, half, doc, at = w[order], half[order], doc[order], at[order]
-    new = np.concatenate(([True], (w[1:] != w[:-1]) | (half[1:] != half[:-1])))
-    doc, at = doc[new], at[new]
-    for k in range(0, len(doc), 200_000):
-        yield long_batch(doc=doc[k : k + 200_000], start=at[k : k + 200_000])
+    *_, row, at = _first_places(w, rest >> np.uint64(32), doc, row, (rest & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    for k in range(0, len(row), 200_000):
+        yield long_batch(row=row[k : k + 200_000], start=at[k : k + 200_000])
 
 
 def _removal(window: int, as_is: bool):
@@ -127,8 +129,7 @@ def _removal(window: int, as_is: bool):
                 words = Words(texts[k:end])
                 repeated = _candidates(words, hs[ends[k] - sizes[k] : ends[end - 1]], sizes[k:end], window)
                 mine = firsts[first_ends[k] - first_sizes[k] : first_ends[end - 1]]
-                inside = mine < np.repeat(words.counts, first_sizes[k:end])  # rows may share an id
-                repeated[(np.repeat(words.first, first_sizes[k:end]) + mine)[inside]] = False
+                repeated[np.repeat(words.first, first_sizes[k:end]) + mine] = False
                 repeated |= np.repeat(copy[k:end], words.counts) & (words.left >= window)
                 edge = np.zeros(len(words.begin) + window + 1, np.int64)
                 at = np.flatnonzero(repeated)
@@ -146,8 +147,7 @@ def _removal(window: int, as_is: bool):
                         kept.append(b" ".join([words.text[s:e] for s, e in zip(words.begin[alive].tolist(), words.end[alive].tolist(), strict=True)]))
                     n_words.append(n)
                     n_removed.append(m)
-            rest = [batch.column(i) for i in range(4, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*batch.schema.names[4:], "kept", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["extra", "kept", "n_words", "n_removed"])
 
     return run
 
@@ -156,25 +156,25 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     """Removes each word covered by `window` words whose sequence also starts earlier.
 
     Words are runs of other characters than space and \\x09-\\x0D, compared as they are. Earlier: in a document with a
-    smaller id, or in the same document at a smaller start. Windows are judged on the input.
+    smaller id, or in the same document at a smaller start. Windows are judged on the input. Rows that share an id, or have
+    none, are documents by themselves of which none is earlier than another; a null id is smaller than all others.
 
     Returns id_col, the columns named in carry, kept (the words left, joined by one space; with as_is, a text
     that loses nothing is kept as it is), n_words, n_removed.
-    A null or empty text has no words. A null id sorts first; rows that share an id count as one document, at the same
-    places. A document of fewer words than the window loses nothing. Other columns are ignored, whatever their names.
+    A null or empty text has no words. A document of fewer words than the window loses nothing. Other columns are ignored,
+    whatever their names.
     """
-    own = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"))
-    copies = broadcast_if_few(copies_of(own))
-    firsts_only = own.withColumn("print", F.xxhash64("body")).join(copies, ["doc", "print"], "left_anti").select("doc", "body")
-    hs = shared_anchors(arrow_map(firsts_only, _anchors(window), "h long, doc long"))
+    extra = F.struct(F.col(f"`{id_col}`").alias("i"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)])
+    full = with_rows(docs.select(key_of(F.col(f"`{id_col}`")).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("body"), extra.alias("extra")))
+    copies = broadcast_if_few(copies_of(full))
+    firsts_only = full.join(copies, ["doc", "print"], "left_anti").select("row", "body")
+    hs = shared_anchors(arrow_map(firsts_only, _anchors(window), "h long, doc long")).withColumnRenamed("doc", "row")
     # both uses of the texts have the same columns and filters, so that Spark shuffles them once; copies have no hs
-    extra = F.struct(F.col(id_col).alias("i"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
-    full = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"), extra.alias("extra"), F.xxhash64(F.col(text_col).cast("string")).alias("print"))
-    joined = full.join(copies, ["doc", "print"], "left").join(hs, "doc", "left").select("doc", "body", "hs", "extra", F.col("copy").isNotNull().alias("copy"))
-    windows = arrow_map(joined.where("hs is not null"), _windows(window), "w long, rest long, doc long")
-    firsts = arrow_map(windows.repartition(shuffle_width(docs), "w"), _firsts, "doc long, start long")
-    starts = firsts.groupBy("doc").agg(F.collect_list("start").alias("firsts"))
-    last = joined.join(starts, "doc", "left").select("body", "hs", "firsts", "copy", "extra")
+    joined = full.join(copies, ["doc", "print"], "left").join(hs, "row", "left").select("row", "body", "hs", "extra", F.col("copy").isNotNull().alias("copy"), "doc")
+    windows = arrow_map(joined.where("hs is not null"), _windows(window), "w long, rest long, doc long, row long")
+    firsts = arrow_map(windows.repartition(shuffle_width(docs), "w"), _firsts, "row long, start long")
+    starts = firsts.groupBy("row").agg(F.collect_list("start").alias("firsts"))
+    last = joined.join(starts, "row", "left").select("body", "hs", "firsts", "copy", "extra", "doc")
     kinds = last.schema["extra"].dataType.simpleString()
     out = arrow_map(last, _removal(window, as_is), f"extra {kinds}, kept string, n_words long, n_removed long")
     return out.select(F.col("extra.i").alias(id_col), *[F.col(f"extra.c{k}").alias(c) for k, c in enumerate(carry)], "kept", "n_words", "n_removed")

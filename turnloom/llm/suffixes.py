@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, SliceHashes, arrow_map, broadcast_if_few, checkpoint, chunks, copies_of, flat_lists, gather_anchors, key_of, long_batch, mix, shared_anchors, shuffle_width, texts_of
+from .common import BLOCK, SliceHashes, arrow_map, broadcast_if_few, checkpoint, chunks, copies_of, flat_lists, gather_anchors, key_of, long_batch, mix, shared_anchors, shuffle_width, texts_of, with_rows
 
 #: Bytes of pieces that are suffix-sorted together; a larger group of one anchor is sorted alone.
 SORTED = 1 << 20
@@ -182,7 +182,7 @@ def _shared_windows(found: Minimizers, hs: np.ndarray, sizes: np.ndarray) -> np.
 
 
 def _pieces(window: int, hot: np.ndarray):
-    """Pieces as (h, print, doc, run): anchor, fingerprint, and run.
+    """Pieces as (h, print, doc, run, row): anchor, fingerprint, id, run, and row.
 
     run = first window << 32 | left << 22 | right << 12 | number of windows. left and right are 10-bit fingerprints of what
     stands on each side of the anchor, half of a window's other bytes long. Two pieces that share a window agree in one of them.
@@ -192,12 +192,12 @@ def _pieces(window: int, hot: np.ndarray):
 
     def combined(parts: list[tuple]) -> pa.RecordBatch:
         """Of equal pieces of this block, those of the least document: the others' windows surely occur before."""
-        return long_batch(**dict(zip(("h", "print", "doc", "run"), _least(*(np.concatenate(x) for x in zip(*parts, strict=True))), strict=True)))
+        return long_batch(**dict(zip(("h", "print", "doc", "run", "row"), _least(*(np.concatenate(x) for x in zip(*parts, strict=True))), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), texts_of(batch.column(1))
+            rows, texts, docs = batch.column(0).to_numpy(), texts_of(batch.column(1)), batch.column(5).to_numpy()
             hs, sizes = flat_lists(batch.column(2))
             ends = np.cumsum(sizes)
             for k, end in chunks(map(len, texts)):
@@ -221,7 +221,7 @@ def _pieces(window: int, hot: np.ndarray):
                 left = (prints(np.maximum(anchor - half, begin), anchor) >> np.uint64(54)).astype(np.int64)
                 right = (prints(anchor + q, np.minimum(anchor + q + half, end_)) >> np.uint64(54)).astype(np.int64)
                 run = ((first - begin) << 32) | (left << 22) | (right << 12) | (last - first + 1)
-                parts.append((h, prints(first, last + window), ids[k:end][doc], run))
+                parts.append((h, prints(first, last + window), docs[k:end][doc], run, rows[k:end][doc]))
                 n += len(first)
                 if n >= BLOCK:
                     yield combined(parts)
@@ -232,26 +232,27 @@ def _pieces(window: int, hot: np.ndarray):
     return run
 
 
-def _least(h: np.ndarray, prints: np.ndarray, doc: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of rows with one anchor and fingerprint, those of the least document, in order of these."""
+def _least(h: np.ndarray, prints: np.ndarray, doc: np.ndarray, run: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of pieces with one anchor and fingerprint, those of the least id, in order of these."""
     order = np.lexsort((doc, prints, h))
-    h, prints, doc, run = h[order], prints[order], doc[order], run[order]
+    h, prints, doc, run, row = h[order], prints[order], doc[order], run[order], row[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (prints[1:] != prints[:-1])))
     keep = doc == doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-    return h[keep], prints[keep], doc[keep], run[keep]
+    return h[keep], prints[keep], doc[keep], run[keep], row[keep]
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition of pieces: (doc, run, ask), run = first window << 16 | number of windows.
+    """Of one partition of pieces: (row, run, ask), run = first window << 16 | number of windows.
 
     ask is null where the run is original: no other piece around its anchor agrees with it on a side. Else it is the anchor.
     """
     parts = [tuple(c.to_numpy() for c in b.columns) for b in batches]
     if not parts:
         return
-    h, prints, doc, run = (np.concatenate(x) for x in zip(*parts, strict=True))
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
     del parts
-    h, prints, doc, run = _least(h, prints, doc, run)
+    h, prints, _, run, row = _least(*columns)
+    del columns
     ask = np.zeros(len(h), bool)
     for shift in (22, 12):
         side = (run >> shift) & 1023
@@ -264,27 +265,26 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(h), 200_000):
         part = slice(k, k + 200_000)
         asked = pa.array(h[part].view(np.int64), mask=~ask[part])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(run[part]), asked], names=["doc", "run", "ask"])
+        yield pa.RecordBatch.from_arrays([pa.array(row[part]), pa.array(run[part]), asked], names=["row", "run", "ask"])
 
 
 def _fetched(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            route, pieces, doc, at = [], [], [], []
-            for i, text, asks, copy in zip(ids, texts, batch.column(2).to_pylist(), batch.column(6).to_pylist(), strict=True):
+            rows, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+            route, pieces, doc, at, row = [], [], [], [], []
+            for r, text, asks, copy, d in zip(rows, texts, batch.column(2).to_pylist(), batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
                 for a in [] if copy else asks:
                     start, n = a["run"] >> 16, a["run"] & 0xFFFF
-                    piece = text[start : start + n + window - 1]
-                    if len(piece) == n + window - 1:  # rows may share an id
-                        route.append(a["ask"]), pieces.append(piece), doc.append(i), at.append(start)
-            yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(pieces, pa.binary()), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], names=["route", "piece", "doc", "start"])
+                    route.append(a["ask"]), pieces.append(text[start : start + n + window - 1]), doc.append(d), at.append(start), row.append(r)
+            longs = [pa.array(x, pa.int64()) for x in (doc, at, row)]
+            yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(pieces, pa.binary()), *longs], names=["route", "piece", "doc", "start", "row"])
 
     return run
 
 
-def _originals_of(data: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.ndarray, window: int) -> pa.RecordBatch:
-    """Runs of windows that are in no piece of a smaller document."""
+def _originals_of(data: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.ndarray, row: np.ndarray, window: int) -> pa.RecordBatch:
+    """Runs of windows that are in no piece of a smaller id."""
     pointer = suffix_buckets(data, window)
     begin = np.cumsum(size) - size
     count = size - window + 1
@@ -297,11 +297,11 @@ def _originals_of(data: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.nd
     least[order] = whose[order][np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
     own = np.flatnonzero(least == whose)
     if not len(own):
-        return long_batch(doc=own, run=own)
+        return long_batch(row=own, run=own)
     cut = np.flatnonzero((own[1:] != own[:-1] + 1) | (piece[own[1:]] != piece[own[:-1]]))
     first, last = own[np.concatenate(([0], cut + 1))], own[np.concatenate((cut, [len(own) - 1]))]
     # a run is at most a window long: its length fits the low 16 bits
-    return long_batch(doc=whose[first], run=((at[piece[first]] + inner[first]) << 16) | (last - first + 1))
+    return long_batch(row=row[piece[first]], run=((at[piece[first]] + inner[first]) << 16) | (last - first + 1))
 
 
 def _originals(window: int):
@@ -329,13 +329,13 @@ def _originals(window: int):
     def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
         route = table.column(0).to_numpy()
         pieces = [x for c in table.column(1).chunks for x in c.to_pylist()]
-        doc, at = table.column(2).to_numpy(), table.column(3).to_numpy()
+        doc, at, row = (table.column(k).to_numpy() for k in (2, 3, 4))
         size = np.array([len(x) for x in pieces], np.int64)
         new = np.flatnonzero(np.concatenate(([True], route[1:] != route[:-1])))
         ends = np.append(new[1:], len(route))
         for k, end in chunks((int(size[s:e].sum()) for s, e in zip(new, ends, strict=True)), SORTED):
             s, e = new[k], ends[end - 1]
-            yield _originals_of(np.frombuffer(b"".join(pieces[s:e]), np.uint8), size[s:e], doc[s:e], at[s:e], window)
+            yield _originals_of(np.frombuffer(b"".join(pieces[s:e]), np.uint8), size[s:e], doc[s:e], at[s:e], row[s:e], window)
 
     return run
 
@@ -356,12 +356,10 @@ def _removal(window: int):
                 found = Minimizers(texts[k:end], window)
                 repeated = _shared_windows(found, hs[ends[k] - sizes[k] : ends[end - 1]], sizes[k:end])
                 mine = runs[run_ends[k] - run_sizes[k] : run_ends[end - 1]]
-                row = np.repeat(np.arange(end - k), run_sizes[k:end])
-                inside = (mine >> 16) + (mine & 0xFFFF) + window - 1 <= found.sizes[row]  # rows may share an id
-                begin = (found.first[row] + (mine >> 16))[inside]
+                begin = np.repeat(found.first, run_sizes[k:end]) + (mine >> 16)
                 edge = np.zeros(len(repeated) + 1, np.int64)
                 np.add.at(edge, begin, 1)
-                np.subtract.at(edge, begin + (mine & 0xFFFF)[inside], 1)
+                np.subtract.at(edge, begin + (mine & 0xFFFF), 1)
                 repeated &= np.cumsum(edge[:-1]) == 0
                 repeated |= copy[k:end][found.doc[: len(repeated)]] & found.fits
                 at = np.flatnonzero(repeated)
@@ -380,8 +378,7 @@ def _removal(window: int):
                     kept.append(data[first : first + n][~mask].tobytes())
                     spans.append([{"begin": b, "end": e} for b, e in turn.reshape(-1, 2).tolist()])
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            rest = [batch.column(i) for i in range(4, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(list(map(len, texts)), pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=[*batch.schema.names[4:], "n_bytes", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(list(map(len, texts)), pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["id", "n_bytes", "kept", "spans"])
 
     return run
 
@@ -418,27 +415,27 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
 
     Returns id_col, n_bytes, kept (binary: the bytes left; they may cut a character), spans (array of begin, end:
     maximal removed runs in bytes). A null text is empty and loses nothing, as does one shorter than the window. A null
-    id sorts first; rows that share an id count as one document. Repeated rows lose nothing to each other. Long texts are
-    taken whole, and an empty table has an empty result. Other columns are ignored, whatever their names.
+    id is smaller than all others. Rows that share an id, or have none, are documents by themselves that lose nothing to
+    each other, as none has the smaller id; so repeated rows fare alike. Long texts are taken whole, and an empty table has
+    an empty result. Other columns are ignored, whatever their names.
     """
     if not 1 <= window < 4096:
         raise ValueError("window must be from 1 to 4095 bytes")
-    own = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"))
-    copies = broadcast_if_few(copies_of(own))
-    firsts_only = own.withColumn("print", F.xxhash64("body")).join(copies, ["doc", "print"], "left_anti").select("doc", "body")
-    hs = shared_anchors(arrow_map(firsts_only, _anchors(window), "h long, doc long"))
+    full = with_rows(docs.select(key_of(F.col(f"`{id_col}`")).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("body"), F.col(f"`{id_col}`").alias("id")))
+    copies = broadcast_if_few(copies_of(full))
+    firsts_only = full.join(copies, ["doc", "print"], "left_anti").select("row", "body")
+    hs = shared_anchors(arrow_map(firsts_only, _anchors(window), "h long, doc long")).withColumnRenamed("doc", "row")
     # all uses of the texts have the same columns and filters, so that Spark shuffles them once; copies have no hs
-    full = docs.select(key_of(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("print"))
-    joined = full.join(copies, ["doc", "print"], "left").join(hs, "doc", "left").select("doc", "body", "hs", "id", F.col("copy").isNotNull().alias("copy"))
-    pieces = arrow_map(joined.where("hs is not null"), _pieces(window, hot_anchors(own, window, hot)), "h long, print long, doc long, run long")
-    settled = arrow_map(pieces.repartition(shuffle_width(docs), "h"), _settled, "doc long, run long, ask long")
-    runs = settled.groupBy("doc").agg(F.collect_list(F.when(F.col("ask").isNull(), F.col("run"))).alias("runs"), F.collect_list(F.when(F.col("ask").isNotNull(), F.struct("ask", "run"))).alias("asks"))
-    told = joined.join(runs, "doc", "left")
-    fetched = arrow_map(told.where("size(asks) > 0").select("doc", "body", "asks", "hs", "id", "runs", "copy"), _fetched(window), "route long, piece binary, doc long, start long")
+    joined = full.join(copies, ["doc", "print"], "left").join(hs, "row", "left").select("row", "body", "hs", "id", F.col("copy").isNotNull().alias("copy"), "doc")
+    hot_ = hot_anchors(full.select("doc", "body"), window, hot)
+    pieces = arrow_map(joined.where("hs is not null"), _pieces(window, hot_), "h long, print long, doc long, run long, row long")
+    settled = arrow_map(pieces.repartition(shuffle_width(docs), "h"), _settled, "row long, run long, ask long")
+    runs = settled.groupBy("row").agg(F.collect_list(F.when(F.col("ask").isNull(), F.col("run"))).alias("runs"), F.collect_list(F.when(F.col("ask").isNotNull(), F.struct("ask", "run"))).alias("asks"))
+    told = joined.join(runs, "row", "left")
+    fetched = arrow_map(told.where("size(asks) > 0").select("row", "body", "asks", "hs", "id", "runs", "copy", "doc"), _fetched(window), "route long, piece binary, doc long, start long, row long")
     dealt = fetched.repartition(shuffle_width(docs), "route").sortWithinPartitions("route")
-    more = arrow_map(dealt, _originals(window), "doc long, run long").groupBy("doc").agg(F.collect_list("run").alias("more"))
-    last = told.join(more, "doc", "left").withColumn("runs", F.concat(F.coalesce("runs", F.array()), F.coalesce("more", F.array()))).select("body", "hs", "runs", "copy", "id", "asks")
+    more = arrow_map(dealt, _originals(window), "row long, run long").groupBy("row").agg(F.collect_list("run").alias("more"))
+    last = told.join(more, "row", "left").withColumn("runs", F.concat(F.coalesce("runs", F.array()), F.coalesce("more", F.array()))).select("body", "hs", "runs", "copy", "id", "asks", "doc")
     kind = last.schema["id"].dataType.simpleString()
-    asks = last.schema["asks"].dataType.simpleString()
-    out = arrow_map(last, _removal(window), f"id {kind}, asks {asks}, n_bytes long, kept binary, spans array<struct<begin: long, end: long>>")
+    out = arrow_map(last, _removal(window), f"id {kind}, n_bytes long, kept binary, spans array<struct<begin: long, end: long>>")
     return out.select(F.col("id").alias(id_col), "n_bytes", "kept", "spans")
