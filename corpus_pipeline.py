@@ -1,8 +1,8 @@
 """A training corpus from raw documents in five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 All but the last return the five columns of documents, whatever other columns come in, and an empty table for an empty
-one. Texts of any length are taken whole. Repeated rows and rows without an id are documents like others; rows that
-share an id stay or go together in near_dedup and benchmark_decontamination.
+one. Texts of any length are taken whole. Repeated rows and rows without an id are documents like others, judged each by
+its own text; only in near_dedup rows that share an id stay or go together.
 """
 
 from __future__ import annotations
