@@ -1,6 +1,9 @@
+import json
 from datetime import datetime, timedelta
 
 from turnloom.operators import flush as FL
+from turnloom.sources.files import read_named_transcripts
+from turnloom.streaming import capture as CA
 from turnloom.streaming import stream as ST
 
 T0 = datetime(2024, 1, 1)
@@ -34,3 +37,50 @@ def test_append_daily_twice(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ST.append_daily(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def said(*texts):
+    return "\n".join(json.dumps({"message": {"role": "user", "content": t}}) for t in texts) + "\n"
+
+
+def test_capture_reads_only_what_is_named(spark, tmp_path):
+    odd = "a,b {c}[1]+%20 é*.jsonl"
+    root = tmp_path / "x y"
+    (root / "s1" / "subagents").mkdir(parents=True)
+    (root / odd).write_text(said("one"))
+    (root / "s1.jsonl").write_text(said("two", "three"))
+    (root / "s1" / "subagents" / "h.jsonl").write_text(said("four"))
+    (root / "s2.jsonl").write_text(said("never read"))
+    (root / "empty.jsonl").write_text("\nnoise\n")
+    paths = [f"{root}/{odd}", f"file:{root}/s1.jsonl", f"{root}//empty.jsonl", f"{root}/gone.jsonl", "/nowhere/x.jsonl", "C:\\x", "", "rel/x"]
+    hooks = spark.createDataFrame([(f"i{k}", "e", p) for k, p in enumerate(paths)] + [("i1", "d", paths[1]), ("i9", "e", paths[1]), ("i8", "e", None)], "session_id string, source string, transcript_path string")
+    got = {r["session_id"]: r for r in CA.capture(hooks).collect()}
+    assert sorted(got) == [*(f"i{k}" for k in range(8)), "i9"]
+    assert got["i0"]["context"] == "**User:** one\n" and got["i1"]["source"] == "d"
+    assert got["i1"]["context"] == got["i9"]["context"] == "**User:** two\n\n**User:** three\n\n**[Subagent: h]**\n\n**User:** four\n"
+    assert {k: r["skip_reason"] for k, r in got.items()} == {f"i{k}": "missing" for k in range(2, 8)} | {"i0": None, "i1": None, "i9": None}
+    early = {r["session_id"]: r["skip_reason"] for r in CA.capture(hooks, "pre_compact").collect()}
+    assert early["i0"] == early["i1"] == "too_few_turns"
+    files = {f for s in (False, True) for f in read_named_transcripts(spark, paths, s).inputFiles()}
+    assert len(files) == 4 and not any("s2" in f for f in files)
+    assert CA.capture(hooks.limit(0)).count() == 0
+
+
+def test_capture_stream_is_idempotent(spark, tmp_path):
+    root, put = str(tmp_path), lambda name, *ids: (tmp_path / "in" / name).write_text("\n".join(json.dumps({"session_id": i, "transcript_path": f"{tmp_path}/{i}.jsonl"}) for i in ids))
+    (tmp_path / "in").mkdir()
+    for i in "ab":
+        (tmp_path / f"{i}.jsonl").write_text(said(f"hello {i}"))
+    put("1", "a", "a", "gone")
+    run = lambda state: CA.capture_stream(ST.hook_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/{state}").awaitTermination()
+    read = lambda: sorted((r["session_id"], r["context"]) for r in spark.read.parquet(f"{root}/out").collect())
+    run("state")
+    first = read()
+    assert first == [("a", "**User:** hello a\n")]
+    (tmp_path / "a.jsonl").write_text(said("changed since"))
+    run("other-state")  # the same batch again, as after a lost checkpoint
+    run("state")
+    assert read() == first
+    put("2", "b", "a")
+    run("state")
+    assert read() == sorted([*first, ("a", "**User:** changed since\n"), ("b", "**User:** hello b\n")])

@@ -21,6 +21,7 @@ from ..operators.backfill import backfill
 from ..shared import checkpoint, work_folder
 from ..sources.files import latest_source as newest_folder
 from ..sources.files import list_sessions, parse_hooks, read_articles, read_daily_logs, read_index, read_transcripts, write_contexts
+from ..streaming import capture as CA
 from ..streaming import stream as ST
 from . import inputs as I
 
@@ -522,14 +523,20 @@ def backfill_sessions(spark: SparkSession, d: str) -> DataFrame:
 # ---- tables and files that are written and read back
 
 
-@_query
-def transcript_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Transcript files of sessions and of their subagents, read and put together."""
+def _session_files(spark: SparkSession, d: str) -> str:
+    """A folder with the transcripts of sessions, and of their subagents."""
     root, lines = work_folder(spark, "sessions"), _lines(spark, d)
     conv = F.col("session_id").cast("long")
     path = F.when(conv % 2 == 0, F.concat("session_id", F.lit(".jsonl"))).otherwise(F.concat((conv - 1).cast("string"), F.lit("/subagents/agent-"), "session_id", F.lit(".jsonl")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda r: r["raw"]), "\n")
     I.named_files(lines.groupBy("session_id").agg(text.alias("text")).select(path.alias("path"), "text"), root)
+    return root
+
+
+@_query
+def transcript_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Transcript files of sessions and of their subagents, read and put together."""
+    root = _session_files(spark, d)
     main, sub = (TU.parse_turns(read_transcripts(spark, root, s)) for s in (False, True))
     return TU.attach_subagents(main, sub).select("session_id", "seq", "subagent", "rendered")
 
@@ -597,6 +604,20 @@ def stream_hooks(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(hooks.schema).parquet(out)
 
 
+@_query
+def capture_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Hooks of ending sessions, some of them twice or for no file, to contexts from their transcripts; then all once more."""
+    root, hooks, out = _session_files(spark, d), work_folder(spark, "hooks"), work_folder(spark, "contexts")
+    conv = F.col("conv_id")
+    path = F.concat(F.lit(f"{root}/"), F.when(conv % 10 == 8, "gone-").otherwise(""), conv.cast("string"), F.lit(".jsonl"))
+    payload = F.to_json(F.struct(conv.cast("string").alias("session_id"), F.concat(F.lit("end-"), (conv % 3).cast("string")).alias("source"), path.alias("transcript_path")))
+    turns = I.table(spark, d, "conversations").where("conv_id % 2 = 0 and turn < 2")
+    turns.select(F.when(F.col("turn") == 0, payload).when(conv % 4 == 0, payload).otherwise('{"session_id": ').alias("value")).repartition(3, "conv_id").write.text(hooks)
+    for _ in range(2):
+        CA.capture_stream(ST.hook_stream(spark, hooks, 2), out, work_folder(spark, "capture-state")).awaitTermination()
+    return spark.read.parquet(out).select("session_id", "source", "turn_count", "truncated", F.md5("context").alias("context_md5"))
+
+
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     raw = spark.readStream.schema(I.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     return raw.select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), "event_id")

@@ -324,6 +324,16 @@ u AS (SELECT id, 0 AS later, '' AS subagent, seq, rendered FROM c WHERE id % 2 =
       UNION ALL SELECT id - 1, 1, 'agent-' || CAST(id AS VARCHAR), seq, rendered FROM c WHERE id % 2 = 1
       UNION ALL SELECT DISTINCT id - 1, 1, 'agent-' || CAST(id AS VARCHAR), -1, '**[Subagent: agent-' || CAST(id AS VARCHAR) || ']**' || chr(10) FROM c WHERE id % 2 = 1)
 SELECT CAST(id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY id ORDER BY later, subagent, seq) - 1 AS INT) AS seq, subagent, rendered FROM u""",
+    "capture_contexts": f"""WITH parsed AS ({_PARSED.replace("@input", "'{\"n\":' || CAST(turn AS VARCHAR) || '}'")}), c AS (SELECT CAST(session_id AS BIGINT) AS id, seq, rendered FROM parsed),
+u AS (SELECT id, 0 AS later, '' AS subagent, seq, rendered FROM c WHERE id % 2 = 0
+      UNION ALL SELECT id - 1, 1, 'agent-' || CAST(id AS VARCHAR), seq, rendered FROM c WHERE id % 2 = 1
+      UNION ALL SELECT DISTINCT id - 1, 1, 'agent-' || CAST(id AS VARCHAR), -1, '**[Subagent: agent-' || CAST(id AS VARCHAR) || ']**' || chr(10) FROM c WHERE id % 2 = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY later, subagent, seq) AS k, count(*) OVER (PARTITION BY id) AS n FROM u),
+w AS (SELECT id, string_agg(rendered, chr(10) ORDER BY k) AS whole, CAST(count(*) AS INT) AS turn_count FROM o WHERE k > n - 30 GROUP BY id),
+x AS (SELECT *, right(whole, 15000) AS cut, strpos(right(whole, 15000), chr(10) || '**') AS b FROM w),
+y AS (SELECT id, turn_count, length(whole) > 15000 AS truncated, CASE WHEN length(whole) <= 15000 THEN whole WHEN b > 1 THEN substr(cut, b + 1) ELSE cut END AS context FROM x)
+SELECT CAST(id AS VARCHAR) AS session_id, 'end-' || CAST(id % 3 AS VARCHAR) AS source, turn_count, truncated, md5(context) AS context_md5
+FROM y WHERE id % 10 <> 8 AND id IN (SELECT conv_id FROM conversations WHERE turn < 2 AND (turn = 0 OR conv_id % 4 = 0)) AND {_strip('context')} <> ''""",
     "session_listing": "SELECT 'session-' || CAST(conv_id AS VARCHAR) AS session_id, 'session-' AS short_id, count(*) + 1 AS size FROM conversations GROUP BY conv_id",
     "latest_source": "SELECT max_by('dir-' || CAST(conv_id % 7 AS VARCHAR), CAST(conv_id % 30 AS VARCHAR).lpad(2, '0') || 'dir-' || CAST(conv_id % 7 AS VARCHAR)) AS dir FROM conversations",
     "daily_log_scan": f"WITH {_LOGS} SELECT file, CAST(log_date AS VARCHAR) AS log_date, {_hash('content || chr(10)')} AS hash, CAST(length(content) + 1 AS INT) AS n_chars FROM logs",

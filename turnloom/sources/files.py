@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import article_key, content_hash, py_strip
 from ..operators.articles import EMPTY_INDEX, KINDS
-from ..shared import table_or_empty
+from ..shared import exists, table_or_empty
 
 #: A backslash by itself, not before a quote. Fixed value.
 LONE_BACKSLASH = r'(?<!\\)\\(?!["\\])'
@@ -29,6 +31,48 @@ def read_transcripts(spark: SparkSession, path: str, subagents: bool = False) ->
     return lines
 
 
+def plain_path(path: Column) -> Column:
+    """A path without its scheme and doubled slashes, so that one that a payload names and one that Spark reports compare."""
+    return F.regexp_replace(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/"), "/+", "/")
+
+
+def _reported() -> Column:
+    """The plain path of the file that a row is read from."""
+    return plain_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+
+
+def _literal(name: str) -> str:
+    """A name as part of a glob that matches it alone."""
+    return re.sub(r"([\\{}\[\]*?,^])", r"\\\1", name)
+
+
+def read_named_transcripts(spark: SparkSession, paths: list[str], subagents: bool = False) -> DataFrame:
+    """transcript_lines of the files named, or of the subagents of their sessions; session_id is the plain_path of the
+    session's file. Only these files are listed and read: a glob for each folder. Names that are no absolute path, and
+    files that are not there, have no lines."""
+    schema = "session_id string, subagent string, line_no int, raw string"
+    folders: dict[str, set[str]] = defaultdict(set)
+    for path in paths:
+        if found := re.fullmatch(r"(?s)((?:[A-Za-z][A-Za-z0-9+.-]*:)?/(?:.*/)?)([^/]+)", path):
+            folders[found[1]].add(found[2])
+
+    def of(folder: str, names: set[str]) -> DataFrame:
+        stems = sorted({n.rsplit(".", 1)[0] if "." in n[1:] else n for n in names}) if subagents else sorted(names)
+        glob = f"{_literal(folder)}{{{','.join(map(_literal, stems))}}}" + "/subagents/*.jsonl" * subagents
+        files = spark.read.text(glob, wholetext=True).select("value", _reported().alias("p"))
+        if subagents:
+            named = spark.createDataFrame([(n.rsplit(".", 1)[0] if "." in n[1:] else n, n) for n in sorted(names)], "stem string, file string")
+            files = files.withColumn("stem", F.regexp_extract("p", r"([^/]*)/subagents/[^/]*\z", 1)).join(F.broadcast(named), "stem")
+            session = F.concat(F.regexp_extract("p", r"(?s)\A(.*/)[^/]*/subagents/[^/]*\z", 1), "file")
+            agent = F.regexp_replace(F.regexp_extract("p", r"([^/]*)\z", 1), r"\.jsonl\z", "")
+        else:
+            session, agent = F.col("p"), F.lit("")
+        return files.select(session.alias("session_id"), agent.alias("subagent"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "raw"))
+
+    parts = [table_or_empty(lambda f=f, n=n: of(f, n), spark, schema) for f, n in sorted(folders.items())]
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], schema))
+
+
 def list_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Transcripts in path by time of change: session, its id's first eight characters, date, size."""
     files = spark.read.format("binaryFile").load(f"{path}/*.jsonl")
@@ -82,8 +126,10 @@ def parse_hooks(lines: DataFrame, column: str = "raw") -> DataFrame:
     return out.where(py_strip("transcript_path") != "").drop("__v")
 
 
-def write_contexts(contexts: DataFrame, path: str, run: str = "0") -> None:
-    """A context table, in a part for each run; a run that is repeated replaces its own part. Contexts with a
-    skip_reason are not written."""
+def write_contexts(contexts: DataFrame, path: str, run: str = "0", once: bool = False) -> None:
+    """A context table, in a part for each run; a run that is repeated replaces its own part, or with `once` changes
+    nothing. Contexts with a skip_reason are not written."""
+    if once and exists(contexts.sparkSession, f"{path}/run={run}"):
+        return
     part = contexts.where("skip_reason is null").withColumn("run", F.lit(run))
     part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)

@@ -17,9 +17,9 @@ from ..ship import ship
 from ..sources.files import parse_hooks
 
 
-def hook_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Hook payloads from text files that arrive in path, a payload a line."""
-    return parse_hooks(spark.readStream.text(path).withColumnRenamed("value", "raw"))
+def hook_stream(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """Hook payloads from text files that arrive in path, a payload a line; a batch takes `files` files at most."""
+    return parse_hooks(spark.readStream.option("maxFilesPerTrigger", files).text(path).withColumnRenamed("value", "raw"))
 
 
 def dedup_stream(events: DataFrame, seconds: int = 60, watermark: str = "1 hour") -> DataFrame:
