@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import index_row, iso_seconds, mentions, slugify, wikilinks
 from ..shared import checkpoint
 from ..ship import ship
+from ..sources.snapshots import commit
 
 #: Kinds in their fixed order.
 KINDS = ("concepts", "connections", "qa")
@@ -22,6 +23,7 @@ SHARD_CHARS = 1 << 30
 #: Articles or classes of a log that are compared with as many others in one place.
 BLOCK = 1000
 
+#: Fixed value.
 EMPTY_INDEX = "# Knowledge Base Index\n\n| Article | Summary | Compiled From | Updated |\n|---------|---------|---------------|---------|"
 
 
@@ -61,6 +63,16 @@ def upsert_index(index: DataFrame, new: DataFrame) -> DataFrame:
     return every.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n", "__new")
 
 
+#: Columns of a kept index.
+INDEX_SCHEMA = "key string, summary string, sources string, updated date"
+
+
+def write_index(new: DataFrame, path: str) -> int:
+    """Commits new rows (upsert_index) to the index kept at path, as manifest.write_manifest does, and returns the version.
+    read_snapshot with INDEX_SCHEMA reads it."""
+    return commit(new.sparkSession, path, INDEX_SCHEMA, lambda index: upsert_index(index, new.select("key", "summary", "sources", "updated")))
+
+
 def activity(old: DataFrame, new: DataFrame, source_col: str = "source", ts: str = "2024-01-31 00:00:00") -> DataFrame:
     """A log row (ts, op, subject, created, updated, consulted) for each compiled source: its articles that were created
     and those that were updated, sorted."""

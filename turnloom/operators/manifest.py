@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import after_hours
-from ..shared import table_or_empty
+from ..shared import exists, table_or_empty
+from ..sources.snapshots import commit, read_snapshot
 
 SCHEMA = "file string, hash string, compiled_at timestamp, cost_usd decimal(18,6)"
 
 
-def read_manifest(spark: SparkSession, path: str | None) -> DataFrame:
-    """The manifest table, or an empty one where there is none yet."""
+def read_manifest(spark: SparkSession, path: str | None, version: int | None = None) -> DataFrame:
+    """The manifest table, or an empty one where there is none yet: its latest version or the one asked for, where
+    write_manifest keeps it, else the Parquet table at path."""
+    if path and (version is not None or exists(spark, f"{path}/versions")):
+        return read_snapshot(spark, path, SCHEMA, version)
     return table_or_empty(lambda: spark.read.schema(SCHEMA).parquet(path), spark, SCHEMA) if path else spark.createDataFrame([], SCHEMA)
 
 
@@ -34,6 +38,12 @@ def upsert(manifest: DataFrame, runs: DataFrame) -> DataFrame:
     return every.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
 
 
+def write_manifest(runs: DataFrame, path: str) -> int:
+    """Commits the records of runs (upsert) to the manifest kept at path, and returns the new version. Writers that run at
+    the same time lose nothing, and readers see a version before or after. runs is computed once for each attempt."""
+    return commit(runs.sparkSession, path, SCHEMA, lambda manifest: upsert(manifest, runs))
+
+
 def end_of_day(triggers: DataFrame, logs: DataFrame, manifest: DataFrame, tz: str = "UTC", hour: int = 18) -> DataFrame:
     """triggers (ts): dates on which a trigger after hours finds its day's log not compiled or changed since.
 

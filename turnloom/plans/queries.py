@@ -21,6 +21,7 @@ from ..operators.backfill import backfill
 from ..shared import checkpoint, work_folder
 from ..sources.files import latest_source as newest_folder
 from ..sources.files import list_sessions, parse_hooks, read_articles, read_daily_logs, read_index, read_transcripts, write_contexts
+from ..sources.snapshots import read_snapshot
 from ..streaming import capture as CA
 from ..streaming import stream as ST
 from . import inputs as I
@@ -577,6 +578,25 @@ def manifest_scan(spark: SparkSession, d: str) -> DataFrame:
     return M.read_manifest(spark, path).unionByName(none)
 
 
+@_query
+def manifest_commit(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest as its second version has it: records of before, then of a run. A third version comes after."""
+    path, (manifest, runs) = work_folder(spark, "manifest"), _run(spark, d)
+    M.write_manifest(manifest, path)
+    done = M.write_manifest(runs, path)
+    M.write_manifest(runs.withColumn("hash", F.lit("later")).withColumn("compiled_at", F.date_add("compiled_at", 9).cast("timestamp")), path)
+    return M.read_manifest(spark, path, done)
+
+
+@_query
+def index_commit(spark: SparkSession, d: str) -> DataFrame:
+    path, a = work_folder(spark, "index"), I.articles(spark, d)
+    A.write_index(I.index_of(a.where("i % 2 = 0")), path)
+    new = I.index_of(a.where("i % 3 = 0")).withColumn("summary", F.concat(F.lit("New "), "summary")).withColumn("updated", F.date_add("updated", 40))
+    A.write_index(new, path)
+    return read_snapshot(spark, path, A.INDEX_SCHEMA)
+
+
 @_query
 def index_scan(spark: SparkSession, d: str) -> DataFrame:
     path = work_folder(spark, "index")

@@ -343,3 +343,6 @@ FROM y WHERE id % 10 <> 8 AND id IN (SELECT conv_id FROM conversations WHERE tur
     "context_sink": f"WITH {_CONTEXTS} SELECT session_id, turn_count, md5(context) AS context_md5 FROM contexts WHERE {_strip('context')} <> '' AND turn_count >= 2",
 }
 ORACLE_SQL["stream_hooks"] = ORACLE_SQL["hook_payload_repair"]
+
+#: What is committed is what the upserts return.
+ORACLE_SQL |= {"manifest_commit": ORACLE_SQL["manifest_upsert"], "index_commit": ORACLE_SQL["index_upsert"]}
