@@ -1,13 +1,21 @@
+import hashlib
 import json
+import os
 from datetime import datetime, timedelta
 
+import pytest
+
 from turnloom.operators import flush as FL
+from turnloom.sources import changes as CH
 from turnloom.sources.files import read_named_transcripts
 from turnloom.streaming import capture as CA
 from turnloom.streaming import stream as ST
 
 T0 = datetime(2024, 1, 1)
 
+#: Content hash of "y".
+M_HASH = hashlib.sha256(b"y").hexdigest()[:16]
+
 
 def test_dedup_over_several_batches_equals_batch(spark, tmp_path):
     rows = [("a", 0), ("a", 40), ("a", 80), ("b", 10), ("b", 75), ("a", 141), ("b", 100)]
@@ -84,3 +92,39 @@ def test_capture_stream_is_idempotent(spark, tmp_path):
     put("2", "b", "a")
     run("state")
     assert read() == sorted([*first, ("a", "**User:** changed since\n"), ("b", "**User:** hello b\n")])
+
+
+def test_changed_files(spark, tmp_path):
+    logs, ledger, got = tmp_path / "daily", str(tmp_path / "ledger"), []
+    step = lambda batch, number: got.append((number, sorted((r["file"], r["content"]) for r in batch.collect())))
+    run = lambda **k: CH.run_changes(spark, str(logs), ledger, step, **k)
+    assert run() is None and got == []  # no folder yet
+    logs.mkdir()
+    for name in ("a.md", "b [1],{x} é.md", "c.txt"):
+        (logs / name).write_text("one")
+    assert run() == 1 and run() is None
+    (logs / "a.md").write_text("one and more")
+    (logs / "d.md").write_text("new")
+    (logs / "none.md").write_text("")  # not read before it has content
+    assert run() == 2
+    os.utime(logs / "a.md", (1, 1))  # another time, the same text
+    assert run() is None and run() is None
+    assert got == [(1, [("a.md", "one"), ("b [1],{x} é.md", "one")]), (2, [("a.md", "one and more"), ("d.md", "new")])]
+    (logs / "a.md").write_text("eno and more")
+    os.utime(logs / "a.md", (1, 1))  # the same time and size, another text
+    assert run() is None and run(by_content=True) is not None and got[-1][1] == [("a.md", "eno and more")]
+
+    def broken(batch, number):
+        raise RuntimeError("lost")
+
+    (logs / "d.md").write_text("x")
+    with pytest.raises(RuntimeError):
+        CH.run_changes(spark, str(logs), ledger, broken)
+    (logs / "d.md").unlink()
+    (logs / "none.md").unlink()
+    (logs / "e.md").write_text("y")
+    assert run() is not None and got[-1][1] == [("e.md", "y")]  # what went meanwhile is no file any more
+    manifest = spark.createDataFrame([("e.md", M_HASH)], "file string, hash string")
+    seen = []
+    CH.incremental_logs(spark, str(logs), str(tmp_path / "other"), lambda: manifest, lambda batch, n: seen.extend(sorted(r["file"] for r in batch.collect())))
+    assert seen == ["a.md", "b [1],{x} é.md"]

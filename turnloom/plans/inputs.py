@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from urllib.parse import unquote
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,8 +84,9 @@ def extra_files(spark: SparkSession) -> DataFrame:
 
 
 def named_files(rows: DataFrame, root: str) -> None:
-    """Writes rows (path, text) as a file each, by its path below root. Spark names its files itself, so they are renamed."""
-    spark, parts = rows.sparkSession, f"{root}.parts"
+    """Writes rows (path, text) as a file each, by its path below root. Spark names its files itself, so they are renamed; one
+    of the same name is replaced."""
+    spark, parts = rows.sparkSession, f"{root}.parts-{uuid4().hex}"
     rows.select("path", "text").write.partitionBy("path").text(parts)
     at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
     fs = at(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -94,6 +96,7 @@ def named_files(rows: DataFrame, root: str) -> None:
             fs.mkdirs(target.getParent())
             for file in fs.listStatus(folder.getPath()):
                 if file.getPath().getName().startswith("part-"):
+                    fs.delete(target, False)
                     fs.rename(file.getPath(), target)
 
 

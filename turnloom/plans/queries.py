@@ -19,6 +19,7 @@ from ..operators import retrieve as R
 from ..operators import turns as TU
 from ..operators.backfill import backfill
 from ..shared import checkpoint, work_folder
+from ..sources.changes import incremental_logs
 from ..sources.files import latest_source as newest_folder
 from ..sources.files import list_sessions, parse_hooks, read_articles, read_daily_logs, read_index, read_transcripts, write_contexts
 from ..sources.snapshots import read_snapshot
@@ -674,5 +675,22 @@ def incremental_run(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("file string, hash string").parquet(out).select("file", "hash")
 
 
+@_query
+def incremental_files(spark: SparkSession, d: str) -> DataFrame:
+    """Log files in three runs: all are new, then those that were appended to come again, then nothing does."""
+    root, ledger, out = work_folder(spark, "daily"), work_folder(spark, "ledger"), work_folder(spark, "pending")
+    logs = checkpoint(I.daily_logs(spark, d))
+
+    def compile_batch(batch: DataFrame, number: int) -> None:
+        batch.select("file", "hash").write.mode("overwrite").parquet(f"{out}/run={number}")
+
+    for more in (None, F.dayofmonth("log_date") % 3 == 0, F.lit(False)):
+        rows = logs if more is None else logs.where(more).withColumn("content", F.concat("content", F.lit("more\n")))
+        if not rows.isEmpty():
+            I.named_files(rows.select(F.col("file").alias("path"), F.col("content").alias("text")), root)
+        incremental_logs(spark, root, ledger, lambda: I.manifest(logs), compile_batch)
+    return spark.read.schema("file string, hash string, run int").parquet(out)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return lint_all(spark, d)

@@ -346,3 +346,7 @@ ORACLE_SQL["stream_hooks"] = ORACLE_SQL["hook_payload_repair"]
 
 #: What is committed is what the upserts return.
 ORACLE_SQL |= {"manifest_commit": ORACLE_SQL["manifest_upsert"], "index_commit": ORACLE_SQL["index_upsert"]}
+
+#: Files end in a line feed, so that all of a first run are pending, and of a second one those that have more.
+ORACLE_SQL["incremental_files"] = f"""WITH {_LOGS}, f AS (SELECT file, log_date, content || chr(10) AS one, content || 'more' || chr(10) || chr(10) AS two FROM logs)
+SELECT file, {_hash('one')} AS hash, 1 AS run FROM f UNION ALL SELECT file, {_hash('two')}, 2 FROM f WHERE day(log_date) % 3 = 0"""
