@@ -1,7 +1,10 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from turnloom.operators import flush as FL
 from turnloom.operators import manifest as M
@@ -38,11 +41,11 @@ def test_dedup_cases(spark):
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(3400, 3900)), min_size=1, max_size=25))
-def test_dedup_is_the_greedy_fold(spark, rows):
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(3400, 3900)), min_size=1, max_size=25), st.integers(1, 9))
+def test_dedup_is_the_greedy_fold(spark, rows, ranges):
     df = events(spark, *rows)
-    assert kept(FL.dedup(df)) == fold(rows)
-    assert kept(FL.dedup(df, mode="single_slot")) == fold(rows, single=True)
+    assert kept(FL.dedup(df, ranges=ranges)) == fold(rows)
+    assert kept(FL.dedup(df, mode="single_slot", ranges=ranges)) == fold(rows, single=True)
 
 
 def test_dedup_of_a_busy_session(spark):
@@ -50,7 +53,36 @@ def test_dedup_of_a_busy_session(spark):
     df = events(spark, *rows)
     assert kept(FL.dedup(df)) == fold(rows)
     assert kept(FL.dedup(df.where("session_id = 'a'"), mode="single_slot")) == fold([r for r in rows if r[0] == "a"])
-    assert "collect_list" not in FL.dedup(df)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_hour_of_everything(spark, seed):
+    """All events within an hour, long runs of a session across many ranges, several events at a time."""
+    rng, rows, t = random.Random(seed), [], 0.0
+    while t < 3500:
+        who = rng.choice(["a", "a", "b", "c", None])
+        for _ in range(rng.choice([1, 1, 2, 300])):
+            t += rng.choice([0, 0, 0.5, 1, 7, 29.999999, 60]) / (1 + 5 * (rng.random() < 0.8))
+            rows.append((who, t))
+    rows = [(s, round(x, 6)) for s, x in rows if x < 3600]
+    df = events(spark, *rows)
+    for ranges in (1, 5, 40):
+        assert kept(FL.dedup(df, ranges=ranges)) == fold(rows)
+        assert kept(FL.dedup(df, mode="single_slot", ranges=ranges)) == fold(rows, single=True)
+
+
+def test_events_without_a_time_are_kept(spark):
+    df = events(spark, ("a", 0), ("a", 1)).unionByName(spark.sql("select 'a' session_id, cast(null as timestamp) ts, 'x' source, 9L event_id"))
+    assert kept(FL.dedup(df)) == kept(FL.dedup(df, mode="single_slot")) == [0, 9]
+
+
+def test_no_task_has_more_than_a_range(spark):
+    """One session within a few minutes is dealt out evenly."""
+    df = spark.range(40_000).select(F.lit("a").alias("session_id"), F.timestamp_micros(F.col("id") * 5000).alias("ts"), F.lit("x").alias("source"), F.col("id").alias("event_id"))
+    for mode in ("per_session", "single_slot"):
+        assert kept(FL.dedup(df, mode=mode, ranges=8)) == [0, 12_000, 24_000, 36_000]
+    sizes = [r["count"] for r in df.repartitionByRange(8, "session_id", "ts", "event_id").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 10_000
 
 
 def test_route(spark):

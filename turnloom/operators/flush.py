@@ -6,43 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ordered_concat, py_strip
+from ..shared import checkpoint
 from ..ship import ship
 
 SECONDS = 60
 
-#: Microseconds of a run that are folded in one place.
-SPAN = 3_600_000_000
-
+#: Fixed value.
 LOG_HEADER = "# Daily Log: %s\n\n## Sessions\n\n## Memory Maintenance\n\n"
 
 #: Section headers of a response. Fixed values.
 SECTIONS = ("Context", "Key Exchanges", "Decisions Made", "Lessons Learned", "Action Items")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups, and where each begins; rows are sorted by group and numbered from 1 in it (column n)."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        begins = np.flatnonzero(b.column("n").to_numpy(zero_copy_only=False) == 1)
-        if not len(begins):
-            held.append(b)
-            continue
-        held.append(b.slice(0, begins[-1]))
-        yield from _whole(held)
-        held = [b.slice(begins[-1])]
-    yield from _whole(held)
-
-
-def _whole(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    if sum(b.num_rows for b in held):
-        table = pa.Table.from_batches(held)
-        yield table, np.append(np.flatnonzero(table["n"].to_numpy() == 1), table.num_rows)
-
-
 def _exits(us: np.ndarray, entries: int, step: int) -> tuple[np.ndarray, np.ndarray]:
     """The last event kept for each event that may be kept first: upto[k] is the last of those with exit[k]."""
     at = np.arange(entries)
@@ -54,87 +33,94 @@ def _exits(us: np.ndarray, entries: int, step: int) -> tuple[np.ndarray, np.ndar
     return us[ends], us[at[ends]]
 
 
-def _greedy(runs: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """Folds each run in order: an event within `seconds` of the last one kept goes; a skip does not refresh.
+def _begins(table: pa.Table) -> np.ndarray:
+    """Where a run of events of one session begins, and the end. A null session is one like others."""
+    code = table["session_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.concatenate(([0], np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)]))
+
+
+def _folded(us: np.ndarray, begins: np.ndarray, step: int, carried: int | None) -> np.ndarray:
+    """The rows kept; carried: when the last one before was kept, if the first run is the end of that one's run."""
+    first, last = begins[:-1], begins[1:] - 1
+    long = us[last] - us[first] >= step  # else nothing but the first of a run is kept
+    keep = [first[1:] if carried is not None else first]
+    for k in sorted({*np.flatnonzero(long).tolist(), *([0] if carried is not None else [])}):
+        run = us[first[k] : last[k] + 1]
+        at = int(np.searchsorted(run, carried + step)) if k == 0 and carried is not None else int(np.searchsorted(run, run[0] + step))
+        more = []
+        while at < len(run):
+            more.append(at + first[k])
+            at = int(np.searchsorted(run, run[at] + step))
+        keep.append(np.array(more, np.int64))
+    return np.sort(np.concatenate(keep))
 
-    A run is cut by the hour. An hour is folded from each event that may be the first kept one in it, which are those of
-    its first `seconds` and the next; then a run's hours are chained, a row each; then each hour is folded once more.
+
+def dedup(events: DataFrame, seconds: int = SECONDS, mode: str = "per_session", ranges: int | None = None) -> DataFrame:
+    """flush events (session_id, ts, source, event_id as tie-break): drops an event within `seconds` of the last kept one.
+
+    per_session: each session by itself. single_slot: only the very last kept event counts, of whatever session. A skip
+    does not refresh. Events without a time are kept; null is a session like others.
+
+    Both modes are one fold, over the events in order of session and time, or of time alone: whatever stands before, the
+    slot holds the session of the event before, so that an event is compared with its own run of one session. The
+    order is cut into ranges (`ranges`, else as many as shuffles have partitions) that Spark samples; each range says what
+    the slot is behind it, for whatever it is before it (one answer, or a step function where the range is one run); these
+    summaries are composed, a row a range; then each range is folded by itself. So no task has more than a range, be all
+    events of one session or of one hour.
     """
-    ship(runs.sparkSession)
-    step = seconds * 1_000_000
-    us = F.unix_micros("ts")
-    names = [f"k{k}" for k in range(len(keys))]
-    rows = runs.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], (us - F.pmod(us, F.lit(SPAN))).alias("span"), us.alias("us"), "session_id", "ts", "event_id", "source")
-    inside = F.row_number().over(Window.partitionBy(*names, "span").orderBy("ts", "event_id")).alias("n")
-
-    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begins in _groups(batches):
-            times, span = table["us"].to_numpy(), table["span"].to_numpy()
-            out = []
-            for a, z in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-                t = times[a:z]
-                out.append((t, t) if z == a + 1 else _exits(t, min(int(np.searchsorted(t, span[a] + step)) + 1, z - a), step))
-            first = table.take(pa.array(begins[:-1])).select([*names, "span"])
-            longs = pa.list_(pa.int64())
-            yield from first.append_column("upto", pa.array([x for x, _ in out], longs)).append_column("exit", pa.array([y for _, y in out], longs)).combine_chunks().to_batches()
+    order = {"per_session": ["session_id", "ts", "event_id", "source"], "single_slot": ["ts", "event_id", "session_id", "source"]}[mode]
+    step, kept = seconds * 1_000_000, ["session_id", "ts", "event_id", "source"]
+    ship(events.sparkSession)
+    n = ranges or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    timed = events.where("ts is not null").select(*kept, F.unix_micros("ts").alias("us"))
+    held = checkpoint(timed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+
+    def table_of(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+        some = [b for b in batches if b.num_rows]
+        return pa.Table.from_batches(some).combine_chunks() if some else None
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = table_of(batches)
+        if table is None:
+            return
+        us, begins = table["us"].to_numpy(), _begins(table)
+        if len(begins) == 2:  # what comes first is one of the events that are near the range's begin, or the next one
+            upto, end = _exits(us, min(int(np.searchsorted(us, us[0] + step)) + 1, len(us)), step)
+        else:
+            run = us[begins[-2] :]
+            upto, end = run[:1], run[_folded(run, np.array([0, len(run)]), step, None)[-1:]]
+        ends = table.take(pa.array([0, table.num_rows - 1]))["session_id"].combine_chunks()
+        longs = pa.list_(pa.int64())
+        columns = [table["part"].combine_chunks()[:1], ends[:1], ends[1:], pa.array([len(begins) == 2]), pa.array([upto], longs), pa.array([end], longs)]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "first", "last", "one", "upto", "exit"])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        known, session, last = False, None, 0
         for b in batches:
             before = []
-            for n, upto, end in zip(b.column("n").to_pylist(), b.column("upto").to_pylist(), b.column("exit").to_pylist(), strict=True):
-                last = None if n == 1 else last
-                before.append(last)
-                k = 0 if last is None else int(np.searchsorted(upto, last + step))
-                last = end[k] if k < len(end) else last
-            yield b.select([*names, "span"]).append_column("before", pa.array(before, pa.int64()))
+            for r in b.to_pylist():
+                goes_on = known and r["first"] == session
+                before.append(last if goes_on else None)
+                if r["one"] and goes_on:  # nothing may be kept here: then the slot stays
+                    k = int(np.searchsorted(r["upto"], last + step))
+                    last = r["exit"][k] if k < len(r["exit"]) else last
+                else:
+                    last = r["exit"][0]
+                known, session = True, r["last"]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(before, pa.int64())], names=["part", "before"])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begins in _groups(batches):
-            times, before = table["us"].to_numpy(), table["before"].to_pylist() if table["before"].null_count else table["before"].to_numpy()
-            kept = []
-            for a, z in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-                at = a if before[a] is None else a + int(np.searchsorted(times[a:z], before[a] + step))
-                while at < z:
-                    kept.append(at)
-                    at += int(np.searchsorted(times[at:z], times[at] + step))
-            yield from table.take(pa.array(kept, pa.int64())).select(["session_id", "ts", "event_id", "source"]).combine_chunks().to_batches()
-
-    kind = lambda df: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    timed = rows.where("ts is not null")
-    by = timed.select(*names, "span")
-    hours = timed.select(*names, "span", "us", inside).mapInArrow(exits, kind(by) + ", upto array<long>, exit array<long>")
-    hours = hours.withColumn("n", F.row_number().over(Window.partitionBy(*names).orderBy("span")))
-    carried = hours.mapInArrow(chain, kind(by) + ", before long")
-    carried = carried.select(*[F.col(n).alias(f"_{n}") for n in (*names, "span")], "before")
-    same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in (*names, "span")]
-    out = timed.join(carried, same).select(*names, "span", "us", "before", "session_id", "ts", "event_id", "source").select("us", "before", "session_id", "ts", "event_id", "source", inside)
-    kept = ["session_id", "ts", "event_id", "source"]
-    return out.mapInArrow(fold, kind(timed.select(kept))).unionByName(rows.where("ts is null").select(kept))
-
-
-def dedup(events: DataFrame, seconds: int = SECONDS, mode: str = "per_session", bucket: str = "hour") -> DataFrame:
-    """flush events (session_id, ts, source, event_id as tie-break): drops an event within `seconds` of the last kept one.
-
-    per_session: each session by itself. single_slot: only the very last kept event counts, of whatever session.
-    A session's events are dealt out by the hour, and one row an hour is carried on, so a busy session is not one task.
-    single_slot orders all events: within an hour (bucket) by a window, and across hours by one row an hour.
-    """
-    if mode == "per_session":
-        return _greedy(events, ["session_id"], seconds)
-    hours = events.withColumn("__b", F.date_trunc(bucket, "ts"))
-    last = hours.groupBy("__b").agg(F.max_by(F.struct("session_id", "ts"), F.struct("ts", "event_id")).alias("last"))
-    over_hours = Window.orderBy("__b")  # one row an hour
-    before = last.select("__b", F.lag("last").over(over_hours).alias("prior"))
-    order = Window.partitionBy("__b").orderBy("ts", "event_id")
-    own = F.lag(F.struct("session_id", "ts")).over(order)
-    marked = hours.join(before, "__b").withColumn("__prior", F.coalesce(own, "prior"))
-    close = (F.col("__prior.session_id") == F.col("session_id")) & (F.unix_micros("ts") - F.unix_micros("__prior.ts") < seconds * 1_000_000)
-    marked = marked.withColumn("__start", F.when(close, 0).otherwise(1))
-    starts = marked.groupBy("__b").agg(F.sum("__start").alias("n"))
-    offset = starts.select("__b", F.coalesce(F.sum("n").over(over_hours.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    runs = marked.join(offset, "__b").withColumn("__run", F.col("offset") + F.sum("__start").over(order))
-    return _greedy(runs, ["session_id", "__run"], seconds)
+        table = table_of(batches)
+        if table is not None:
+            at = _folded(table["us"].to_numpy(), _begins(table), step, table["before"][0].as_py())
+            yield from table.select(kept).take(pa.array(at)).combine_chunks().to_batches()
+
+    kind = held.schema["session_id"].dataType.simpleString()
+    summaries = held.mapInArrow(summary, f"part int, first {kind}, last {kind}, one boolean, upto array<long>, exit array<long>")
+    before = checkpoint(summaries.repartition(1).sortWithinPartitions("part").mapInArrow(chain, "part int, before long"))  # a row a range
+    out = held.join(F.broadcast(before), "part").select(*kept, "us", "before")
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(kept).schema)
+    return out.mapInArrow(fold, names).unionByName(events.where("ts is null").select(kept))
 
 
 def route(responses: DataFrame, response_col: str = "response") -> DataFrame:
