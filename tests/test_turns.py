@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 
@@ -100,3 +102,21 @@ def test_knowledge_files(spark, tmp_path):
 @pytest.mark.parametrize("column", ["raw"])
 def test_null_lines(spark, column):
     assert TU.parse_turns(lines(spark, None)).count() == 0
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """A file over many splits has the line numbers of one read whole, whatever its line ends."""
+    rng = random.Random(1)
+    texts = {f"f{k} +%.jsonl": "".join(rng.choice(["", "é" * rng.randrange(40), "x" * rng.randrange(300)]) + rng.choice(ends) for _ in range(400)) for k, ends in enumerate((["\n"], ["\r"], ["\r\n"], ["\n", "\r", "\r\n"]))}
+    texts |= {"one.jsonl": "no end", "blank.jsonl": "\n\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    want = {(name.removesuffix(".jsonl"), n, line) for name, text in texts.items() for n, line in enumerate(re.split("\r\n|\r|\n", text)) if line}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            lines = read_transcripts(spark, str(tmp_path))
+            assert {(r["session_id"], r["line_no"], r["raw"]) for r in lines.collect() if r["raw"]} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

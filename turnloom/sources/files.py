@@ -4,31 +4,67 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import article_key, content_hash, py_strip
 from ..operators.articles import EMPTY_INDEX, KINDS
-from ..shared import exists, table_or_empty
+from ..shared import broadcast_if_small, checkpoint, exists, table_or_empty
+from ..ship import ship
 
 #: A backslash by itself, not before a quote. Fixed value.
 LONE_BACKSLASH = r'(?<!\\)\\(?!["\\])'
 
 
+def _decoded(path: Column) -> Column:
+    """A path that Spark reports as it is on disk; a plus sign stands for itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def _name(path: Column) -> Column:
-    return F.url_decode(F.regexp_extract(path, r"([^/]*)\z", 1))
+    return _decoded(F.regexp_extract(path, r"([^/]*)\z", 1))
+
+
+def _place_in_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the lines of each split, which stand in order."""
+    last, n = None, 0
+    for b in batches:
+        keys = list(zip(b.column("p").to_pylist(), b.column("block").to_pylist(), strict=True))
+        at = np.empty(len(keys), np.int64)
+        for k, key in enumerate(keys):
+            n = n + 1 if key == last else 0
+            at[k], last = n, key
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=[*b.schema.names, "at"])
+
+
+def numbered_lines(spark: SparkSession, glob: str) -> DataFrame:
+    """Lines of text files with their numbers from 0: (p, line_no, raw), p the file as Spark reports it.
+
+    Lines end with \\n, \\r or both. A long file is read in splits: a line's number is its place in its split, and the lines
+    of the splits before, which are counted first and only matter for files of several splits.
+    """
+    lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"))
+    counts = lines.groupBy("p", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("p").orderBy("block")) - F.col("n")
+    starts = checkpoint(counts.select("p", "block", before.alias("start")).where("block > 0"))
+    ship(spark)
+    placed = lines.mapInArrow(_place_in_split, "p string, block long, raw string, at long")
+    number = F.col("at") + F.coalesce("start", F.lit(0).cast("long"))
+    return placed.join(broadcast_if_small(starts), ["p", "block"], "left").select("p", number.cast("int").alias("line_no"), "raw")
 
 
 def read_transcripts(spark: SparkSession, path: str, subagents: bool = False) -> DataFrame:
-    """transcript_lines of *.jsonl files in path; subagents: of */subagents/*.jsonl, by the session they belong to."""
-    glob = f"{path}/*/subagents/*.jsonl" if subagents else f"{path}/*.jsonl"
-    files = spark.read.text(glob, wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
+    """transcript_lines of *.jsonl files in path; subagents: of */subagents/*.jsonl, by the session they belong to. A file
+    of any length is read in splits."""
+    lines = numbered_lines(spark, f"{path}/*/subagents/*.jsonl" if subagents else f"{path}/*.jsonl")
     stem = F.regexp_replace(_name(F.col("p")), r"\.jsonl\z", "")
-    session = F.url_decode(F.regexp_extract("p", r"([^/]*)/subagents/[^/]*\z", 1)) if subagents else stem
-    lines = files.select(session.alias("session_id"), (stem if subagents else F.lit("")).alias("subagent"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "raw"))
-    return lines
+    session = _decoded(F.regexp_extract("p", r"([^/]*)/subagents/[^/]*\z", 1)) if subagents else stem
+    return lines.select(session.alias("session_id"), (stem if subagents else F.lit("")).alias("subagent"), "line_no", "raw")
 
 
 def plain_path(path: Column) -> Column:
@@ -36,11 +72,6 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/"), "/+", "/")
 
 
-def _reported() -> Column:
-    """The plain path of the file that a row is read from."""
-    return plain_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
-
-
 def _literal(name: str) -> str:
     """A name as part of a glob that matches it alone."""
     return re.sub(r"([\\{}\[\]*?,^])", r"\\\1", name)
@@ -59,7 +90,7 @@ def read_named_transcripts(spark: SparkSession, paths: list[str], subagents: boo
     def of(folder: str, names: set[str]) -> DataFrame:
         stems = sorted({n.rsplit(".", 1)[0] if "." in n[1:] else n for n in names}) if subagents else sorted(names)
         glob = f"{_literal(folder)}{{{','.join(map(_literal, stems))}}}" + "/subagents/*.jsonl" * subagents
-        files = spark.read.text(glob, wholetext=True).select("value", _reported().alias("p"))
+        files = numbered_lines(spark, glob).withColumn("p", plain_path(_decoded(F.col("p"))))
         if subagents:
             named = spark.createDataFrame([(n.rsplit(".", 1)[0] if "." in n[1:] else n, n) for n in sorted(names)], "stem string, file string")
             files = files.withColumn("stem", F.regexp_extract("p", r"([^/]*)/subagents/[^/]*\z", 1)).join(F.broadcast(named), "stem")
@@ -67,7 +98,7 @@ def read_named_transcripts(spark: SparkSession, paths: list[str], subagents: boo
             agent = F.regexp_replace(F.regexp_extract("p", r"([^/]*)\z", 1), r"\.jsonl\z", "")
         else:
             session, agent = F.col("p"), F.lit("")
-        return files.select(session.alias("session_id"), agent.alias("subagent"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "raw"))
+        return files.select(session.alias("session_id"), agent.alias("subagent"), "line_no", "raw")
 
     parts = [table_or_empty(lambda f=f, n=n: of(f, n), spark, schema) for f, n in sorted(folders.items())]
     return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], schema))
