@@ -17,7 +17,7 @@ from ..operators import manifest as M
 from ..operators import model as MD
 from ..operators import retrieve as R
 from ..operators import turns as TU
-from ..operators.backfill import backfill
+from ..operators.backfill import backfill, resume_backfill
 from ..shared import checkpoint, work_folder
 from ..sources.changes import incremental_logs
 from ..sources.files import latest_source as newest_folder
@@ -458,7 +458,7 @@ def model_error_rows(spark: SparkSession, d: str) -> DataFrame:
 def _compile(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     logs = I.daily_logs(spark, d)
     manifest = I.manifest(logs)
-    return manifest, checkpoint(MD.compile_logs(M.pending(logs, manifest), _compiled, "run-1", "2024-02-15 00:00:00"))
+    return manifest, MD.compile_logs(M.pending(logs, manifest), _compiled, "run-1", "2024-02-15 00:00:00")
 
 
 @_query
@@ -481,7 +481,7 @@ def compile_manifest(spark: SparkSession, d: str) -> DataFrame:
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     q, a = _ranked(spark, d)
     packed = q.join(R.pack(R.top_articles(q, a), a), "question_id")
-    return checkpoint(MD.answer_questions(packed, _reply))
+    return MD.answer_questions(packed, _reply)
 
 
 @_query
@@ -513,13 +513,26 @@ def lint_with_review(spark: SparkSession, d: str) -> DataFrame:
     return L.lint(a, I.extra_files(spark), logs, I.manifest(logs), MD.check_contradictions(a, _judged))
 
 
-@_query
-def backfill_sessions(spark: SparkSession, d: str) -> DataFrame:
+def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     turns = I.turns(spark, d)
     conv = F.col("session_id").cast("long")
     sub = turns.where(conv % 2 == 1).withColumn("subagent", F.concat(F.lit("agent-"), "session_id")).withColumn("session_id", (conv - 1).cast("string"))
     sessions = turns.select("session_id").distinct().withColumn("mtime", I.day("session_id").cast("timestamp"))
-    return backfill(sessions, turns.where(conv % 2 == 0), sub, _reply)
+    return sessions, turns.where(conv % 2 == 0), sub
+
+
+@_query
+def backfill_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return backfill(*_history(spark, d), _reply)
+
+
+@_query
+def backfill_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the history, then all of it: what is done is left out, and no prompt is put twice."""
+    sessions, main, sub = _history(spark, d)
+    path, memo = work_folder(spark, "backfill"), work_folder(spark, "memo")
+    resume_backfill(sessions.where(F.dayofmonth("mtime") < 16), main, sub, _reply, path, memo=memo, at_a_time=4)
+    return resume_backfill(sessions, main, sub, _reply, path, memo=memo, at_a_time=4)
 
 
 # ---- tables and files that are written and read back
