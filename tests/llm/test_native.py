@@ -185,6 +185,15 @@ def test_rules_are_found_by_the_rarest_token(spark):
     assert {r["page_id"] for r in out if r["verdict"] == "block"} == {3}
 
 
+def test_rules_without_a_token_are_tried_everywhere(spark):
+    listed = ["http:///", "http://a.org/", "", "http://-/x", None, "http://éé/"]
+    mine = rule_table(spark, (*SITES, *PATTERNS, pattern("block", r"^https?://[^a-z]*/$")))
+    nulls = mine.unionByName(spark.sql("select 'block' verdict, 'n' name, '^$' pattern, cast(null as array<string>) tokens, 'pattern' kind"))
+    for table, want in ((mine, {0, 5}), (nulls, {0, 2, 5}), (rule_table(spark), set())):
+        out = judge_urls(spark.createDataFrame(list(enumerate(listed)) * 2, "page_id long, url string"), table).collect()
+        assert len(out) == 12 and {r["page_id"] for r in out if r["verdict"] == "block"} == want
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_thousands_of_rules(spark, few, monkeypatch):
     """As many as if each rule were tried on each url."""

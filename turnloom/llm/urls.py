@@ -55,6 +55,9 @@ PATTERNS = (
     pattern("block", r"/wp-login\.php($|[?#])", "wp", "login", "php"),
 )
 
+#: The token that stands for all urls, as none is empty.
+EVERY = ""
+
 #: Bytes of rules, or of urls that rules fit, that may be broadcast.
 FEW_BYTES = 64 << 20
 
@@ -84,21 +87,26 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, id_col: str = "
     """Returns id_col, host, path, rule (name of the longest site rule that fits, else null), verdict.
 
     rules: a table as of rule_table(), by default that one. Distinct urls are split into tokens once; a rule is looked
-    up by that of its tokens which the fewest urls have, and only the urls that have it run its regular expression. A
-    rule without tokens is tried nowhere. Of site rules of one length the last by name decides. Where no site rule fits,
+    up by that of its tokens which the fewest rows have, and only the urls that have it run its regular expression. A
+    rule without tokens has none to be looked up by: it is tried on all urls. Of site rules of one length the last by name decides. Where no site rule fits,
     a url that a blocking pattern fits is blocked, else allowed. Null urls and those without :// have an empty host and
     path; null ones are allowed. Repeated rows are judged alike; a null id is kept. Long urls are taken whole, and an
     empty table has an empty result. Other columns are ignored, whatever their names.
     """
-    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("u"))
+    own = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("u"))
     host, path = host_and_path(F.col("u"))
-    urls = own.where("u is not null").groupBy("u").agg(F.count("*").alias("times"))
-    tokens = F.array_distinct(F.regexp_extract_all(ascii_lower("u"), F.lit(f"({TOKEN})"), F.lit(1)))
-    every = urls.select("u", F.explode(tokens).alias("token"))
     given = rule_table(pages.sparkSession) if rules is None else rules
-    table = checkpoint(given.select(F.monotonically_increasing_id().alias("rule_id"), "verdict", "name", "pattern", "tokens", "kind"))
-    named = checkpoint(table.select("rule_id", F.explode("tokens").alias("token")))
-    met = every.join(_small(checkpoint(named.select("token").distinct()), "token"), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
+    held = F.array_distinct(F.array_compact(F.coalesce("tokens", F.array().cast("array<string>"))))
+    table = checkpoint(given.select(F.monotonically_increasing_id().alias("rule_id"), "verdict", "name", "pattern", held.alias("tokens"), "kind"))
+    bare = F.size("tokens") == 0
+    named = checkpoint(table.select("rule_id", F.explode(F.when(bare, F.array(F.lit(EVERY))).otherwise(F.col("tokens"))).alias("token")))
+    tokens = F.array_distinct(F.regexp_extract_all(ascii_lower("u"), F.lit(f"({TOKEN})"), F.lit(1)))
+    if not table.where(bare).isEmpty():
+        tokens = F.concat(tokens, F.array(F.lit(EVERY)))
+    texts = own.where("u is not null").select("u")
+    every = texts.distinct().select("u", F.explode(tokens).alias("token"))
+    # counted by rows, so that urls are shuffled once, for the candidates
+    met = texts.select(F.explode(tokens).alias("token")).join(_small(checkpoint(named.select("token").distinct()), "token"), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
     # a token that no url has cannot be met, so its rule cannot fit
     rarest = named.join(checkpoint(met), "token", "left").groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("urls", F.lit(0)), "token")).alias("token"))
     index = checkpoint(rarest.join(table, "rule_id").select("token", "verdict", "name", "pattern", "kind"))
