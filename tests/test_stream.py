@@ -7,6 +7,7 @@ import pytest
 
 from turnloom.operators import flush as FL
 from turnloom.sources import changes as CH
+from turnloom.sources import snapshots as S
 from turnloom.sources.files import read_named_transcripts
 from turnloom.streaming import capture as CA
 from turnloom.streaming import stream as ST
@@ -30,6 +31,28 @@ def test_dedup_over_several_batches_equals_batch(spark, tmp_path):
     assert got == sorted(r["event_id"] for r in FL.dedup(df).collect())
 
 
+def test_dedup_of_batches_with_a_kept_state(spark, tmp_path):
+    """Three batches and a replay, with a busy session, a null one, late events and ones without a time."""
+    p, schema = str(tmp_path), "session_id string, ts timestamp, source string, event_id long"
+    at = lambda t: None if t is None else T0 + timedelta(seconds=t)
+    batches = [[("a", k * 0.01) for k in range(9000)] + [(None, 5), (None, 30), ("b", 7)], [("a", 91), ("a", 120), ("a", 125.0), (None, 66), ("b", None), ("c", 9000)], [("a", 130), ("c", 9030), ("c", 9061), ("a", 9000)]]
+    n, rows = 0, []
+    run = lambda state: ST.dedup_batches(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{p}/in"), f"{p}/out", f"{p}/last", f"{p}/{state}").awaitTermination()
+    for batch in batches:
+        new = [(s, at(t), "x", n + k) for k, (s, t) in enumerate(batch)]
+        n, rows = n + len(batch), rows + new
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(f"{p}/in")
+        run("progress")
+    got = sorted(r["event_id"] for r in spark.read.parquet(f"{p}/out").collect())
+    late = next(r[3] for r in rows if r[1] == at(130))  # behind the watermark of 9000 - 3600
+    want = FL.dedup(spark.createDataFrame(rows, schema).where(f"event_id <> {late}"))
+    assert got == sorted(r["event_id"] for r in want.collect()) and late not in got
+    state = {r["session_id"] for r in S.read_snapshot(spark, f"{p}/last", ST.STATE).where("not mark").collect()}
+    assert state == {"a", "c"} and S.versions(spark, f"{p}/last") == [1, 2, 3]  # b and the null session are long over
+    run("other")
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{p}/out").collect()) == got and S.versions(spark, f"{p}/last") == [1, 2, 3]
+
+
 def test_hook_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text('{"session_id": "s", "transcript_path": "/p"}\nbad\n')

@@ -665,6 +665,15 @@ def stream_flush_dedup(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(kept.schema).parquet(out)
 
 
+@_query
+def stream_flush_dedup_batches(spark: SparkSession, d: str) -> DataFrame:
+    """By ranges, with a state that has versions; then the same batch once more, which changes nothing."""
+    out, state = work_folder(spark, "dedup"), work_folder(spark, "dedup-state")
+    for _ in range(2):
+        ST.dedup_batches(_event_stream(spark, d), out, state, work_folder(spark, "dedup-progress")).awaitTermination()
+    return spark.read.parquet(out).select("session_id", "ts", "source", "event_id")
+
+
 @_query
 def stream_daily_append(spark: SparkSession, d: str) -> DataFrame:
     out = work_folder(spark, "daily")

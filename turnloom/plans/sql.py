@@ -345,7 +345,7 @@ FROM y WHERE id % 10 <> 8 AND id IN (SELECT conv_id FROM conversations WHERE tur
 ORACLE_SQL["stream_hooks"] = ORACLE_SQL["hook_payload_repair"]
 
 #: What is committed is what the upserts return, and a history in two runs is that of one.
-ORACLE_SQL |= {"manifest_commit": ORACLE_SQL["manifest_upsert"], "index_commit": ORACLE_SQL["index_upsert"], "backfill_resumed": ORACLE_SQL["backfill_sessions"]}
+ORACLE_SQL |= {"manifest_commit": ORACLE_SQL["manifest_upsert"], "index_commit": ORACLE_SQL["index_upsert"], "backfill_resumed": ORACLE_SQL["backfill_sessions"], "stream_flush_dedup_batches": ORACLE_SQL["stream_flush_dedup"]}
 
 #: Files end in a line feed, so that all of a first run are pending, and of a second one those that have more.
 ORACLE_SQL["incremental_files"] = f"""WITH {_LOGS}, f AS (SELECT file, log_date, content || chr(10) AS one, content || 'more' || chr(10) || chr(10) AS two FROM logs)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.flush import dedup
 from ..operators.manifest import pending
+from ..shared import broadcast_if_small, checkpoint
 from ..ship import ship
 from ..sources.files import parse_hooks
+from ..sources.snapshots import commit, read_snapshot, versions
 
 
 def hook_stream(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
@@ -25,7 +29,7 @@ def hook_stream(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
 def dedup_stream(events: DataFrame, seconds: int = 60, watermark: str = "1 hour") -> DataFrame:
     """Per session, drops an event within `seconds` of the last kept one. events (session_id, ts, source, event_id).
 
-    State is one time a session, dropped once the watermark has passed it by `seconds`. Within a batch events are
+    A session's rows of a batch are one frame; dedup_batches has no such limit. State is one time a session, dropped once the watermark has passed it by `seconds`. Within a batch events are
     ordered by time and id; events later than the watermark are dropped and counted in the query's progress.
     """
     ship(events.sparkSession)
@@ -51,20 +55,60 @@ def dedup_stream(events: DataFrame, seconds: int = 60, watermark: str = "1 hour"
     return events.withWatermark("ts", watermark).groupBy("session_id").applyInPandasWithState(fold, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def append_daily(entries: DataFrame, path: str, checkpoint: str, query: str = "daily") -> StreamingQuery:
+#: What dedup_batches knows of each session: when its last event was kept; and, marked, the latest time of all events.
+STATE = "session_id string, last timestamp, mark boolean"
+
+
+def dedup_batches(events: DataFrame, path: str, state: str, checkpoint_folder: str, seconds: int = 60, watermark: int = 3600) -> StreamingQuery:
+    """dedup_stream for sessions of any size: each batch is deduplicated by flush.dedup, whose tasks have a range of the
+    events at most, be they all of one session, and written to a part of path (session_id, ts, source, event_id, batch).
+
+    state is a table with versions, one a batch: the last kept time of each session, until the latest event is `watermark`
+    seconds and `seconds` beyond it. Events that are later than that are dropped; those without a time are kept. A batch
+    that is run again replaces its part, and one that the state has changes nothing. Within a batch events are ordered by
+    time and id.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = versions(spark, state)
+        if known and known[-1] > batch_id:
+            return
+        held = checkpoint(batch.select("session_id", "ts", "source", "event_id"))
+        before = checkpoint(read_snapshot(spark, state, STATE, known[-1] if known else None))
+        marks = [t for t in (before.where("mark").agg(F.max("last")).first()[0], held.agg(F.max("ts")).first()[0]) if t is not None]
+        bound = lambda t: t - timedelta(seconds=watermark)
+        old = before.where("not mark").select(F.col("session_id").alias("__s"), "last")
+        late = F.lit(False) if before.isEmpty() or len(marks) < 2 else F.coalesce(F.col("ts") < F.lit(bound(marks[0])), F.lit(False))
+        joined = held.where(~late).join(broadcast_if_small(old), F.col("session_id").eqNullSafe(F.col("__s")), "left")
+        fresh = joined.where(F.col("last").isNull() | F.col("ts").isNull() | (F.unix_micros("ts") - F.unix_micros("last") >= seconds * 1_000_000))
+        kept = checkpoint(dedup(fresh.select("session_id", "ts", "source", "event_id"), seconds))
+        kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        every = old.select(F.col("__s").alias("session_id"), "last").unionByName(kept.where("ts is not null").select("session_id", F.col("ts").alias("last")))
+        last = every.groupBy("session_id").agg(F.max("last").alias("last"))
+        if marks:
+            last = last.where(F.col("last") >= F.lit(bound(max(marks)) - timedelta(seconds=seconds)))
+            mark = spark.createDataFrame([(None, max(marks))], "session_id string, last timestamp")
+            last = last.withColumn("mark", F.lit(False)).unionByName(mark.withColumn("mark", F.lit(True)))
+        commit(spark, state, STATE, lambda _: last)
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_folder).trigger(availableNow=True).start()
+
+
+def append_daily(entries: DataFrame, path: str, checkpoint_folder: str, query: str = "daily") -> StreamingQuery:
     """Appends a stream of daily entries to partitions by day. A batch that is run again replaces its own rows."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
         part = batch.withColumn("query", F.lit(query)).withColumn("batch_id", F.lit(batch_id))
         part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("query", "batch_id", "log_date").parquet(path)
 
-    return entries.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return entries.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint_folder).trigger(availableNow=True).start()
 
 
-def incremental_run(logs: DataFrame, manifest: Callable[[], DataFrame], compile_batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def incremental_run(logs: DataFrame, manifest: Callable[[], DataFrame], compile_batch: Callable[[DataFrame, int], None], checkpoint_folder: str) -> StreamingQuery:
     """Runs compile_batch over what is new or changed against the manifest as it is then, once per arrival of logs."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         compile_batch(pending(batch, manifest()), batch_id)
 
-    return logs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return logs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_folder).trigger(availableNow=True).start()
