@@ -89,6 +89,7 @@ def filed_activity(filed: DataFrame, ts: str = "2024-01-31 00:00:00") -> DataFra
 
 def activity_text(log: DataFrame) -> DataFrame:
     """(ts, subject, entry): the entries of the log as text, to be appended in order."""
+    # fixed values: the lines of an entry
     linked = lambda c: F.array_join(F.transform(F.filter(F.split(c, ","), lambda k: k != ""), lambda k: F.concat(F.lit("[["), k, F.lit("]]"))), ", ")
     head = F.concat(F.lit("## ["), iso_seconds("ts"), F.lit("] "), "op", F.lit(" | "), "subject", F.lit("\n"))
     compiled = F.concat(F.lit("- Source: daily/"), "subject", F.lit("\n- Articles created: "), linked("created"), F.lit("\n"), F.when(F.col("updated") != "", F.concat(F.lit("- Articles updated: "), linked("updated"), F.lit("\n"))).otherwise(""))
@@ -97,10 +98,13 @@ def activity_text(log: DataFrame) -> DataFrame:
 
 
 def file_back(answers: DataFrame, updated: str = "2024-01-31") -> DataFrame:
-    """Answered questions (question_id, question, consulted, answer) as articles of kind qa."""
+    """Answered questions (question_id, question, consulted, answer) as articles of kind qa, one for each path: of questions
+    that lead to one path the last by id, as a later answer replaces an earlier one."""
     key = F.concat(F.lit("qa/"), slugify("question"))
     text = F.concat(F.lit('---\ntitle: "Q: '), F.col("question"), F.lit('"\n---\n\n'), F.col("answer"))
-    return answers.select("question_id", "question", F.lit("qa").alias("kind"), F.concat(key, F.lit(".md")).alias("path"), key.alias("key"), text.alias("content"), F.col("consulted").alias("sources"), F.lit(updated).cast("date").alias("updated"))
+    filed = answers.select("question_id", "question", F.lit("qa").alias("kind"), F.concat(key, F.lit(".md")).alias("path"), key.alias("key"), text.alias("content"), F.col("consulted").alias("sources"), F.lit(updated).cast("date").alias("updated"))
+    latest = Window.partitionBy("path").orderBy(F.col("question_id").desc_nulls_last(), F.desc("content"))
+    return filed.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
 
 
 def source_classes(articles: DataFrame) -> DataFrame:
