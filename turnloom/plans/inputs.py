@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash
 from ..operators.flush import LOG_HEADER
 from ..operators.turns import conversation_turns
+from ..shared import spread
 
 #: Narrow limits, so that windows and cuts have an effect on short conversations.
 TURNS, CHARS, LEAST = 4, 1500, 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,13 @@ def broadcast_if_small(df: DataFrame, most: int = FEW_BYTES) -> DataFrame:
     return F.broadcast(df) if size["rows"] <= FEW_ROWS and (size["bytes"] or 0) <= most else df
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read, dealt out evenly if it has fewer partitions than there are cores, as one small file has, which
+    a single task would read and work through. Larger tables are left alone."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     ensure_checkpoints(df.sparkSession)
     return df.checkpoint()
