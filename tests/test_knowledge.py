@@ -90,7 +90,7 @@ def test_pairs_of_logs_with_many_articles(spark):
     assert sorted(r["shared"] for r in A.class_pairs(classes).collect()) == [1, 1, 2]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_review_packs_hold_every_linked_pair(spark, seed):
     rng = random.Random(seed)
     logs = [f"l{k}" for k in range(5)]
@@ -139,7 +139,7 @@ def test_retrieval_by_common_terms(spark):
     assert top == {(1, 1): ("concepts/a", 666), (1, 2): ("concepts/b", 666), (2, 1): ("concepts/a", 1332), (2, 2): ("concepts/b", 666)}
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(3))
 def test_retrieval_is_exact(spark, seed):
     """Against scores of all pairs: null and repeated ids and keys, null texts, ties, few and many postings for the bound."""
     rng = random.Random(seed)
@@ -162,7 +162,7 @@ def test_retrieval_is_exact(spark, seed):
         want += [(i, key, -s, n) for n, (s, key) in enumerate(best, 1)] or [(i, None, None, None)]
     questions = spark.createDataFrame(q, f"question_id {kind}, question string").repartition(3)
     articles_ = spark.createDataFrame([(k, "p", t) for k, t in a], "key string, path string, content string")
-    for postings in (1, 40, 5000):
+    for postings in (1, 5000):
         top = R.top_articles(questions, articles_, k=4, seed=postings)
         assert sorted((str(tuple(r)[1:]) for r in top.collect())) == sorted(map(str, want))
     assert R.pack(top, articles_).count() == len(q)

@@ -17,9 +17,11 @@ def terms(text: Column) -> Column:
 
 
 def index_terms(articles: DataFrame, names: DataFrame) -> DataFrame:
-    """Which of the terms in names (term, t) each article has: (key, ts), checkpointed. Rows of one key are one article."""
+    """Which of the terms in names (term, t) each article has: (a, key, ts), a its number, checkpointed. Rows of one key are
+    one article."""
     each = articles.where("key is not null").select("key", F.explode(terms(F.col("content"))).alias("term"))
-    return checkpoint(each.join(broadcast_if_small(names), "term").groupBy("key").agg(F.collect_set("t").alias("ts")))
+    found = each.join(broadcast_if_small(names), "term").groupBy("key").agg(F.collect_set("t").alias("ts"))
+    return checkpoint(found.select(F.monotonically_increasing_id().alias("a"), "key", "ts"))
 
 
 def top_articles(questions: DataFrame, articles: DataFrame, k: int = 10, min_score: int = 3, seed: int = SEED) -> DataFrame:
@@ -41,30 +43,40 @@ def top_articles(questions: DataFrame, articles: DataFrame, k: int = 10, min_sco
     asked = own.select("q", F.explode("terms").alias("term"))
     names = checkpoint(asked.select("term").distinct().withColumn("t", F.monotonically_increasing_id()))
     index = index_terms(articles, names)
-    posted = index.select("key", F.explode("ts").alias("t"))
+    posted = index.select("a", F.explode("ts").alias("t"))
     total = articles.where("key is not null").select("key").distinct().count()
     df = checkpoint(posted.groupBy("t").agg(F.count("*").alias("df")))
     weights = names.join(df, "t").select("term", "t", "df", F.expr(f"(1000L * ({total}L - df)) div {max(total, 1)}L").alias("weight"))
     weighed = checkpoint(asked.join(weights, "term").select("q", "t", "df", "weight"))
 
-    # the bound: what the k-th best article has by the rarest terms alone
+    def kth(found: DataFrame) -> DataFrame:
+        """(q, bound): what the k-th best of the articles found has at least; none where there are fewer."""
+        best = found.where(F.col("n") >= min_score).withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"))))
+        return best.where(F.col("place") <= k).groupBy("q").agg(F.min("score").alias("bound"), F.count("*").alias("places")).where(F.col("places") == k).drop("places")
+
+    def sums(wanted: DataFrame) -> DataFrame:
+        return posted.join(wanted, "t").groupBy("q", "a").agg(F.sum("weight").alias("score"), F.count("*").alias("n"))
+
+    # a bound for each question: what the k-th best article has by the rarest terms alone
     rare = Window.partitionBy("q").orderBy("df", "t")
     first = weighed.withColumn("upto", F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(rare)).where((F.col("upto") <= seed) | (F.col("n") <= min_score))
-    found = first.join(posted, "t").groupBy("q", "key").agg(F.sum("weight").alias("score"), F.count("*").alias("n")).where(F.col("n") >= min_score)
-    bounds = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))).where(F.col("place") == k).select("q", F.col("score").alias("bound"))
+    bounds = checkpoint(kth(sums(broadcast_if_few(checkpoint(first.select("q", "t", "weight"))))))
 
     # terms that weigh less than the bound, the lightest together, need not be looked up
     light = Window.partitionBy("q").orderBy("weight", "t").rowsBetween(Window.unboundedPreceding, 0)
     split = checkpoint(weighed.join(bounds, "q", "left").withColumn("sought", F.sum("weight").over(light) >= F.coalesce("bound", F.lit(0).cast("long"))))
-    sought = checkpoint(split.where("sought").select("q", "t", "weight"))
-    rest = split.where("not sought").groupBy("q").agg(F.collect_list(F.struct("t", "weight")).alias("rest"), F.sum("weight").alias("more"), F.first("bound").alias("bound"))
-    some = posted.join(broadcast_if_few(sought), "t").groupBy("q", "key").agg(F.sum("weight").alias("score"), F.count("*").alias("n"))
-    near = some.join(rest, "q", "left").where("rest is null or score + more >= bound")
-    whole = near.join(index, "key").withColumn("had", F.filter("rest", lambda r: F.array_contains("ts", r["t"])))
+    some = checkpoint(sums(broadcast_if_few(checkpoint(split.where("sought").select("q", "t", "weight")))))
+
+    # of what was found, what the rest can lift to the bound, which is better known now
     zero = F.lit(0).cast("long")
-    score = F.col("score") + F.coalesce(F.aggregate("had", zero, lambda a, r: a + r["weight"]), zero)
-    shared = F.col("n") + F.coalesce(F.size("had"), F.lit(0))
-    scored = whole.select("q", "key", score.alias("score"), F.when(F.col("rest").isNull(), F.col("n")).otherwise(shared).alias("n")).where(F.col("n") >= min_score)
+    rest = split.where("not sought").groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("t", "weight"))).alias("rest"), F.sum("weight").alias("more"))
+    better = kth(some).unionByName(bounds).groupBy("q").agg(F.max("bound").alias("bound"))
+    near = some.join(broadcast_if_few(checkpoint(better)), "q", "left").join(rest.select("q", "more"), "q", "left").where(F.col("bound").isNull() | (F.col("score") + F.coalesce("more", zero) >= F.col("bound")))
+    whole = checkpoint(near.select("q", "a", "score", "n")).join(index, "a").join(rest.select("q", "rest"), "q", "left")
+    whole = whole.withColumn("had", F.array_intersect("ts", F.map_keys("rest")))
+    score = F.col("score") + F.coalesce(F.aggregate("had", zero, lambda a, t: a + F.element_at("rest", t)), zero)
+    shared = F.when(F.col("rest").isNull(), F.col("n")).otherwise(F.col("n") + F.size("had"))
+    scored = whole.select("q", "key", score.alias("score"), shared.alias("n")).where(F.col("n") >= min_score)
     top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= k)
     return own.select("q", "question_id").join(top.select("q", "key", "score", "rank"), "q", "left").withColumnRenamed("q", "question_no")
 
