@@ -167,7 +167,7 @@ def each_row(rows, window, split, join, within):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", [1, 2])
 def test_rows_that_share_an_id(spark, seed, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT_SAMPLE", 1 if seed > 1 else 64)
     rows = shared_ids(seed)
