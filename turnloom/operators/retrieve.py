@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import last_lines, long_date, ordered_concat, truncate_head
-from ..shared import broadcast_if_few, broadcast_if_small, checkpoint
+from ..shared import FEW_ROWS, broadcast_if_few, broadcast_if_small, checkpoint
 
 #: Postings of a question's rarest terms, about, from which the bound of its scores is found.
 SEED = 5000
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+
+
 def terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 2))
+    return F.filter(_words(text), lambda t: F.length(t) > 2)
 
 
 def index_terms(articles: DataFrame, names: DataFrame) -> DataFrame:
     """Which of the terms in names (term, t) each article has: (a, key, ts), a its number, checkpointed. Rows of one key are
     one article."""
-    each = articles.where("key is not null").select("key", F.explode(terms(F.col("content"))).alias("term"))
+    each = articles.where("key is not null").select("key", F.explode(_words(F.col("content"))).alias("term"))  # names has none too short
     found = each.join(broadcast_if_small(names), "term").groupBy("key").agg(F.collect_set("t").alias("ts"))
     return checkpoint(found.select(F.monotonically_increasing_id().alias("a"), "key", "ts"))
 
@@ -36,8 +40,9 @@ def top_articles(questions: DataFrame, articles: DataFrame, k: int = 10, min_sco
 
     An inverted index of the asked terms is searched with bounds: the articles found by a question's rarest terms (of about
     `seed` postings) have k-th best a score that the k best will reach. Its most common terms that weigh less together
-    cannot bring an article among the best, so that only the other terms' postings are read. What is found there is scored
-    in full by its own terms, unless the rest cannot lift it to the bound. No article that belongs to the best is lost.
+    cannot bring an article among the best, so that only the other terms' postings are read. The 2k best of what they find
+    are scored in full by the articles' own terms, which gives a bound close to the true one; of the others only those
+    that the common terms can lift to it are scored so, too. No article that belongs to the best is lost.
     """
     own = checkpoint(questions.select(F.monotonically_increasing_id().alias("q"), "question_id", terms(F.col("question")).alias("terms")))
     asked = own.select("q", F.explode("terms").alias("term"))
@@ -45,9 +50,11 @@ def top_articles(questions: DataFrame, articles: DataFrame, k: int = 10, min_sco
     index = index_terms(articles, names)
     posted = index.select("a", F.explode("ts").alias("t"))
     total = articles.where("key is not null").select("key").distinct().count()
-    df = checkpoint(posted.groupBy("t").agg(F.count("*").alias("df")))
+    df = posted.groupBy("t").agg(F.count("*").alias("df"))
     weights = names.join(df, "t").select("term", "t", "df", F.expr(f"(1000L * ({total}L - df)) div {max(total, 1)}L").alias("weight"))
     weighed = checkpoint(asked.join(weights, "term").select("q", "t", "df", "weight"))
+    # what is sought below is a part of this, with a row for each question at most where it is joined by question
+    few = F.broadcast if weighed.count() <= FEW_ROWS else lambda part: part
 
     def kth(found: DataFrame) -> DataFrame:
         """(q, bound): what the k-th best of the articles found has at least; none where there are fewer."""
@@ -60,23 +67,27 @@ def top_articles(questions: DataFrame, articles: DataFrame, k: int = 10, min_sco
     # a bound for each question: what the k-th best article has by the rarest terms alone
     rare = Window.partitionBy("q").orderBy("df", "t")
     first = weighed.withColumn("upto", F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(rare)).where((F.col("upto") <= seed) | (F.col("n") <= min_score))
-    bounds = checkpoint(kth(sums(broadcast_if_few(checkpoint(first.select("q", "t", "weight"))))))
+    bounds = checkpoint(kth(sums(few(first.select("q", "t", "weight")))))
 
     # terms that weigh less than the bound, the lightest together, need not be looked up
     light = Window.partitionBy("q").orderBy("weight", "t").rowsBetween(Window.unboundedPreceding, 0)
     split = checkpoint(weighed.join(bounds, "q", "left").withColumn("sought", F.sum("weight").over(light) >= F.coalesce("bound", F.lit(0).cast("long"))))
-    some = checkpoint(sums(broadcast_if_few(checkpoint(split.where("sought").select("q", "t", "weight")))))
+    some = checkpoint(sums(few(split.where("sought").select("q", "t", "weight"))))
 
-    # of what was found, what the rest can lift to the bound, which is better known now
+    # the best of what was found, scored in full, give a better bound; of the others, what the rest can lift to it
     zero = F.lit(0).cast("long")
     rest = split.where("not sought").groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("t", "weight"))).alias("rest"), F.sum("weight").alias("more"))
-    better = kth(some).unionByName(bounds).groupBy("q").agg(F.max("bound").alias("bound"))
-    near = some.join(broadcast_if_few(checkpoint(better)), "q", "left").join(rest.select("q", "more"), "q", "left").where(F.col("bound").isNull() | (F.col("score") + F.coalesce("more", zero) >= F.col("bound")))
-    whole = checkpoint(near.select("q", "a", "score", "n")).join(index, "a").join(rest.select("q", "rest"), "q", "left")
-    whole = whole.withColumn("had", F.array_intersect("ts", F.map_keys("rest")))
-    score = F.col("score") + F.coalesce(F.aggregate("had", zero, lambda a, t: a + F.element_at("rest", t)), zero)
-    shared = F.when(F.col("rest").isNull(), F.col("n")).otherwise(F.col("n") + F.size("had"))
-    scored = whole.select("q", "key", score.alias("score"), shared.alias("n")).where(F.col("n") >= min_score)
+
+    def in_full(part: DataFrame) -> DataFrame:
+        whole = part.join(index, "a").join(few(rest.select("q", "rest")), "q", "left").withColumn("had", F.array_intersect("ts", F.map_keys("rest")))
+        score = F.col("score") + F.coalesce(F.aggregate("had", zero, lambda a, t: a + F.element_at("rest", t)), zero)
+        shared = F.when(F.col("rest").isNull(), F.col("n")).otherwise(F.col("n") + F.size("had"))
+        return whole.select("q", "a", "key", score.alias("score"), shared.alias("n")).where(F.col("n") >= min_score)
+
+    lead = some.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "a"))).where(F.col("place") <= 2 * k).drop("place")
+    better = checkpoint(kth(in_full(lead)).unionByName(bounds).groupBy("q").agg(F.max("bound").alias("bound")))
+    near = some.join(few(better), "q", "left").join(few(rest.select("q", "more")), "q", "left").where(F.col("bound").isNull() | (F.col("score") + F.coalesce("more", zero) >= F.col("bound")))
+    scored = in_full(near.select("q", "a", "score", "n"))
     top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= k)
     return own.select("q", "question_id").join(top.select("q", "key", "score", "rank"), "q", "left").withColumnRenamed("q", "question_no")
 
