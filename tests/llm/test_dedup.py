@@ -104,6 +104,23 @@ def test_equal_windows_have_equal_anchors():
     assert np.array_equal(alone.anchor[alone.fits], among.anchor[first : first + 351] - first)
 
 
+def test_pieces_are_told_apart_by_both_hashes():
+    """Pieces around one anchor that agree in one hash but not in the other are no copies: both are asked for."""
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 123, 300, dtype=np.uint8)
+    begin = np.arange(200)
+    one, two = common.SliceHashes(data)(begin, begin + 60), common.SliceHashes(data, 1)(begin, begin + 60)
+    again = common.SliceHashes(np.concatenate((data[5:], data)), 1)(begin + 295, begin + 355)
+    assert len(set(one.tolist()) | set(two.tolist())) == 400 and np.array_equal(two, again)
+    anchor, side = 77 << suffixes.SPARE, (3 << 22) | (9 << 12) | 17
+    rows = [(anchor | 1, 5, 10), (anchor | 2, 5, 11), (anchor | 1, 5, 12), (anchor + (1 << suffixes.SPARE), 5, 13)]
+    h, prints, doc = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    out = suffixes._settled(iter([common.long_batch(h=h, print=prints, doc=doc, run=(doc << 32) | side, row=doc)]))
+    got = [r for b in out for r in b.to_pylist()]
+    assert sorted((r["row"], r["run"], r["ask"]) for r in got if r["ask"] is not None) == [(10, (10 << 16) | 17, 77), (11, (11 << 16) | 17, 77)]
+    assert [(r["row"], r["ask"]) for r in got if r["ask"] is None] == [(13, None)]
+
+
 def test_difference_covers():
     for v, cover in COVERS.items():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))

@@ -102,13 +102,13 @@ def chunks(sizes: Iterable[int], limit: int = CHUNK) -> Iterator[tuple[int, int]
         yield begin, k + 1
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Odd bases of two independent hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+@lru_cache(maxsize=2)
+def _byte_values(which: int) -> np.ndarray:
+    return np.random.default_rng(20 + which).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 _powers: dict[int, np.ndarray] = {}
@@ -135,12 +135,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class SliceHashes:
-    """Polynomial prefix hashes of a byte string, from which any slice is hashed in constant time."""
+    """Polynomial prefix hashes of a byte string, from which any slice is hashed in constant time.
 
-    def __init__(self, data: np.ndarray):
+    which, 0 or 1, chooses between two independent hashes.
+    """
+
+    def __init__(self, data: np.ndarray, which: int = 0):
+        base = _BASES[which]
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_values()[data] * _power(_BASE, len(data)), out=self.prefix[1:])
-        self.back = _power(_INVERSE, len(data) + 1)
+        np.cumsum(_byte_values(which)[data] * _power(np.uint64(base), len(data)), out=self.prefix[1:])
+        self.back = _power(np.uint64(pow(base, -1, 2**64)), len(data) + 1)
 
     def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.prefix[end] - self.prefix[begin]) * self.back[begin])

@@ -27,6 +27,10 @@ SORTED = 1 << 20
 #: Parts in which a group's suffixes are refined one after the other.
 PARTS = 8
 
+#: Bits of an anchor's hash that pieces give up for their fingerprints, which have 64 more.
+SPARE = 16
+SPARE_MASK = np.uint64((1 << SPARE) - 1)
+
 #: One document in so many is looked at for anchors that are in very many documents.
 HOT_SAMPLE = 64
 
@@ -184,6 +188,7 @@ def _shared_windows(found: Minimizers, hs: np.ndarray, sizes: np.ndarray) -> np.
 def _pieces(window: int, hot: np.ndarray):
     """Pieces as (h, print, doc, run, row): anchor, fingerprint, id, run, and row.
 
+    The lower SPARE bits of h are no part of the anchor: they and print are the fingerprint, of two independent hashes.
     run = first window << 32 | left << 22 | right << 12 | number of windows. left and right are 10-bit fingerprints of what
     stands on each side of the anchor, half of a window's other bytes long. Two pieces that share a window agree in one of them.
     """
@@ -205,7 +210,8 @@ def _pieces(window: int, hot: np.ndarray):
                 first, last = found.runs(_shared_windows(found, hs[ends[k] - sizes[k] : ends[end - 1]], sizes[k:end]))
                 if not len(first):
                     continue
-                prints = SliceHashes(np.frombuffer(found.text, np.uint8))
+                data = np.frombuffer(found.text, np.uint8)
+                prints = SliceHashes(data)
                 h = found.hashes[found.anchor[first]] & ~np.uint64(1)
                 each = np.isin(h, hot)
                 if each.any():  # an anchor in very many documents: each of its windows goes by itself
@@ -214,14 +220,17 @@ def _pieces(window: int, hot: np.ndarray):
                     each, h, last = np.repeat(each, width), np.repeat(h, width), np.repeat(last, width)
                     first = np.repeat(first, width) + inner
                     last = np.where(each, first, last)
-                    h = np.where(each, prints(first, first + window), h)
                 doc = found.doc[first]
                 begin, end_ = found.first[doc], found.first[doc] + found.sizes[doc]
                 anchor = found.anchor[first]
                 left = (prints(np.maximum(anchor - half, begin), anchor) >> np.uint64(54)).astype(np.int64)
                 right = (prints(anchor + q, np.minimum(anchor + q + half, end_)) >> np.uint64(54)).astype(np.int64)
                 run = ((first - begin) << 32) | (left << 22) | (right << 12) | (last - first + 1)
-                parts.append((h, prints(first, last + window), docs[k:end][doc], run, rows[k:end][doc]))
+                one = prints(first, last + window)
+                del prints
+                two = SliceHashes(data, 1)(first, last + window)
+                h, two = np.where(each, one, (h & ~SPARE_MASK) | (two >> np.uint64(64 - SPARE))), np.where(each, two, one)
+                parts.append((h, two, docs[k:end][doc], run, rows[k:end][doc]))
                 n += len(first)
                 if n >= BLOCK:
                     yield combined(parts)
@@ -253,18 +262,20 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     del parts
     h, prints, _, run, row = _least(*columns)
     del columns
+    h = h.view(np.uint64)
+    anchor = h >> np.uint64(SPARE)
     ask = np.zeros(len(h), bool)
     for shift in (22, 12):
         side = (run >> shift) & 1023
-        order = np.lexsort((prints, side, h))
-        a, b, c = h[order], side[order], prints[order]
+        order = np.lexsort((h, prints, side, anchor))
+        a, b, c, d = anchor[order], side[order], prints[order], h[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        kinds = np.bincount(np.cumsum(new) - 1, weights=np.concatenate(([True], new[1:] | (c[1:] != c[:-1]))))
+        kinds = np.bincount(np.cumsum(new) - 1, weights=np.concatenate(([True], new[1:] | (c[1:] != c[:-1]) | (d[1:] != d[:-1]))))
         ask[order] |= kinds[np.cumsum(new) - 1] > 1
     run = (run >> 32 << 16) | (run & 4095)
     for k in range(0, len(h), 200_000):
         part = slice(k, k + 200_000)
-        asked = pa.array(h[part].view(np.int64), mask=~ask[part])
+        asked = pa.array(anchor[part].view(np.int64), mask=~ask[part])
         yield pa.RecordBatch.from_arrays([pa.array(row[part]), pa.array(run[part]), asked], names=["row", "run", "ask"])
 
 
@@ -429,7 +440,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     joined = full.join(copies, ["doc", "print"], "left").join(hs, "row", "left").select("row", "body", "hs", "id", F.col("copy").isNotNull().alias("copy"), "doc")
     hot_ = hot_anchors(full.select("doc", "body"), window, hot)
     pieces = arrow_map(joined.where("hs is not null"), _pieces(window, hot_), "h long, print long, doc long, run long, row long")
-    settled = arrow_map(pieces.repartition(shuffle_width(docs), "h"), _settled, "row long, run long, ask long")
+    settled = arrow_map(pieces.repartition(shuffle_width(docs), F.shiftrightunsigned("h", SPARE)), _settled, "row long, run long, ask long")
     runs = settled.groupBy("row").agg(F.collect_list(F.when(F.col("ask").isNull(), F.col("run"))).alias("runs"), F.collect_list(F.when(F.col("ask").isNotNull(), F.struct("ask", "run"))).alias("asks"))
     told = joined.join(runs, "row", "left")
     fetched = arrow_map(told.where("size(asks) > 0").select("row", "body", "asks", "hs", "id", "runs", "copy", "doc"), _fetched(window), "route long, piece binary, doc long, start long, row long")
