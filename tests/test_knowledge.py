@@ -1,9 +1,11 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from turnloom import shared
 from turnloom.operators import articles as A
 from turnloom.operators import lint as L
 from turnloom.operators import model as MD
@@ -122,6 +124,29 @@ def test_review_of_many_articles(spark):
     assert [(r["file"], r["detail"]) for r in failed] == [("(system)", "LLM check failed: division by zero")]
 
 
+@pytest.mark.parametrize("side", [1, 2, 5])
+def test_reviews_by_cells(spark, side):
+    """Cells of any size make the same packs and prompts, each once."""
+    a = spark.range(300).select(F.format_string("k%04d", F.col("id") * 7 % 300).alias("key"), F.lit("p").alias("path"), F.repeat(F.lit("x"), F.when(F.col("id") == 9, 9000).otherwise(94).cast("int")).alias("content"), F.array(F.lit("l"), F.when(F.col("id") < 150, "m").otherwise("n"), F.when(F.col("id") > 297, "o")).alias("sources"))
+    packs = {r["pack"]: r["keys"] for r in A.review_packs(a, 5000, side=side).collect()}
+    assert packs == {r["pack"]: r["keys"] for r in A.review_packs(a, 5000).collect()}
+    text = {r["key"]: r["part"] for r in a.select("key", A.review_text().alias("part")).collect()}
+    want = {pack: MD.REVIEW + "\n\n---\n\n".join(text[k] for k in sorted(keys)) for pack, keys in packs.items()}
+    assert sorted(map(tuple, MD.review_prompts(a, 5000, side).collect())) == sorted(want.items())
+    assert {r["pack"]: r["response"] for r in MD.review_answers(a, lambda p: p[::-1], 5000, side).collect()} == {k: p[::-1] for k, p in want.items()}
+
+
+def test_review_writes_no_prompts(spark):
+    """Prompts are as long as the square of a log: they are put where they are made, and not kept."""
+    folder = shared.ensure_checkpoints(spark).removeprefix("file:")
+    size = lambda: sum(f.stat().st_size for f in Path(folder).rglob("*") if f.is_file())
+    a = spark.range(2000).select(F.format_string("k%04d", "id").alias("key"), F.lit("p").alias("path"), F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(f"-{k}")), 512) for k in range(4)]).alias("content"), F.array(F.lit("l")).alias("sources"))
+    before = size()
+    issues = MD.check_contradictions(a, lambda p: f"CONTRADICTION: {len(p)}", 20_000).collect()
+    told = sum(int(r["detail"].split()[1]) for r in issues)
+    assert told > 30_000_000 and size() - before < told / 20
+
+
 def test_retrieval(spark):
     a = articles(spark, concepts_a="alpha beta gamma delta", concepts_b="alpha zeta", concepts_c="other words here", concepts_d="more words", concepts_e="yet more")
     q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "nothing known")], "question_id int, question string")
