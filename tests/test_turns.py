@@ -3,8 +3,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from turnloom.operators import turns as TU
+from turnloom.plans import inputs as I
+from turnloom.shared import LISTINGS
 from turnloom.sources.files import list_sessions, latest_source, parse_hooks, read_articles, read_daily_logs, read_index, read_transcripts, write_contexts
 
 
@@ -120,3 +123,22 @@ def test_lines_of_split_files(spark, tmp_path):
             assert {(r["session_id"], r["line_no"], r["raw"]) for r in lines.collect() if r["raw"]} == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_many_files_are_few_tasks(spark, tmp_path):
+    """Files are written in tasks, a folder is listed once, and a listing of paths has a few tasks for each core."""
+    root, group = str(tmp_path / "x y"), "many-files"
+    I.named_files(spark.range(300).select(F.concat(F.lit("s +%"), "id", F.lit(".jsonl")).alias("path"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text")), root)
+    I.named_files(spark.createDataFrame([("s +%7.jsonl", "anew"), ("deep/s.jsonl", "\u00e9"), ("deep/none.jsonl", None), ("qa/a.md", "q"), ("qa/deep/b.md", "q")], "path string, text string"), root)
+    assert sorted(p.name for p in (tmp_path / "x y").rglob("*") if p.name.startswith(".") and not p.name.endswith(".crc")) == []
+    assert (tmp_path / "x y" / "s +%7.jsonl").read_text() == "anew\n" and (tmp_path / "x y" / "deep" / "s.jsonl").read_text() == "\u00e9\n" and (tmp_path / "x y" / "deep" / "none.jsonl").read_text() == "\n"
+    tracker, old = spark.sparkContext.statusTracker(), spark.conf.get(LISTINGS)
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        sessions, lines, kb = list_sessions(spark, root), read_transcripts(spark, root), read_articles(spark, root)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.numTasks for s in stages if s) < 300 and spark.conf.get(LISTINGS) == old
+    assert {r["session_id"]: r["size"] for r in sessions.collect()} == {f"s +%{k}": 5 if k == 7 else k + 1 for k in range(300)}
+    assert lines.count() == 300 and [r["key"] for r in kb.collect()] == ["qa/a"]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from py4j.java_gateway import JavaObject
 from pyspark.errors import AnalysisException
@@ -59,6 +60,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+#: The setting of Spark for how many tasks list files, at most.
+LISTINGS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def few_listings(spark: SparkSession) -> Iterator[None]:
+    """While files are named that are to be read: many paths are listed by a few tasks for each core, not by a task each."""
+    old = spark.conf.get(LISTINGS)
+    spark.conf.set(LISTINGS, str(min(int(old), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTINGS, old)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
     fs, where = file_system(spark, path)

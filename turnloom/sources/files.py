@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import article_key, content_hash, py_strip
 from ..operators.articles import EMPTY_INDEX, KINDS
-from ..shared import broadcast_if_small, checkpoint, exists, table_or_empty
+from ..shared import broadcast_if_small, checkpoint, exists, few_listings, file_system, table_or_empty
 from ..ship import ship
 
 #: A backslash by itself, not before a quote. Fixed value.
@@ -42,14 +42,23 @@ def _place_in_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=[*b.schema.names, "at"])
 
 
-def numbered_lines(spark: SparkSession, glob: str) -> DataFrame:
+def _unsplit(spark: SparkSession) -> int:
+    """Bytes that a file must have to be read in several splits."""
+    bytes_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    return min(bytes_of(spark.conf.get(f"spark.sql.files.{k}")) for k in ("maxPartitionBytes", "openCostInBytes"))
+
+
+def numbered_lines(spark: SparkSession, where: str | list[str], **options: object) -> DataFrame:
     """Lines of text files with their numbers from 0: (p, line_no, raw), p the file as Spark reports it.
 
     Lines end with \\n, \\r or both. A long file is read in splits: a line's number is its place in its split, and the lines
-    of the splits before, which are counted first and only matter for files of several splits.
+    of the splits before, which are counted first; files that are too small for several splits are left out there.
     """
-    lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"))
-    counts = lines.groupBy("p", "block").agg(F.count("*").alias("n"))
+    with few_listings(spark):
+        files = spark.read.options(**options).text(where)
+    lines = files.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"))
+    long = files.where(F.col("_metadata.file_size") > _unsplit(spark)).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("block"))
+    counts = long.groupBy("p", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("p").orderBy("block")) - F.col("n")
     starts = checkpoint(counts.select("p", "block", before.alias("start")).where("block > 0"))
     ship(spark)
@@ -77,37 +86,56 @@ def _literal(name: str) -> str:
     return re.sub(r"([\\{}\[\]*?,^])", r"\\\1", name)
 
 
+def _there(spark: SparkSession, paths: list[str], folders: bool) -> list[str]:
+    """Those of the paths that are files, or folders."""
+
+    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def found(path: str) -> bool:
+        where = path_of(path)
+        fs = where.getFileSystem(conf)
+        return fs.isDirectory(where) if folders else fs.isFile(where)
+
+    with ThreadPoolExecutor(16) as several:
+        return [path for path, there in zip(paths, several.map(found, paths), strict=True) if there]
+
+
 def read_named_transcripts(spark: SparkSession, paths: list[str], subagents: bool = False) -> DataFrame:
     """transcript_lines of the files named, or of the subagents of their sessions; session_id is the plain_path of the
-    session's file. Only these files are listed and read: a glob for each folder. Names that are no absolute path, and
-    files that are not there, have no lines."""
+    session's file. Only these files are listed and read: each is looked up by its name, however many its folder has.
+    Names that are no absolute path, and files that are not there, have no lines."""
     schema = "session_id string, subagent string, line_no int, raw string"
-    folders: dict[str, set[str]] = defaultdict(set)
-    for path in paths:
-        if found := re.fullmatch(r"(?s)((?:[A-Za-z][A-Za-z0-9+.-]*:)?/(?:.*/)?)([^/]+)", path):
-            folders[found[1]].add(found[2])
-
-    def of(folder: str, names: set[str]) -> DataFrame:
-        stems = sorted({n.rsplit(".", 1)[0] if "." in n[1:] else n for n in names}) if subagents else sorted(names)
-        glob = f"{_literal(folder)}{{{','.join(map(_literal, stems))}}}" + "/subagents/*.jsonl" * subagents
-        files = numbered_lines(spark, glob).withColumn("p", plain_path(_decoded(F.col("p"))))
-        if subagents:
-            named = spark.createDataFrame([(n.rsplit(".", 1)[0] if "." in n[1:] else n, n) for n in sorted(names)], "stem string, file string")
-            files = files.withColumn("stem", F.regexp_extract("p", r"([^/]*)/subagents/[^/]*\z", 1)).join(F.broadcast(named), "stem")
-            session = F.concat(F.regexp_extract("p", r"(?s)\A(.*/)[^/]*/subagents/[^/]*\z", 1), "file")
-            agent = F.regexp_replace(F.regexp_extract("p", r"([^/]*)\z", 1), r"\.jsonl\z", "")
-        else:
-            session, agent = F.col("p"), F.lit("")
-        return files.select(session.alias("session_id"), agent.alias("subagent"), "line_no", "raw")
-
-    parts = [table_or_empty(lambda f=f, n=n: of(f, n), spark, schema) for f, n in sorted(folders.items())]
-    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], schema))
+    named = [m for p in sorted(set(paths)) if (m := re.fullmatch(r"(?s)((?:[A-Za-z][A-Za-z0-9+.-]*:)?/(?:.*/)?)([^/]+)", p))]
+    stem = lambda n: n.rsplit(".", 1)[0] if "." in n[1:] else n
+    place = {m[0]: f"{m[1]}{stem(m[2])}/subagents" if subagents else m[0] for m in named}
+    there = _there(spark, sorted(set(place.values())), subagents)
+    if not there:
+        return spark.createDataFrame([], schema)
+    only = {"pathGlobFilter": "*.jsonl", "recursiveFileLookup": True} if subagents else {}
+    files = numbered_lines(spark, [_literal(p) for p in there], **only).withColumn("p", plain_path(_decoded(F.col("p"))))
+    if not subagents:
+        return files.select(F.col("p").alias("session_id"), F.lit("").alias("subagent"), "line_no", "raw")
+    of = spark.createDataFrame([(d, p) for p, d in place.items()], "dir string, session_id string").select(plain_path(F.col("dir")).alias("dir"), plain_path(F.col("session_id")).alias("session_id")).distinct()
+    agent = F.regexp_replace(F.regexp_extract("p", r"([^/]*)\z", 1), r"\.jsonl\z", "")
+    held = files.withColumn("dir", F.regexp_extract("p", r"(?s)\A(.*)/[^/]*\z", 1)).join(F.broadcast(of), "dir")
+    return held.select("session_id", agent.alias("subagent"), "line_no", "raw")
+
+
+def _depth(path: Column) -> Column:
+    return F.length(F.regexp_replace(plain_path(path), "[^/]", ""))
+
+
+def _directly_in(spark: SparkSession, path: Column, folder: str) -> Column:
+    """Whether a file that Spark found below a folder is in it and no deeper."""
+    fs, where = file_system(spark, folder)
+    return _depth(path) == _depth(F.lit(fs.makeQualified(where).toString())) + 1
 
 
 def list_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Transcripts in path by time of change: session, its id's first eight characters, date, size."""
-    files = spark.read.format("binaryFile").load(f"{path}/*.jsonl")
-    stem = F.regexp_replace(_name(F.col("path")), r"\.jsonl\z", "")
+    files = spark.read.format("binaryFile").options(pathGlobFilter="*.jsonl", recursiveFileLookup=True).load(path)  # one folder, not a path a file
+    files = files.select("*", F.col("_metadata.file_path").alias("p")).where(_directly_in(spark, F.col("p"), path))
+    stem = F.regexp_replace(_name(F.col("p")), r"\.jsonl\z", "")
     return files.select(stem.alias("session_id"), F.left(stem, F.lit(8)).alias("short_id"), F.col("modificationTime").alias("mtime"), F.to_date("modificationTime").alias("date"), F.col("length").alias("size")).orderBy("mtime", "session_id")
 
 
@@ -129,7 +157,8 @@ def read_articles(spark: SparkSession, root: str) -> DataFrame:
     schema = "kind string, path string, key string, content string"
 
     def of(kind: str) -> DataFrame:
-        files = spark.read.text(f"{root}/{kind}/*.md", wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
+        found = spark.read.options(pathGlobFilter="*.md", recursiveFileLookup=True).text(f"{root}/{kind}", wholetext=True)
+        files = found.where(_directly_in(spark, F.col("_metadata.file_path"), f"{root}/{kind}")).select("value", F.col("_metadata.file_path").alias("p"))
         path = F.concat(F.lit(f"{kind}/"), _name(F.col("p")))
         return files.select(F.lit(kind).alias("kind"), path.alias("path"), article_key(path).alias("key"), F.col("value").alias("content"))
 
