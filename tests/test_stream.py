@@ -117,6 +117,18 @@ def test_capture_stream_is_idempotent(spark, tmp_path):
     assert read() == sorted([*first, ("a", "**User:** changed since\n"), ("b", "**User:** hello b\n")])
 
 
+def test_a_captured_batch_is_not_looked_up_again(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.jsonl").write_text(said("hello"))
+    (tmp_path / "in" / "1").write_text(json.dumps({"session_id": "a", "transcript_path": f"{root}/a.jsonl"}))
+    asked, capture = [], CA.capture
+    monkeypatch.setattr(CA, "capture", lambda *a, **k: asked.append(1) or capture(*a, **k))
+    for state in ("state", "other-state"):
+        CA.capture_stream(ST.hook_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/{state}").awaitTermination()
+    assert len(asked) == 1 and spark.read.parquet(f"{root}/out").count() == 1
+
+
 def test_changed_files(spark, tmp_path):
     logs, ledger, got = tmp_path / "daily", str(tmp_path / "ledger"), []
     step = lambda batch, number: got.append((number, sorted((r["file"], r["content"]) for r in batch.collect())))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import turns as TU
-from ..shared import checkpoint
+from ..shared import checkpoint, exists
 from ..sources.files import plain_path, read_named_transcripts, write_contexts
 
 
@@ -42,6 +42,8 @@ def capture_stream(hooks: DataFrame, path: str, checkpoint_folder: str, query: s
         raise ValueError("a query's name has letters, digits, '.', '_' and '-' only")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write_contexts(capture(batch, **limits), path, f"{query}-{batch_id}", once=True)
+        run = f"{query}-{batch_id}"
+        if not exists(batch.sparkSession, f"{path}/run={run}"):  # before any transcript is looked up
+            write_contexts(capture(batch, **limits), path, run, once=True)
 
     return hooks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_folder).trigger(availableNow=True).start()
