@@ -83,3 +83,22 @@ def test_a_broken_backfill_goes_on(spark, tmp_path):
     assert key(got.select("session_id", "ts", "turn_count", "skip_reason", "section", "response")) == key(backfill(sessions, main, None, lambda p: p.upper()))
     assert key(run(answer)) == key(got) and calls(folder) == once
     assert resume_backfill(sessions.limit(0), main, None, answer, str(tmp_path / "none")).count() == 0
+
+
+def test_turns_are_read_once_for_all_groups(spark, tmp_path):
+    names, read = [f"s{k:02d}" for k in range(12)], spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    sessions = spark.createDataFrame([(n, datetime(2024, 1, 28 - k)) for k, n in enumerate(names)], "session_id string, mtime timestamp")
+    main = turns_of(spark, names)
+    rows, counted = main.count(), main.mapInArrow(seen, main.schema)
+    reads = []
+    for group in (12, 2):
+        before = read.value
+        assert resume_backfill(sessions, counted, None, lambda p: p.upper(), str(tmp_path / f"out{group}"), group=group).count() == 12
+        reads.append(read.value - before)
+    assert rows <= reads[0] == reads[1]
