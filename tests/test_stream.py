@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import os
 from datetime import datetime, timedelta
 
@@ -31,6 +32,20 @@ def test_dedup_over_several_batches_equals_batch(spark, tmp_path):
     assert got == sorted(r["event_id"] for r in FL.dedup(df).collect())
 
 
+def test_dedup_of_a_stream_with_many_sessions(spark, tmp_path):
+    """Over three batches, with a null session, repeated times, old sessions and events without a time; sessions share states."""
+    p, schema, rng = str(tmp_path), "session_id string, ts timestamp, source string, event_id long", random.Random(3)
+    rows = [(rng.choice([None, *map(str, range(2500))]), None if rng.random() < 0.01 else T0 + timedelta(seconds=k // 4000 * 2400 + rng.randrange(600)), "x", k) for k in range(12_000)]
+    for k in range(0, 12_000, 4000):
+        spark.createDataFrame(rows[k : k + 4000], schema).coalesce(1).write.mode("append").parquet(f"{p}/in")
+        out = ST.dedup_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{p}/in"))
+        query = out.writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert max(o["numRowsTotal"] for r in query.recentProgress for o in r["stateOperators"]) <= ST.BUCKETS
+    got = sorted(r["event_id"] for r in spark.read.parquet(f"{p}/out").collect())
+    assert got == sorted(r["event_id"] for r in FL.dedup(spark.createDataFrame(rows, schema)).collect())
+
+
 def test_dedup_of_batches_with_a_kept_state(spark, tmp_path):
     """Three batches and a replay, with a busy session, a null one, late events and ones without a time."""
     p, schema = str(tmp_path), "session_id string, ts timestamp, source string, event_id long"

@@ -26,33 +26,59 @@ def hook_stream(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
     return parse_hooks(spark.readStream.option("maxFilesPerTrigger", files).text(path).withColumnRenamed("value", "raw"))
 
 
+#: A missing time as numpy has it.
+NO_TIME = np.iinfo(np.int64).min
+
+
+#: Groups of sessions that have a state each in dedup_stream. A stream that goes on must keep it.
+BUCKETS = 1000
+
+
 def dedup_stream(events: DataFrame, seconds: int = 60, watermark: str = "1 hour") -> DataFrame:
     """Per session, drops an event within `seconds` of the last kept one. events (session_id, ts, source, event_id).
 
-    A session's rows of a batch are one frame; dedup_batches has no such limit. State is one time a session, dropped once the watermark has passed it by `seconds`. Within a batch events are
-    ordered by time and id; events later than the watermark are dropped and counted in the query's progress.
+    Sessions are dealt out to BUCKETS by their hash, as a call for each session would cost more than its rows. A bucket's rows
+    of a batch are one frame; dedup_batches has no such limit. State is one time a session, dropped once the watermark has
+    passed it by `seconds`. Within a batch events are ordered by time and id; events later than the watermark are dropped and
+    counted in the query's progress, those without a time are kept.
     """
     ship(events.sparkSession)
+    step = seconds * 1_000_000
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last = state.get[0] if state.exists else None
-        us, step = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy(), seconds * 1_000_000
-        keep, at = [], 0 if last is None else int(np.searchsorted(us, last + step))
-        while at < len(us):  # from each kept event to the next one that is late enough
-            keep.append(at)
-            last = us[at]
-            at = int(np.searchsorted(us, last + step))
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max(int(last) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[keep][["session_id", "ts", "source", "event_id"]]
+        parts, now = list(batches), state.getCurrentWatermarkMs()
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        us = rows["ts"].to_numpy("datetime64[us]").view("int64")
+        code, names = pd.factorize(rows["session_id"], use_na_sentinel=False)
+        order = np.lexsort((rows["event_id"].to_numpy(), us, code))
+        keep, order = [order[us[order] == NO_TIME]], order[us[order] != NO_TIME]
+        us, code = us[order], code[order]
+        begins = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist()] if len(us) else []
+        known = dict(zip(*state.get, strict=True)) if state.exists else {}
+        for begin, end in zip(begins, [*begins[1:], len(us)]):
+            name, run = names[code[begin]], us[begin:end]
+            name = None if pd.isna(name) else name
+            at, picked = int(np.searchsorted(run, known[name] + step)) if name in known else 0, []
+            while at < len(run):  # from each kept event to the next one that is late enough
+                picked.append(begin + at)
+                known[name] = int(run[at])
+                at = int(np.searchsorted(run, run[at] + step))
+            keep.append(order[np.array(picked, np.int64)])
+        known = {name: last for name, last in known.items() if last + step >= now * 1000}
+        if known:
+            state.update((list(known), list(known.values())))
+            state.setTimeoutTimestamp(max(max(known.values()) // 1000 + seconds * 1000, now) + 1)
+        elif state.exists:
+            state.remove()
+        yield rows.take(np.concatenate(keep))[["session_id", "ts", "source", "event_id"]]
 
     schema = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("source", T.StringType()), T.StructField("event_id", T.LongType())])
-    state = T.StructType([T.StructField("last", T.LongType())])
-    return events.withWatermark("ts", watermark).groupBy("session_id").applyInPandasWithState(fold, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    state = T.StructType([T.StructField("sessions", T.ArrayType(T.StringType())), T.StructField("last", T.ArrayType(T.LongType()))])
+    dealt = events.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)))
+    return dealt.withWatermark("ts", watermark).groupBy("bucket").applyInPandasWithState(fold, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 #: What dedup_batches knows of each session: when its last event was kept; and, marked, the latest time of all events.
