@@ -1,3 +1,4 @@
+import json
 import random
 from collections import Counter
 from pathlib import Path
@@ -136,6 +137,42 @@ def test_reviews_by_cells(spark, side):
     assert {r["pack"]: r["response"] for r in MD.review_answers(a, lambda p: p[::-1], 5000, side).collect()} == {k: p[::-1] for k, p in want.items()}
 
 
+def test_review_deals_out_by_many_tasks(spark):
+    """A log's blocks go to as many cells as it has groups: many are dealt out by many tasks, and cells share partitions."""
+    a = spark.range(120).select(F.format_string("k%03d", "id").alias("key"), F.lit("p").alias("path"), F.repeat(F.lit("x"), 94).alias("content"), F.array(F.lit("l")).alias("sources"))
+    blocks = A.review_blocks(a, 400).coalesce(1)  # 60 blocks of two articles
+    dealt, cells = A.review_cells(blocks, side=2, dealt=100)  # 30 groups
+    made = dealt.select(F.spark_partition_id().alias("t"), F.size("keys").alias("n")).groupBy("t").agg(F.sum("n").alias("n")).collect()
+    assert cells == 30 * 31 // 2 and sum(r["n"] for r in made) == 60 * 30 * 2
+    assert len(made) > 10 and max(r["n"] for r in made) <= 600
+    packs = A.review_packs(a, 400, side=1)  # 1830 cells
+    assert packs.rdd.getNumPartitions() == A.MANY_CELLS and packs.select("pack").distinct().count() == packs.count() == 60 * 59 // 2
+
+
+def test_review_blocks_by_small_batches(spark):
+    """Blocks do not depend on where batches end; an article without a path does not keep a block open."""
+    rows = [(f"k{i:02d}", None if i % 10 == 3 else "p", "x" * (i * 37 % 90), [["l", "m"], ["m", "n", "l"], ["n"]][i % 3]) for i in range(60)]
+    a = spark.createDataFrame(rows, "key string, path string, content string, sources array<string>")
+    size = {k: 1 if p is None else len(f"## {p}\n\n{c}") for k, p, c, _ in rows}
+    want = []
+    for log in "lmn":
+        cut, used = [], 0
+        for _, key, logs in sorted((json.dumps(sorted(s), separators=(",", ":")), k, s) for k, _, _, s in rows if log in s):
+            if not cut or used + size[key] > 100:
+                cut, used = [*cut, ([], [])], 0
+            used += size[key]
+            cut[-1][0].append(key)
+            cut[-1][1].append({x for x in logs if x < log})
+        want += [(log, at + 1, len(cut), sorted(keys), sorted(set.intersection(*before))) for at, (keys, before) in enumerate(cut)]
+    for n in (1, 7, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            got = [(r["source"], r["at"], r["n"], r["keys"], sorted(r["earlier"])) for r in A.review_blocks(a, 200).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(got) == want
+
+
 def test_review_writes_no_prompts(spark):
     """Prompts are as long as the square of a log: they are put where they are made, and not kept."""
     folder = shared.ensure_checkpoints(spark).removeprefix("file:")
