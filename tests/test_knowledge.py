@@ -149,6 +149,16 @@ def test_review_deals_out_by_many_tasks(spark):
     assert packs.rdd.getNumPartitions() == A.MANY_CELLS and packs.select("pack").distinct().count() == packs.count() == 60 * 59 // 2
 
 
+def test_review_texts_are_dealt_out_by_many_tasks(spark, monkeypatch):
+    """A text goes to as many cells as its log has groups: what a task deals out is bounded, and does not grow with the log."""
+    a = spark.range(120).select(F.format_string("k%03d", "id").alias("key"), F.lit("p").alias("path"), F.repeat(F.lit("x"), 94).alias("content"), F.array(F.lit("l")).alias("sources"))
+    dealt = []
+    monkeypatch.setattr(type(a), "repartition", lambda self, n, *by, f=type(a).repartition: dealt.append((n, by)) or f(self, n, *by))
+    texts = MD._review_texts(a, 400, 2, 6000)  # 60 blocks of 200 characters, each for 30 cells
+    assert [n for n, by in dealt if by == ("key",)] == [61, 61]
+    assert texts.count() == 120 * 30 and texts.groupBy("key").count().where("count = 30").count() == 120
+
+
 def test_review_blocks_by_small_batches(spark):
     """Blocks do not depend on where batches end; an article without a path does not keep a block open."""
     rows = [(f"k{i:02d}", None if i % 10 == 3 else "p", "x" * (i * 37 % 90), [["l", "m"], ["m", "n", "l"], ["n"]][i % 3]) for i in range(60)]
