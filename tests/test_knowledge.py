@@ -194,6 +194,38 @@ def test_review_writes_no_prompts(spark):
     assert told > 30_000_000 and size() - before < told / 20
 
 
+def test_review_sends_texts_once(spark):
+    """A text meets all others of its log: it is read in many cells, but shuffled and written once for each log."""
+    folders = [Path(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    size = lambda: sum(f.stat().st_size for d in [*folders, Path(shared.ensure_checkpoints(spark).removeprefix("file:"))] for f in d.rglob("*") if f.is_file())
+    a = spark.range(200).select(F.format_string("k%04d", "id").alias("key"), F.lit("p").alias("path"), F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(f"-{k}")), 512) for k in range(4)]).alias("content"), F.array(F.lit("l")).alias("sources"))
+    a, before = a.unionByName(a.limit(5)), size()
+    got = {r["pack"]: r["response"] for r in MD.review_answers(a, lambda p: p[-9:] + str(p.count("## p")), 2500, side=2).collect()}  # 100 blocks, 50 groups
+    assert len(got) == 100 * 99 // 2 and {r[9:] for r in got.values()} == {"4"} and size() - before < 8 * 200 * 520
+    assert len({r[:9] for r in got.values()}) == 99
+
+
+def test_review_asks_once(spark):
+    """Issues and failures in one pass over the calls, kept or not."""
+    a = spark.range(60).select(F.format_string("k%04d", "id").alias("key"), F.lit("p").alias("path"), F.repeat(F.lit("x"), F.col("id").cast("int") * 3).alias("content"), F.array(F.lit("l")).alias("sources"))
+    packs, asked = A.review_packs(a, 600).count(), spark.sparkContext.accumulator(0)
+
+    def fn(prompt):
+        asked.add(1)
+        if len(prompt) % 4 == 0:
+            raise ValueError("no")
+        return ["NO_ISSUES\nCONTRADICTION: x", None, f"y\n CONTRADICTION: {len(prompt)} \nINCONSISTENCY:z"][len(prompt) % 3]
+
+    told = []
+    for kept in (True, False):
+        begun = asked.value
+        told.append(sorted(tuple(r) for r in MD.check_contradictions(a, fn, 600, kept=kept).collect()))
+        assert asked.value - begun == packs > 100
+    calls = MD.call_model(MD.review_prompts(a, 600), "prompt", fn)
+    want = L.parse_contradictions(calls.where("error is null")).unionByName(MD.as_system_issue(calls))
+    assert told[0] == told[1] == sorted(map(tuple, want.collect())) and {r[2] for r in told[0]} == {"(system)", "(cross-article)"}
+
+
 def test_retrieval(spark):
     a = articles(spark, concepts_a="alpha beta gamma delta", concepts_b="alpha zeta", concepts_c="other words here", concepts_d="more words", concepts_e="yet more")
     q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "nothing known")], "question_id int, question string")
