@@ -142,3 +142,23 @@ def test_many_files_are_few_tasks(spark, tmp_path):
     assert sum(s.numTasks for s in stages if s) < 300 and spark.conf.get(LISTINGS) == old
     assert {r["session_id"]: r["size"] for r in sessions.collect()} == {f"s +%{k}": 5 if k == 7 else k + 1 for k in range(300)}
     assert lines.count() == 300 and [r["key"] for r in kb.collect()] == ["qa/a"]
+
+
+def test_files_are_not_listed_by_the_driver(spark, tmp_path):
+    """As many articles as there may be: tasks list and read them, and find what Spark's reader does."""
+    odd = {"a b+%20.md": "x".encode(), "\u00e9.md": "\u00e9\r\n".encode(), "bytes.md": b"\xff\xfe", "long.md": b"y" * (9 << 20), "empty.md": b"", "_draft.md": b"z", "_k=v.md": b"k", ".dot.md": b"z", "x.txt": b"z"}
+    for kind in ("concepts", "qa"):
+        (tmp_path / "k b" / kind / "deep.md").mkdir(parents=True)
+        for name, text in (odd | {f"d{k}.md": b"%d" % k for k in range(200)}).items():
+            (tmp_path / "k b" / kind / name).write_bytes(text)
+    root = str(tmp_path / "k b")
+    for where in (root, f"file://{root}", f"{root}/../k b"):
+        got = read_articles(spark, where)
+        assert got.inputFiles() == [] and list_sessions(spark, f"{where}/qa").inputFiles() == []
+        by_spark = spark.read.text([f"{root}/concepts", f"{root}/qa"], wholetext=True, pathGlobFilter="*.md")
+        want = by_spark.select(F.md5("value").alias("m")).collect()
+        assert sorted(r["m"] for r in got.select(F.md5("content").alias("m")).collect()) == sorted(r["m"] for r in want) and len(want) == 2 * 205
+    assert {r["path"] for r in got.where("kind = 'qa' and length(content) > 3 or path like '%+%'").collect()} == {"concepts/a b+%20.md", "qa/a b+%20.md", "qa/long.md"}
+    assert read_articles(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        list_sessions(spark, str(tmp_path / "none"))

@@ -103,11 +103,12 @@ def _put_files(root: str) -> Callable[[Iterator[Row]], None]:
     return put
 
 
-def named_files(rows: DataFrame, root: str) -> None:
+def named_files(rows: DataFrame, root: str, dealt: bool = False) -> None:
     """Writes rows (path, text) as a file each, by its path below root, a folder that all executors share; tasks write theirs
-    side by side. One of the same name is replaced."""
+    side by side. One of the same name is replaced. dealt: rows are spread over the cores as they are, and not shuffled."""
     ship(rows.sparkSession)
-    rows.select("path", "text").where("path is not null").repartition(rows.sparkSession.sparkContext.defaultParallelism).foreachPartition(_put_files(root))
+    named = rows.select("path", "text").where("path is not null")
+    (named if dealt else named.repartition(rows.sparkSession.sparkContext.defaultParallelism)).foreachPartition(_put_files(root))
 
 
 def index_of(articles_: DataFrame) -> DataFrame:

@@ -580,7 +580,7 @@ def daily_log_scan(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def article_scan(spark: SparkSession, d: str) -> DataFrame:
     root = work_folder(spark, "knowledge")
-    I.named_files(I.articles(spark, d).select("path", F.col("content").alias("text")), root)
+    I.named_files(I.articles(spark, d).select("path", F.col("content").alias("text")), root, dealt=True)
     return read_articles(spark, root).select("kind", "path", "key", F.md5("content").alias("content_md5"))
 
 

@@ -59,7 +59,7 @@ def file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]
 
 def task_files(root: str) -> tuple[FileSystem, str]:
     """A folder as tasks reach it, without the driver: pyarrow's file system of it, and the folder as that knows it."""
-    return FileSystem.from_uri(root if "://" in root or root.startswith("/") else re.sub("^file:/*", "file:///", root))
+    return FileSystem.from_uri(re.sub("^file:/*", "/", root))  # a path without a scheme may have any sign
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -8,13 +8,15 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import article_key, content_hash, py_strip
 from ..operators.articles import EMPTY_INDEX, KINDS
-from ..shared import broadcast_if_small, checkpoint, exists, few_listings, file_system, table_or_empty
+from ..shared import broadcast_if_small, checkpoint, exists, few_listings, file_system, table_or_empty, task_files
 from ..ship import ship
 
 #: A backslash by itself, not before a quote. Fixed value.
@@ -131,12 +133,75 @@ def _directly_in(spark: SparkSession, path: Column, folder: str) -> Column:
     return _depth(path) == _depth(F.lit(fs.makeQualified(where).toString())) + 1
 
 
+#: Names that a listing hands on together, bytes of files that a read does, and files that a task reads, about.
+NAMES, READ_BYTES, FILES = 10_000, 1 << 23, 10_000
+
+
+def _tasks_reach(spark: SparkSession, folder: str) -> str | None:
+    """An existing folder's name for task_files, or None where only Spark's readers know it: other file systems, and globs."""
+    fs, where = file_system(spark, folder)
+    if not fs.exists(where):
+        return None
+    name = fs.makeQualified(where).toString()
+    try:
+        task_files(name)
+    except (pa.ArrowInvalid, OSError):
+        return None
+    return name
+
+
+def _list_folders(spark: SparkSession, folders: list[str], suffix: str) -> DataFrame:
+    """(folder, name, mtime, size), checkpointed: the files right in the folders that Spark would read. A task lists a folder, and
+    the driver sees no file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for k in rows["id"]:
+                fs, base = task_files(folders[k])
+                found = fs.get_file_info(FileSelector(base))
+                for start in range(0, len(found), NAMES):
+                    some = [(folders[k], f.base_name, f.mtime_ns // 1000, f.size) for f in found[start : start + NAMES] if f.type == FileType.File and f.size]
+                    yield pd.DataFrame(some, columns=["folder", "name", "us", "size"])
+
+    ship(spark)
+    files = spark.range(0, len(folders), 1, len(folders)).mapInPandas(run, "folder string, name string, us long, size long")
+    hidden = F.col("name").rlike(r"\A(\.|_[^=]*\z)")
+    mtime = F.timestamp_millis(F.expr("us div 1000"))
+    return checkpoint(files.where(F.col("name").endswith(suffix) & ~hidden).select("folder", "name", mtime.alias("mtime"), "size"))
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files (folder, name) with their bytes, some READ_BYTES at a time."""
+    known, rows, held = {}, [], 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], names=["folder", "name", "content"])
+
+    for b in batches:
+        for folder, name in zip(b.column("folder").to_pylist(), b.column("name").to_pylist(), strict=True):
+            if folder not in known:
+                known[folder] = task_files(folder)
+            fs, base = known[folder]
+            with fs.open_input_file(f"{base}/{name}") as f:
+                rows.append((folder, name, f.read()))
+            held += len(rows[-1][2])
+            if held >= READ_BYTES or len(rows) >= NAMES:
+                yield done()
+                rows, held = [], 0
+    if rows:
+        yield done()
+
+
 def list_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Transcripts in path by time of change: session, its id's first eight characters, date, size."""
-    files = spark.read.format("binaryFile").options(pathGlobFilter="*.jsonl", recursiveFileLookup=True).load(path)  # one folder, not a path a file
-    files = files.select("*", F.col("_metadata.file_path").alias("p")).where(_directly_in(spark, F.col("p"), path))
-    stem = F.regexp_replace(_name(F.col("p")), r"\.jsonl\z", "")
-    return files.select(stem.alias("session_id"), F.left(stem, F.lit(8)).alias("short_id"), F.col("modificationTime").alias("mtime"), F.to_date("modificationTime").alias("date"), F.col("length").alias("size")).orderBy("mtime", "session_id")
+    if folder := _tasks_reach(spark, path):
+        files = _list_folders(spark, [folder], ".jsonl")
+        stem = F.regexp_replace("name", r"\.jsonl\z", "")
+    else:
+        found = spark.read.format("binaryFile").options(pathGlobFilter="*.jsonl", recursiveFileLookup=True).load(path)  # one folder, not a path a file
+        files = found.select(F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.col("_metadata.file_path").alias("p")).where(_directly_in(spark, F.col("p"), path))
+        stem = F.regexp_replace(_name(F.col("p")), r"\.jsonl\z", "")
+    return files.select(stem.alias("session_id"), F.left(stem, F.lit(8)).alias("short_id"), "mtime", F.to_date("mtime").alias("date"), "size").orderBy("mtime", "session_id")
 
 
 def latest_source(sessions: DataFrame, dir_col: str = "dir") -> DataFrame:
@@ -153,16 +218,30 @@ def read_daily_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_articles(spark: SparkSession, root: str) -> DataFrame:
-    """Articles (kind, path, key, content) of the folders concepts, connections and qa, not deeper."""
+    """Articles (kind, path, key, content) of the folders concepts, connections and qa, not deeper. Tasks list the folders, one
+    each, and read the files, so that no file is known to the driver, however many there are."""
     schema = "kind string, path string, key string, content string"
+    reached = {kind: _tasks_reach(spark, f"{root}/{kind}") for kind in KINDS}
+    kind_of = {folder: kind for kind, folder in reached.items() if folder}
 
     def of(kind: str) -> DataFrame:
         found = spark.read.options(pathGlobFilter="*.md", recursiveFileLookup=True).text(f"{root}/{kind}", wholetext=True)
         files = found.where(_directly_in(spark, F.col("_metadata.file_path"), f"{root}/{kind}")).select("value", F.col("_metadata.file_path").alias("p"))
-        path = F.concat(F.lit(f"{kind}/"), _name(F.col("p")))
-        return files.select(F.lit(kind).alias("kind"), path.alias("path"), article_key(path).alias("key"), F.col("value").alias("content"))
-
-    return reduce(DataFrame.unionByName, [table_or_empty(lambda k=k: of(k), spark, schema) for k in KINDS])
+        return named(F.lit(kind), _name(F.col("p")), F.col("value"), files)
+
+    def named(kind: Column, name: Column, content: Column, files: DataFrame) -> DataFrame:
+        path = F.concat(kind, F.lit("/"), name)
+        return files.select(kind.alias("kind"), path.alias("path"), article_key(path).alias("key"), content.alias("content"))
+
+    parts = [table_or_empty(lambda k=k: of(k), spark, schema) for k in KINDS if not reached[k]]
+    if kind_of:
+        names = _list_folders(spark, list(kind_of), ".md").select("folder", "name")
+        count = names.count()
+        tasks = max(1, min(count, max(spark.sparkContext.defaultParallelism, count // FILES)))
+        files = names.repartition(tasks, "folder", "name").mapInArrow(_read_files, "folder string, name string, content binary")
+        kind = F.element_at(F.create_map(*[F.lit(x) for both in kind_of.items() for x in both]), F.col("folder"))
+        parts.append(named(kind, F.col("name"), F.col("content").cast("string"), files))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_index(spark: SparkSession, path: str | None) -> DataFrame:
